@@ -62,8 +62,8 @@ def parse_date(c: str | Column) -> Column:
     """Text to DATE: strip, cut at the first blank, first listed layout that fits."""
     s = F.substring_index(strip(_col(c).cast("string")), " ", 1)
     tries = [F.when(s.rlike(rx), F.try_to_date(s, fmt)) for rx, fmt in DATE_FORMATS]
-    tries.append(F.when(s.rlike(ISO_T), F.try_to_date(F.substring(s, 1, 10), F.lit("yyyy-MM-dd"))))
-    tries.append(F.when(s.rlike(COMPACT), F.try_to_date(s, F.lit("yyyyMMdd"))))
+    tries.append(F.when(s.rlike(ISO_T), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd")))
+    tries.append(F.when(s.rlike(COMPACT), F.try_to_date(s, "yyyyMMdd")))
     return F.coalesce(*tries)
 
 

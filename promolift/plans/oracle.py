@@ -47,7 +47,7 @@ sales AS (
          p_brand || '-' || CAST(p_size AS VARCHAR) AS "Article",
          CAST(l_extendedprice * (1 - l_discount) AS DOUBLE) AS "Net Sales",
          CAST(l_quantity AS DOUBLE) AS "Sales Quantity",
-         CAST(l_orderkey * 16 + l_linenumber AS BIGINT) AS row_order
+         CAST(((l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey) * 65536 + l_suppkey AS BIGINT) AS row_order
   FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey
@@ -175,7 +175,37 @@ med AS (
          quantile_cont("Total_Sales", 0.75) AS sales_q75,
          quantile_cont("Total_Quantity", 0.25) AS qty_q25, quantile_cont("Total_Quantity", 0.5) AS median_quantity,
          quantile_cont("Total_Quantity", 0.75) AS qty_q75
-  FROM pt GROUP BY "Article")
+  FROM pt GROUP BY "Article"),
+dtext AS (
+  SELECT o_orderkey AS "Order",
+         CASE o_orderkey % 9
+           WHEN 0 THEN strftime(o_orderdate, '%-d/%-m/%Y')
+           WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y')
+           WHEN 2 THEN strftime(o_orderdate, '%d.%m.%Y') || ' 00:00:00'
+           WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d')
+           WHEN 4 THEN strftime(o_orderdate, '%m/%d/%Y')
+           WHEN 5 THEN strftime(o_orderdate, '%Y/%m/%d')
+           WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')
+           WHEN 7 THEN strftime(o_orderdate, '%Y%m%d')
+           ELSE 'unknown' END AS date_text,
+         CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS price
+  FROM orders),
+dp AS (
+  SELECT "Order", date_text, price, CAST(CASE
+      WHEN regexp_full_match(s, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}')
+        THEN coalesce(try_strptime(s, '%d/%m/%Y'), try_strptime(s, '%m/%d/%Y'))
+      WHEN regexp_full_match(s, '[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}') THEN try_strptime(s, '%d-%m-%Y')
+      WHEN regexp_full_match(s, '[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}') THEN try_strptime(s, '%d.%m.%Y')
+      WHEN regexp_full_match(s, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN try_strptime(s, '%Y-%m-%d')
+      WHEN regexp_full_match(s, '[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}') THEN try_strptime(s, '%Y/%m/%d')
+      WHEN regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}})?') THEN try_strptime(substr(s, 1, 10), '%Y-%m-%d')
+      WHEN regexp_full_match(s, '[0-9]{{8}}') THEN try_strptime(s, '%Y%m%d')
+    END AS DATE) AS parsed
+  FROM (SELECT *, split_part(trim(date_text), ' ', 1) AS s FROM dtext) t),
+loaded AS (
+  SELECT DISTINCT "Region", "PSA", "Sub Category", "Bonus Buy", "Sales Date", "Promotion Status", "Article",
+         "Net Sales", "Sales Quantity"
+  FROM sales WHERE "Region" IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'))
 """
 
 BODIES: dict[str, str] = {}
@@ -424,6 +454,42 @@ FROM (SELECT pt.*, med.median_sales, med.median_quantity,
       FROM pt JOIN med ON pt."Article" = med."Article") pt"""
 
 
+BODIES["load_many"] = "SELECT * FROM loaded"
+
+BODIES["append_dedup"] = "SELECT * FROM loaded"
+
+BODIES["dedup_rows"] = """
+SELECT DISTINCT "Region", "PSA", "Sub Category", "Bonus Buy", "Sales Date", "Promotion Status", "Article",
+       "Net Sales", "Sales Quantity" FROM prep"""
+
+BODIES["drop_empty_rows"] = """
+SELECT a.n + a.dup + e.n AS rows_read, a.n + a.dup AS rows_kept
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE "Sales Quantity" = 1) AS dup
+      FROM sales WHERE "Region" IN ('AFRICA', 'AMERICA')) a,
+     (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P') e"""
+
+BODIES["clean_forecast"] = """
+SELECT "Description", "Start_Date", "End_Date", "Forecast_Qty", "Duration_Days" FROM fc"""
+
+BODIES["preview"] = "SELECT * FROM prep ORDER BY row_order LIMIT 100"
+
+BODIES["bad_dates"] = """
+SELECT "Order", date_text AS "Sales Date" FROM dp WHERE parsed IS NULL ORDER BY "Order" LIMIT 3"""
+
+BODIES["parse_dates"] = """SELECT "Order", date_text, parsed FROM dp"""
+
+BODIES["num_or_zero"] = """SELECT "Order", coalesce(price, 0.0) AS value FROM dp"""
+
+BODIES["num_or_null"] = """SELECT "Order", price AS value FROM dp"""
+
+BODIES["date_quality"] = """
+SELECT count(*) AS rows, count(parsed) AS valid_dates,
+       CAST(count(*) FILTER (WHERE parsed IS NULL) AS BIGINT) AS invalid_dates
+FROM dp"""
+
+BODIES["materialize"] = "SELECT * FROM vp"
+
+
 def _rounded(name: str, body: str) -> str:
     spec = catalog.ROUND.get(name, {})
     if not spec:

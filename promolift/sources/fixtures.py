@@ -27,10 +27,19 @@ def article_of(brand, size):
     return F.concat(brand, F.lit("-"), size.cast("string"))
 
 
+# Load order of a line item: (order, line, part, supplier) packed into one long;
+# the four together are unique (line numbers alone repeat within an order).
+ADAPTER_VERSION = "2"
+
+
+def row_order_of(order, line, part, supp):
+    return ((((order.cast("long") * 8 + line) * 4194304) + part) * 65536 + supp).cast("long")
+
+
 def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales records in the cleaned sales schema, plus ``row_order`` (load order)."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -53,7 +62,8 @@ def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         article_of(F.col("p_brand"), F.col("p_size")).alias(S.ARTICLE),
         (F.col("l_extendedprice") * (1 - disc)).cast("double").alias(S.NET_SALES),
         F.col("l_quantity").cast("double").alias(S.QUANTITY),
-        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).cast("long").alias(S.ROW_ORDER),
+        row_order_of(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
+                     F.col("l_suppkey")).alias(S.ROW_ORDER),
     )
 
 
@@ -105,3 +115,67 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         price_text.alias("price_text"),
         F.col("o_orderstatus").alias("status_text"),
     )
+
+
+# ---------------------------------------------------------------- raw files
+
+# Free-form forecast headers, as a forecast file might carry them.
+FORECAST_FILE_HEADERS = {S.DESCRIPTION: "Item Desc.", S.START_DATE: "Start Date", S.END_DATE: "End Date",
+                         S.FORECAST_QTY: "Revised Ttl Fcst Qty"}
+SALES_GROUPS = {"sales_a": ["AFRICA", "AMERICA"], "sales_b": ["ASIA", "EUROPE"], "sales_c": ["MIDDLE EAST"]}
+
+
+def _raw_sales_group(spark: SparkSession, sf_dir: str, group: str) -> DataFrame:
+    sales = sales_table(spark, sf_dir)
+    rows = sales.where(F.col(S.REGION).isin(*SALES_GROUPS[group]))
+    if group == "sales_a":
+        # Text dates day first; rows of quantity 1 twice (duplicates); one
+        # empty line per pending order (all fields empty).
+        text = rows.select(*[F.date_format(S.SALES_DATE, "dd/MM/yyyy").alias(c) if c == S.SALES_DATE
+                             else F.col(f"`{c}`").cast("string").alias(c) for c in S.REQUIRED_SALES])
+        dups = text.where(F.col(S.QUANTITY) == "1.0")
+        empty_src = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
+        empty = empty_src.select(*[F.lit(None).cast("string").alias(c) for c in S.REQUIRED_SALES])
+        return text.unionByName(dups).unionByName(empty)
+    if group == "sales_b":
+        # Other column order, lower-case status, ISO dates, an extra column.
+        order = [S.ARTICLE, S.SALES_DATE, S.REGION, S.STATUS, S.BONUS_BUY, S.NET_SALES, S.QUANTITY,
+                 S.SUBCAT, S.PSA]
+        return rows.select(*[
+            F.date_format(S.SALES_DATE, "yyyy-MM-dd").alias(c) if c == S.SALES_DATE
+            else F.lower(S.STATUS).alias(c) if c == S.STATUS
+            else F.col(f"`{c}`").cast("string").alias(c) for c in order], F.lit("x").alias("Note"))
+    # sales_c: no PSA column, so the whole file is rejected.
+    return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in S.REQUIRED_SALES if c != S.PSA])
+
+
+def _raw_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fc = forecast_table(spark, sf_dir)
+    return fc.orderBy(S.ROW_ORDER).select(
+        F.col(S.DESCRIPTION).alias(FORECAST_FILE_HEADERS[S.DESCRIPTION]),
+        F.date_format(S.START_DATE, "dd/MM/yyyy").alias(FORECAST_FILE_HEADERS[S.START_DATE]),
+        F.date_format(S.END_DATE, "dd/MM/yyyy").alias(FORECAST_FILE_HEADERS[S.END_DATE]),
+        F.col(S.FORECAST_QTY).cast("string").alias(FORECAST_FILE_HEADERS[S.FORECAST_QTY]))
+
+
+def _raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dirty_orders(spark, sf_dir).select(
+        F.col("o_orderkey").cast("string").alias("Order"), F.col("date_text").alias(S.SALES_DATE),
+        F.col("price_text").alias(S.NET_SALES), F.col("status_text").alias(S.STATUS))
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Write the raw CSV fixtures once per input folder (shared work folder); return their folders.
+
+    One file per folder (``coalesce(1)``), so the file name identifies the group.
+    """
+    from promolift.sources import store
+    built = {g: (lambda g=g: _raw_sales_group(spark, sf_dir, g)) for g in SALES_GROUPS}
+    built["forecast"] = lambda: _raw_forecast(spark, sf_dir)
+    built["orders"] = lambda: _raw_orders(spark, sf_dir)
+    out = {}
+    for name, build in built.items():
+        path = store.table_path(spark, f"raw_{name}", f"{sf_dir.rstrip('/')}|v{ADAPTER_VERSION}")
+        store.materialized_files(spark, path, lambda b=build: b().coalesce(1), fmt="csv")
+        out[name] = path
+    return out
