@@ -492,3 +492,22 @@ def q_materialize(spark, sf_dir):
     facts = P.analyze_promotions(prep, B.baselines(prep), apply_thresholds=False)
     stored = ST.materialize_promotions(spark, facts, sf_dir.rstrip("/") + "|All|All|All|All|All")
     return ST.min_days_view(stored, S.DEFAULT_MIN_DAYS)
+
+
+# ---------------------------------------------------------------- streaming ingest
+
+from promolift.streaming import ingest as STREAM  # noqa: E402
+
+
+@register("stream_ingest", Net__Sales=MONEY, Sales__Quantity=MONEY)
+def q_stream_ingest(spark, sf_dir):
+    """Files of one layout ingested by the file-source stream (run to completion), read back."""
+    key = f"{sf_dir.rstrip('/')}|v{FX.ADAPTER_VERSION}"
+    table = ST.table_path(spark, "stream_sales", key)
+    with ST._LOCK:
+        if not ST._exists(spark, f"{table}/_done"):
+            src = _raw(spark, sf_dir)["sales_a"]
+            q = STREAM.start_sales_ingest(spark, src, table, ST.table_path(spark, "stream_ckpt", key))
+            q.awaitTermination()
+            spark.createDataFrame([("ok",)], "s string").write.mode("overwrite").text(f"{table}/_done")
+    return STREAM.read_ingested(spark, table).select(*_SALES_OUT)

@@ -507,3 +507,8 @@ def sql(name: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql(name) for name in BODIES if name in catalog.QUERIES}
+
+BODIES["stream_ingest"] = """
+SELECT DISTINCT "Region", "PSA", "Sub Category", "Bonus Buy", "Sales Date", "Promotion Status", "Article",
+       "Net Sales", "Sales Quantity"
+FROM sales WHERE "Region" IN ('AFRICA', 'AMERICA')"""
