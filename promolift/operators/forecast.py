@@ -100,6 +100,9 @@ def clean_forecast(raw: DataFrame, mapping: dict[str, str] | None = None) -> Dat
         S.FORECAST_QTY: C.num_or_null(F.col(S.FORECAST_QTY), types[S.FORECAST_QTY]),
     })
     df = df.withColumn(S.DURATION_DAYS, F.coalesce(F.datediff(S.END_DATE, S.START_DATE) + 1, F.lit(1)).cast("int"))
+    if S.ROW_ORDER not in df.columns:
+        from promolift.sources.csv import with_load_order
+        df = with_load_order(df)
     return df.dropna(subset=[S.START_DATE, S.FORECAST_QTY])
 
 

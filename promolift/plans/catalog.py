@@ -285,12 +285,12 @@ def q_forecast_accuracy(spark, sf_dir):
 
 @register("forecast_match", Forecast_Qty=4, Forecast_Daily_Qty=4)
 def q_forecast_match(spark, sf_dir):
-    return FC.forecast_match(FX.sales_table(spark, sf_dir), FX.forecast_table(spark, sf_dir), "contains")
+    return FC.forecast_match(_prep(spark, sf_dir), FX.forecast_table(spark, sf_dir), "contains")
 
 
 @register("forecast_match_token", Forecast_Qty=4, Forecast_Daily_Qty=4)
 def q_forecast_match_token(spark, sf_dir):
-    return FC.forecast_match(FX.sales_table(spark, sf_dir), FX.forecast_table(spark, sf_dir), "token")
+    return FC.forecast_match(_prep(spark, sf_dir), FX.forecast_table(spark, sf_dir), "token")
 
 
 @register("forecast_stats", avg_forecast_qty=4, total_forecast_qty=MONEY)

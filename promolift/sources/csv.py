@@ -78,6 +78,21 @@ def with_lineage(df: DataFrame) -> DataFrame:
     return df.withColumn(S.SOURCE_FILE, F.col("_metadata.file_name"))
 
 
+def with_load_order(df: DataFrame) -> DataFrame:
+    """``row_order``: (file path, split start, position) - the order rows were loaded in.
+
+    Used for "first" (first forecast, first sub category). Falls back to
+    ``monotonically_increasing_id`` for DataFrames not read from files.
+    """
+    try:
+        order = F.struct(F.col("_metadata.file_path").alias("file"),
+                         F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("pos"))
+        return df.withColumn(S.ROW_ORDER, order)
+    except Exception:  # noqa: BLE001 - not a file scan: no metadata column
+        return df.withColumn(S.ROW_ORDER, F.monotonically_increasing_id())
+
+
 @dataclass
 class Loaded:
     data: DataFrame          # accepted rows, union by name, with source_file
