@@ -8,7 +8,7 @@ the Parquet scan).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolift import schema as S
@@ -105,9 +105,19 @@ def article_info(prepared: DataFrame) -> DataFrame:
     return prepared.groupBy(S.ARTICLE).agg(*aggs)
 
 
-def promo_types(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> DataFrame:
-    """Reliable region promotions summed by Article and Bonus Buy, best uplift first."""
-    rel = article_uplift(prepared, min_days)
+def _reliable_by_article(prepared: DataFrame, min_days: int) -> DataFrame:
+    """Reliable region promotions, hash-partitioned by Article once.
+
+    Rows here are already aggregated (one per article, promo type and region),
+    so an article's rows are bounded by its promo types times regions, however
+    many sales rows it has. Every later step (promo types, per-article
+    medians, counts) runs on this partitioning without another shuffle.
+    """
+    return article_uplift(prepared, min_days).repartition(S.ARTICLE)
+
+
+def promo_types_from(rel: DataFrame, *extra) -> DataFrame:
+    """Reliable region promotions summed by Article and Bonus Buy."""
     aggs = [F.sum("PromoSales").alias("Total_Sales"),
             F.sum("PromoQuantity").alias("Total_Quantity"),
             F.avg("PromoDays").alias("Avg_PromoDays"),
@@ -117,26 +127,39 @@ def promo_types(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> Data
     if S.FORECAST_QTY in rel.columns:
         aggs += [F.max(S.FORECAST_QTY).alias("Total_Forecast"),
                  F.avg("Forecast_Accuracy").alias("Forecast_Accuracy")]
-    df = rel.groupBy(S.ARTICLE, S.BONUS_BUY).agg(*aggs)
-    df = df.withColumn("Uplift_Pct", F.try_divide(F.col("Uplift"), F.col("Baseline"))) \
-           .withColumn("Uplift_Numeric", F.col("Uplift_Pct") * 100) \
-           .withColumn("Uplift_Display", L.pct_text(F.col("Uplift_Numeric"), scale=1.0))
-    return df.orderBy(S.ARTICLE, F.col("Uplift_Numeric").desc_nulls_last(), S.BONUS_BUY)
+    df = rel.groupBy(S.ARTICLE, S.BONUS_BUY).agg(*aggs, *extra)
+    return df.withColumn("Uplift_Pct", F.try_divide(F.col("Uplift"), F.col("Baseline"))) \
+             .withColumn("Uplift_Numeric", F.col("Uplift_Pct") * 100) \
+             .withColumn("Uplift_Display", L.pct_text(F.col("Uplift_Numeric"), scale=1.0))
+
+
+def promo_types(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> DataFrame:
+    """Reliable region promotions summed by Article and Bonus Buy."""
+    return promo_types_from(article_uplift(prepared, min_days))
+
+
+def rank_promo_types(types: DataFrame) -> DataFrame:
+    """Display order: per article, best uplift first (ties by Bonus Buy)."""
+    return types.orderBy(S.ARTICLE, F.col("Uplift_Numeric").desc_nulls_last(), S.BONUS_BUY)
 
 
 def effectiveness(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> DataFrame:
-    """Per article: mean uplift %, promo types, success rate, mean duration, accuracy, regions, verdict."""
-    types = promo_types(prepared, min_days)
+    """Per article: mean uplift %, promo types, success rate, mean duration, accuracy, regions, verdict.
+
+    One shuffle by Article: the distinct reliable regions are a window count
+    over the article's rows, carried through the promo-type aggregation.
+    """
+    rel = _reliable_by_article(prepared, min_days)
+    rel = rel.withColumn("_regions", F.size(F.collect_set(S.REGION).over(Window.partitionBy(S.ARTICLE))))
+    types = promo_types_from(rel, F.max("_regions").alias("_regions"))
     aggs = [F.avg("Uplift_Numeric").alias("avg_uplift_pct"),
             F.count(F.lit(1)).alias("num_types"),
             (F.avg((F.col("Uplift_Pct") > 0).cast("double")) * 100).alias("success_rate"),
             F.avg("Avg_PromoDays").alias("avg_duration")]
     if "Forecast_Accuracy" in types.columns:
         aggs.append((F.avg("Forecast_Accuracy") * 100).alias("forecast_accuracy_pct"))
-    per_article = types.groupBy(S.ARTICLE).agg(*aggs)
-    regions = (article_uplift(prepared, min_days).groupBy(S.ARTICLE)
-               .agg(F.countDistinct(S.REGION).alias("reliable_regions")))
-    return (per_article.join(regions, S.ARTICLE, "left")
+    aggs.append(F.max("_regions").cast("long").alias("reliable_regions"))
+    return (types.groupBy(S.ARTICLE).agg(*aggs)
             .withColumn("verdict", L.effectiveness(F.col("avg_uplift_pct"))))
 
 
@@ -146,7 +169,7 @@ def quartiles(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> DataFr
     Exact ``percentile`` keeps a value -> count map per group; groups here are
     the promo types of one article.
     """
-    types = promo_types(prepared, min_days)
+    types = promo_types_from(_reliable_by_article(prepared, min_days))
     ps = F.percentile(F.col("Total_Sales"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     pq = F.percentile(F.col("Total_Quantity"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return (types.groupBy(S.ARTICLE).agg(ps.alias("_s"), pq.alias("_q"))
@@ -158,9 +181,15 @@ def quartiles(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> DataFr
 
 
 def quadrants(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> DataFrame:
-    """Each promo type placed by the article's median sales (value) and quantity (volume)."""
-    types = promo_types(prepared, min_days)
-    q = quartiles(prepared, min_days).select(S.ARTICLE, "median_sales", "median_quantity")
-    df = types.select(S.ARTICLE, S.BONUS_BUY, "Total_Sales", "Total_Quantity", "Uplift_Pct").join(q, S.ARTICLE)
+    """Each promo type placed by its article's median sales (value) and quantity (volume).
+
+    The medians are window aggregates over the article's promo types, on the
+    partitioning the types already have: one pass, no join back.
+    """
+    types = promo_types_from(_reliable_by_article(prepared, min_days))
+    w = Window.partitionBy(S.ARTICLE)
+    df = types.select(S.ARTICLE, S.BONUS_BUY, "Total_Sales", "Total_Quantity", "Uplift_Pct",
+                      F.percentile(F.col("Total_Sales"), F.lit(0.5)).over(w).alias("median_sales"),
+                      F.percentile(F.col("Total_Quantity"), F.lit(0.5)).over(w).alias("median_quantity"))
     name = L.quadrant(F.col("Total_Sales"), F.col("Total_Quantity"), F.col("median_sales"), F.col("median_quantity"))
     return df.withColumn("Quadrant", name).withColumn("Advice", L.quadrant_advice(F.col("Quadrant")))
