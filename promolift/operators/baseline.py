@@ -14,7 +14,7 @@ never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolift import schema as S
@@ -78,23 +78,46 @@ def clean_rows(sales: DataFrame) -> DataFrame:
     return nonpromo.join(promo_dates(sales), [S.ARTICLE, S.SALES_DATE], "left_anti")
 
 
+def region_days(sales: DataFrame) -> DataFrame:
+    """One row per (Article, Region, Sales Date): promo flag and NON-PROMO rows, sales, quantity."""
+    promo = S.is_promo()
+    return (sales.where(F.col(S.ARTICLE).isNotNull())
+            .groupBy(S.ARTICLE, S.REGION, S.SALES_DATE)
+            .agg(F.bool_or(promo).alias("has_promo"),
+                 F.count_if(~promo).alias("nonpromo_rows"),
+                 F.sum(F.when(~promo, F.col(S.NET_SALES))).alias("nonpromo_sales"),
+                 F.sum(F.when(~promo, F.col(S.QUANTITY))).alias("nonpromo_qty")))
+
+
+def clean_region_days(sales: DataFrame) -> DataFrame:
+    """Region-days with NON-PROMO rows on a date the article has no promo row in any region.
+
+    The article-wide promo flag is a window over (Article, Sales Date) on
+    region-day rows (at most one per region), so no raw rows are joined or
+    shuffled: the rows were combined map-side in ``region_days``.
+    """
+    day = Window.partitionBy(S.ARTICLE, S.SALES_DATE)
+    rd = region_days(sales).withColumn("_day_promo", F.bool_or("has_promo").over(day))
+    return rd.where(~F.col("_day_promo") & (F.col("nonpromo_rows") > 0)).drop("_day_promo")
+
+
 def region_baselines(sales: DataFrame) -> DataFrame:
     """Per article and region, over clean rows: sales, days, mean quantity, daily average."""
-    return (clean_rows(sales)
-            .where(F.col(S.ARTICLE).isNotNull() & F.col(S.REGION).isNotNull())
+    return (clean_region_days(sales)
+            .where(F.col(S.REGION).isNotNull())
             .groupBy(S.ARTICLE, S.REGION)
-            .agg(F.sum(S.NET_SALES).alias("NonPromoSales"),
-                 F.countDistinct(S.SALES_DATE).alias("NonPromoDays"),
-                 F.avg(S.QUANTITY).alias("AvgQuantity"))
+            .agg(F.sum("nonpromo_sales").alias("NonPromoSales"),
+                 F.count(F.lit(1)).alias("NonPromoDays"),
+                 (F.sum("nonpromo_qty") / F.sum("nonpromo_rows")).alias("AvgQuantity"))
             .withColumn("Daily_NonPromo_Avg", F.col("NonPromoSales") / F.col("NonPromoDays")))
 
 
 def article_daily_avg(sales: DataFrame) -> DataFrame:
-    """Per article: clean sales / max(clean days, 1)."""
-    return (clean_rows(sales)
-            .where(F.col(S.ARTICLE).isNotNull())
-            .groupBy(S.ARTICLE)
-            .agg(F.sum(S.NET_SALES).alias("clean_sales"),
-                 F.countDistinct(S.SALES_DATE).alias("clean_days"))
+    """Per article with clean days: clean sales / max(clean days, 1)."""
+    clean = ~F.col("has_promo") & (F.col("nonpromo_rows") > 0)
+    return (article_days(sales).groupBy(S.ARTICLE)
+            .agg(F.sum(F.when(clean, F.col("nonpromo_sales"))).alias("clean_sales"),
+                 F.count_if(clean).alias("clean_days"))
+            .where(F.col("clean_days") > 0)
             .select(S.ARTICLE,
                     (F.col("clean_sales") / F.greatest(F.col("clean_days"), F.lit(1))).alias("overall_daily_avg")))
