@@ -39,6 +39,11 @@ def valid_articles(prepared: DataFrame, min_promo: int = S.VALID_ARTICLE_MIN_PRO
     return df.limit(limit) if limit else df
 
 
+def article_list(prepared: DataFrame, limit: int | None = S.VALID_ARTICLE_LIMIT) -> DataFrame:
+    """The valid articles in alphabetical order (the choice list)."""
+    return valid_articles(prepared, limit=limit).select(S.ARTICLE).orderBy(S.ARTICLE)
+
+
 def article_rows(prepared: DataFrame, article: str) -> DataFrame:
     return prepared.where(F.col(S.ARTICLE) == F.lit(article))
 

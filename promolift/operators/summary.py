@@ -52,7 +52,13 @@ def promo_kpis(rows: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("promotions")]
     if "Forecast_Accuracy" in rows.columns:
         aggs.append((F.avg("Forecast_Accuracy") * 100).alias("forecast_accuracy_pct"))
-    return rows.agg(*aggs)
+    k = rows.agg(*aggs)
+    texts = {"avg_uplift_display": L.pct_text(F.col("avg_uplift_pct"), scale=1.0),
+             "total_uplift_display": L.thousands_text(F.col("total_uplift_k")),
+             "avg_duration_display": F.format_string("%.1f days", F.col("avg_duration"))}
+    if "forecast_accuracy_pct" in k.columns:
+        texts["forecast_accuracy_display"] = L.pct_text(F.col("forecast_accuracy_pct"), scale=1.0)
+    return k.withColumns(texts)
 
 
 def top_kpis(rollup: DataFrame, n: int = S.DEFAULT_TOP_N) -> DataFrame:

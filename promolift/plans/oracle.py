@@ -306,7 +306,13 @@ _KPI = """
 SELECT avg("Uplift_Pct") * 100 AS avg_uplift_pct,
        (sum("PromoSales") - sum("BaselineSales")) / 1000 AS total_uplift_k,
        avg("Duration") AS avg_duration, sum("PromoSales") AS total_sales, count(*) AS promotions,
-       avg("Forecast_Accuracy") * 100 AS forecast_accuracy_pct
+       avg("Forecast_Accuracy") * 100 AS forecast_accuracy_pct,
+       printf('%+.1f%%', round(avg("Uplift_Pct") * 100, 1)) AS avg_uplift_display,
+       '$' || format('{{:,.0f}}', round((sum("PromoSales") - sum("BaselineSales")) / 1000)) || 'K'
+         AS total_uplift_display,
+       printf('%.1f days', round(avg("Duration"), 1)) AS avg_duration_display,
+       CASE WHEN avg("Forecast_Accuracy") IS NULL THEN 'N/A'
+            ELSE printf('%+.1f%%', round(avg("Forecast_Accuracy") * 100, 1)) END AS forecast_accuracy_display
 FROM ({inner}) t"""
 BODIES["top_kpis"] = _KPI.format(inner=BODIES["top_promos"])
 BODIES["bottom_kpis"] = _KPI.format(inner=BODIES["bottom_promos"])
