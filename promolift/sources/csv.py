@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv as _csv
 import io
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,8 +111,10 @@ def load_many(spark: SparkSession, paths: list[str] | str, required: list[str] |
     req = S.REQUIRED_SALES if required is None else required
     files = list_files(spark, paths)
     groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        header = tuple(h.strip() for h in peek_header(spark, f))
+    # Header peeks are small reads, I/O bound: a few at a time.
+    with ThreadPoolExecutor(max_workers=min(16, max(1, len(files)))) as pool:
+        headers = list(pool.map(lambda f: tuple(h.strip() for h in peek_header(spark, f)), files))
+    for f, header in zip(files, headers):
         groups.setdefault(header, []).append(f)
     parts: list[DataFrame] = []
     rejected: list[tuple[str, str]] = []

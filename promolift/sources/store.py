@@ -59,7 +59,11 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
     path = table_path(spark, name, key)
     with _LOCK:
         if not _exists(spark, f"{path}/_SUCCESS"):
-            (writer or write_sales_table)(build(), path)
+            # No _SUCCESS: absent, or left unfinished by a failed run of ours.
+            if writer is None:
+                write_sales_table(build(), path, mode="overwrite")
+            else:
+                writer(build(), path)
     return spark.read.parquet(path)
 
 
@@ -69,9 +73,9 @@ def materialized_files(spark: SparkSession, path: str, build: Callable[[], DataF
         if not _exists(spark, f"{path}/_SUCCESS"):
             df = build()
             if fmt == "csv":
-                write_csv(df, path)
+                write_csv(df, path, mode="overwrite")
             else:
-                df.write.parquet(path)
+                df.write.mode("overwrite").parquet(path)
     return path
 
 
@@ -99,7 +103,7 @@ def materialize_promotions(spark: SparkSession, facts: DataFrame, key: str) -> D
     the stored facts, so changing them does not recompute baselines.
     """
     return materialized(spark, "promo_facts", key, lambda: facts,
-                        writer=lambda df, p: df.write.parquet(p))
+                        writer=lambda df, p: df.write.mode("overwrite").parquet(p))
 
 
 def min_days_view(facts: DataFrame, min_days: int) -> DataFrame:

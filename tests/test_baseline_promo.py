@@ -84,3 +84,19 @@ def test_region_filter(spark):
     f = P.filter_sales(df, S.Filters(region="R2"))
     assert [r[S.REGION] for r in f.collect()] == ["R2"]
     assert P.filter_sales(df.withColumn(S.YEAR, F.lit(2025)), S.Filters(year=2024)).count() == 0
+
+
+def test_article_list_and_type_order(spark):
+    from promolift.operators import article as A
+    from promolift.operators import summary as SM
+    rows = [("R1", a, d, NON, None, 10) for a in ("B", "A") for d in (0, 1, 2, 3)]
+    rows += [("R1", a, d, PRO, bb, v) for a, bb, v in (("B", "X", 40), ("B", "Y", 5), ("A", "X", 30)) for d in (4, 5)]
+    prep = FC.prepare(sales(spark, rows))
+    assert [r.Article for r in A.article_list(prep).collect()] == ["A", "B"]
+    ranked = A.rank_promo_types(A.promo_types(prep)).collect()
+    assert [(r.Article, r[S.BONUS_BUY]) for r in ranked] == [("A", "X"), ("B", "X"), ("B", "Y")]
+    prof = SM.profile(prep, approximate=True).collect()[0]
+    assert prof.rows == prep.count() and prof.articles == 2 and prof.invalid_dates == 0
+    roll = P.promo_rollup(P.analyze_promotions(prep, B.baselines(prep), min_days=2, min_baseline=0))
+    worst = SM.verdict_detail(roll, "Significant Loss").collect()
+    assert [(r.Article, r[S.BONUS_BUY]) for r in worst] == [("B", "Y")]

@@ -2,7 +2,6 @@
 
 import os
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
