@@ -86,19 +86,34 @@ def promo_summary(sales: DataFrame, region: str = S.ALL) -> DataFrame:
     return region_scope(sales, region).dropna(subset=keys).groupBy(*keys).agg(*aggs)
 
 
+def region_daily_baselines(sales: DataFrame, min_clean_days: int = S.MIN_CLEAN_DAYS) -> DataFrame:
+    """Article, Region, Daily_Avg from each region's own clean days (``baseline_by="region"``)."""
+    from promolift.operators.baseline import region_baselines
+    return (region_baselines(sales).where(F.col("NonPromoDays") >= min_clean_days)
+            .select(S.ARTICLE, S.REGION, F.col("Daily_NonPromo_Avg").alias("Daily_Avg")))
+
+
 def analyze_promotions(sales: DataFrame, baselines: DataFrame, min_days: int = S.DEFAULT_MIN_DAYS,
                        region: str = S.ALL, min_baseline: float = S.MIN_BASELINE_SALES,
-                       apply_thresholds: bool = True) -> DataFrame:
+                       apply_thresholds: bool = True, baseline_by: str = "article") -> DataFrame:
     """Valid promotions with uplift, forecast accuracy, verdict and confidence.
 
     The summary is joined to the per-article baselines (one row per article;
-    AQE broadcasts it when it is measured small, else a shuffle join).
+    AQE broadcasts it when it is measured small, else a shuffle join). The
+    default compares each region's promotion with the article's all-region
+    baseline, as the reference does; ``baseline_by="region"`` uses the
+    region's own baseline (``region_daily_baselines``) instead.
     With ``apply_thresholds=False`` the facts come back unfiltered and
     unlabelled, for materialising once and thresholding late.
     """
     summary = promo_summary(sales, region)
     keys = S.promo_keys(sales.columns)
-    df = summary.join(baselines.select(S.ARTICLE, "Daily_Avg"), S.ARTICLE, "inner")
+    if baseline_by == "region":
+        df = summary.join(baselines.select(S.ARTICLE, S.REGION, "Daily_Avg"), [S.ARTICLE, S.REGION], "inner")
+    elif baseline_by == "article":
+        df = summary.join(baselines.select(S.ARTICLE, "Daily_Avg"), S.ARTICLE, "inner")
+    else:
+        raise ValueError(f"baseline_by must be 'article' or 'region', not {baseline_by!r}")
     df = df.withColumn("BaselineSales", F.col("Daily_Avg") * F.col("PromoDays"))
     df = df.withColumn("Uplift_Pct", C.uplift(F.col("PromoSales"), F.col("BaselineSales")))
     has_fc = S.FORECAST_QTY in df.columns

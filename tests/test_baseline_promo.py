@@ -100,3 +100,14 @@ def test_article_list_and_type_order(spark):
     roll = P.promo_rollup(P.analyze_promotions(prep, B.baselines(prep), min_days=2, min_baseline=0))
     worst = SM.verdict_detail(roll, "Significant Loss").collect()
     assert [(r.Article, r[S.BONUS_BUY]) for r in worst] == [("B", "Y")]
+
+
+def test_region_baseline_option(spark):
+    rows = [("R1", "A", d, NON, None, 100) for d in (0, 1, 2, 3)]
+    rows += [("R2", "A", d, NON, None, 300) for d in (0, 1, 2, 3)]
+    rows += [("R1", "A", d, PRO, "BB", 150) for d in (4, 5, 6)]
+    prep = FC.prepare(sales(spark, rows))
+    by_article = P.analyze_promotions(prep, B.baselines(prep), 3).collect()[0]
+    assert by_article.BaselineSales == 3 * 400.0  # all regions: 400 a day
+    by_region = P.analyze_promotions(prep, P.region_daily_baselines(prep), 3, baseline_by="region").collect()[0]
+    assert (by_region.BaselineSales, by_region.Uplift_Pct) == (300.0, 0.5)
