@@ -30,6 +30,11 @@ from promolift import schema as S
 from promolift.functions import clean as C
 
 REGEX_BROADCAST_MAX_ROWS = 2_000_000
+# Broadcast the article side (or the per-article match table) only under this
+# many bytes, computed from a counted bound, never from a planner estimate
+# (the estimate of an exploded side ignores the explosion).
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+_ROW_OVERHEAD = 48  # bytes per row on top of the text, generous
 
 
 # ---------------------------------------------------------------- cleaning
@@ -118,10 +123,19 @@ def _candidates(fc: DataFrame) -> DataFrame:
     ).where(F.col("_desc").isNotNull())
 
 
-def _article_lengths(articles: DataFrame) -> list[int]:
-    # A handful of small integers (bounded by the longest article text).
-    return sorted(r[0] for r in articles.select(F.length(S.ARTICLE).alias("n")).distinct().collect()
-                  if r[0] is not None and r[0] > 0)
+def _article_stats(articles: DataFrame) -> tuple[int, list[int]]:
+    """Number of articles and their distinct text lengths, in one small job.
+
+    The lengths are a handful of integers (bounded by the longest article);
+    the count gives a proven size bound for broadcasting the article side.
+    """
+    row = articles.agg(F.count(F.lit(1)).alias("n"),
+                       F.array_sort(F.collect_set(F.length(S.ARTICLE))).alias("lens")).collect()[0]
+    return int(row.n), [int(x) for x in (row.lens or []) if x is not None and x > 0]
+
+
+def _bounded_bytes(n: int, lengths: list[int], extra: int = 0) -> int:
+    return n * ((max(lengths) if lengths else 0) + _ROW_OVERHEAD + extra)
 
 
 def _substrings(cand: DataFrame, lengths: list[int]) -> DataFrame:
@@ -142,35 +156,48 @@ def promo_articles(sales: DataFrame) -> DataFrame:
 
 def forecast_match(sales: DataFrame, fc: DataFrame, mode: str = "contains") -> DataFrame:
     """Article, Forecast_Qty, Forecast_Daily_Qty, forecast_order: the first forecast per promoted article."""
+    return _match(sales, fc, mode)[0]
+
+
+def _match(sales: DataFrame, fc: DataFrame, mode: str) -> tuple[DataFrame, bool]:
+    """The match table, and whether it (one row per article) is proven small enough to broadcast."""
     articles = promo_articles(sales)
     cand = _candidates(fc)
+    n, lengths = _article_stats(articles)
+    small = _bounded_bytes(n, lengths) <= BROADCAST_MAX_BYTES
+    art = F.broadcast(articles) if small else articles
+
+    def equi(side: DataFrame) -> DataFrame:
+        # Large article side: keep the exploded side out of any broadcast.
+        side = side if small else side.hint("merge")
+        return side.join(art, side["_key"] == art[S.ARTICLE]).drop("_key")
+
     if mode == "contains":
-        lengths = _article_lengths(articles)
         if not lengths:
             pairs = articles.select(S.ARTICLE).limit(0).withColumns(
                 {"_order": F.lit(None).cast("long"), "_qty": F.lit(None).cast("double"),
                  "_daily": F.lit(None).cast("double")})
         else:
-            subs = _substrings(cand, lengths)
-            pairs = subs.join(articles, subs["_key"] == articles[S.ARTICLE]).drop("_key")
+            pairs = equi(_substrings(cand, lengths))
     elif mode == "token":
         toks = cand.select(F.explode(F.array_distinct(F.split(F.col("_desc"), r"\s+"))).alias("_key"),
                            "_order", "_qty", "_daily")
-        pairs = toks.join(articles, toks["_key"] == articles[S.ARTICLE]).drop("_key")
+        pairs = equi(toks)
     elif mode == "regex":
-        n = cand.count()
-        if n > REGEX_BROADCAST_MAX_ROWS:
-            raise ValueError(f"regex matching needs a broadcast forecast table; {n} rows is above "
+        n_fc = cand.count()
+        if n_fc > REGEX_BROADCAST_MAX_ROWS:
+            raise ValueError(f"regex matching needs a broadcast forecast table; {n_fc} rows is above "
                              f"{REGEX_BROADCAST_MAX_ROWS}: use mode='contains' or 'token'")
         pairs = articles.join(F.broadcast(cand), F.regexp(F.col("_desc"), F.col(S.ARTICLE))).drop("_desc")
     else:
         raise ValueError(f"unknown match mode {mode!r}")
     best = F.min_by(F.struct("_qty", "_daily", "_order"), F.col("_order"))
-    return (pairs.groupBy(S.ARTICLE).agg(best.alias("_fc"))
-            .select(S.ARTICLE,
-                    F.col("_fc._qty").alias(S.FORECAST_QTY),
-                    F.col("_fc._daily").alias(S.FORECAST_DAILY),
-                    F.col("_fc._order").alias("forecast_order")))
+    out = (pairs.groupBy(S.ARTICLE).agg(best.alias("_fc"))
+           .select(S.ARTICLE,
+                   F.col("_fc._qty").alias(S.FORECAST_QTY),
+                   F.col("_fc._daily").alias(S.FORECAST_DAILY),
+                   F.col("_fc._order").alias("forecast_order")))
+    return out, _bounded_bytes(n, lengths, extra=64) <= BROADCAST_MAX_BYTES
 
 
 def no_forecast(sales: DataFrame) -> DataFrame:
@@ -191,8 +218,11 @@ def attach_forecast(sales: DataFrame, fc: DataFrame | None, mode: str = "contain
     base = sales.drop(S.HAS_FORECAST, S.FORECAST_QTY, S.FORECAST_DAILY)
     if fc is None:
         return no_forecast(base)
-    m = forecast_match(base, fc, mode).withColumnRenamed(S.ARTICLE, "_m_article")
-    joined = base.join(m, base[S.ARTICLE] == m["_m_article"], "left")
+    m, small = _match(base, fc, mode)
+    m = m.withColumnRenamed(S.ARTICLE, "_m_article")
+    # One row per promoted article: broadcast under the counted bound, else a
+    # shuffle join (AQE splits a hot article on the sales side).
+    joined = base.join(F.broadcast(m) if small else m, base[S.ARTICLE] == m["_m_article"], "left")
     promo = S.is_promo()
     matched = F.col("_m_article").isNotNull()
     return joined.select(

@@ -57,3 +57,16 @@ def test_header_mapping_rules():
     m = FC.header_mapping(["Description", "END DATE", "DATE", "TTL Forecast Qty"])
     assert m["END DATE"] == S.START_DATE and "DATE" not in m
     assert FC.header_mapping(["Vendor", "End"]).get("Vendor") == S.END_DATE
+
+
+def test_large_article_side_is_not_broadcast(spark, monkeypatch):
+    sales = spark.createDataFrame([("12", "PROMO"), ("34", "PROMO")], SALES)
+    fc = _fc(spark, [("x 1234 y", 5.0), ("12 z", 7.0)])
+    small = {r.Article: r.Forecast_Qty for r in FC.forecast_match(sales, fc).collect()}
+    monkeypatch.setattr(FC, "BROADCAST_MAX_BYTES", 0)
+    df = FC.forecast_match(sales, fc)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan.split("AdaptiveSparkPlan")[-1] or "isFinalPlan=false" in plan
+    assert {r.Article: r.Forecast_Qty for r in df.collect()} == small
+    out = FC.attach_forecast(sales, fc).collect()
+    assert sorted((r.Article, r.Forecast_Qty) for r in out) == [("12", 5.0), ("34", 5.0)]
