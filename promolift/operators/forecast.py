@@ -191,12 +191,13 @@ def _match(sales: DataFrame, fc: DataFrame, mode: str) -> tuple[DataFrame, bool]
         pairs = articles.join(F.broadcast(cand), F.regexp(F.col("_desc"), F.col(S.ARTICLE))).drop("_desc")
     else:
         raise ValueError(f"unknown match mode {mode!r}")
-    best = F.min_by(F.struct("_qty", "_daily", "_order"), F.col("_order"))
-    out = (pairs.groupBy(S.ARTICLE).agg(best.alias("_fc"))
-           .select(S.ARTICLE,
-                   F.col("_fc._qty").alias(S.FORECAST_QTY),
-                   F.col("_fc._daily").alias(S.FORECAST_DAILY),
-                   F.col("_fc._order").alias("forecast_order")))
+    # The load order is unique per forecast, so three scalar aggregates pick
+    # the same (first) forecast and keep fixed-width buffers (hash aggregate).
+    order = F.col("_order")
+    out = (pairs.groupBy(S.ARTICLE)
+           .agg(F.min_by("_qty", order).alias(S.FORECAST_QTY),
+                F.min_by("_daily", order).alias(S.FORECAST_DAILY),
+                F.min(order).alias("forecast_order")))
     return out, _bounded_bytes(n, lengths, extra=64) <= BROADCAST_MAX_BYTES
 
 
