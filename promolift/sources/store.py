@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import threading
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promolift import schema as S
 from promolift.session import work_dir
@@ -88,12 +90,40 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def append_dedup(existing: DataFrame, new: DataFrame) -> DataFrame:
+def new_rows_only(new: DataFrame, existing: DataFrame, columns: list[str] | None = None,
+                  prune_on: str | None = S.YEAR) -> DataFrame:
+    """Distinct rows of ``new`` that ``existing`` does not already hold.
+
+    Null-safe equality on every column (a NULL Bonus Buy equals a NULL one);
+    Spark plans it as an equi-join, so the stored side is shuffled or
+    broadcast by its measured size. Dynamic pruning does not reach the right
+    side of an anti join, so the stored side is filtered to the ``prune_on``
+    values (years: a handful) present in the new rows, which prunes the
+    stored table's partition folders.
+    """
+    cols = columns or [c for c in new.columns if c in existing.columns]
+    fresh = new.dropDuplicates()
+    if prune_on and prune_on in fresh.columns and prune_on in existing.columns:
+        values = [r[0] for r in fresh.select(prune_on).distinct().collect()]
+        keep = F.col(prune_on).isin([v for v in values if v is not None])
+        if None in values:
+            keep = keep | F.col(prune_on).isNull()
+        existing = existing.where(keep)
+    cond = reduce(lambda a, b: a & b, [fresh[c].eqNullSafe(existing[c]) for c in cols])
+    return fresh.join(existing, cond, "left_anti")
+
+
+def append_dedup(existing: DataFrame, new: DataFrame, existing_is_distinct: bool = True) -> DataFrame:
     """Existing rows plus new rows (union by name), duplicates removed.
 
+    A stored table is kept distinct, so only the new rows are deduplicated
+    and anti-joined against it; the stored rows are not re-aggregated on every
+    append. Pass ``existing_is_distinct=False`` to deduplicate everything.
     The result is lazy; write it to a *new* path, then switch readers over.
     """
-    return existing.unionByName(new, allowMissingColumns=True).dropDuplicates()
+    if not existing_is_distinct:
+        return existing.unionByName(new, allowMissingColumns=True).dropDuplicates()
+    return existing.unionByName(new_rows_only(new, existing), allowMissingColumns=True)
 
 
 def materialize_promotions(spark: SparkSession, facts: DataFrame, key: str) -> DataFrame:

@@ -18,8 +18,6 @@ for a one-off load of mixed layouts.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from promolift import schema as S
 from promolift.functions.clean import null_if_na
 from promolift.operators import ingest as I
+from promolift.sources.store import new_rows_only
 
 DATA_COLUMNS = S.REQUIRED_SALES + [S.SOURCE_FILE]
 
@@ -63,9 +62,7 @@ def append_batch(table_dir: str):
         new = batch.dropDuplicates(DATA_COLUMNS)
         if _exists(spark, table_dir):
             stored = spark.read.parquet(table_dir).where(F.col("batch_id") != batch_id)
-            cond = reduce(lambda a, b: a & b,
-                          [new[c].eqNullSafe(stored[c]) for c in DATA_COLUMNS + [S.YEAR]])
-            new = new.join(stored, cond, "left_anti")
+            new = new_rows_only(new, stored, DATA_COLUMNS + [S.YEAR])
         new.write.mode("overwrite").partitionBy(S.YEAR).parquet(f"{table_dir}/batch_id={batch_id}")
 
     return run
