@@ -44,8 +44,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and derived tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only when the session has
-    none (local tests) a fresh local folder is made and registered.
+    Uses the cluster's ``spark.checkpoint.dir``. Only in local mode with none
+    set (tests) a fresh local folder is made and registered; on a cluster a
+    missing setting is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -54,6 +55,10 @@ def work_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        # Executors on other machines cannot see a driver-local folder.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store) "
+                           "for the tables this library writes")
     local = tempfile.mkdtemp(prefix="promolift-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

@@ -58,3 +58,8 @@ def test_append_and_sink(spark, tmpdir_path):
 def test_dedup_keeps_first(spark):
     df = spark.createDataFrame([("x", 5), ("x", 2), ("y", 9)], "v string, row_order long")
     assert sorted(tuple(r) for r in I.dedup_rows(df, "row_order").collect()) == [("x", 2), ("y", 9)]
+
+
+def test_work_dir_uses_session_checkpoint_dir(spark):
+    from promolift.session import work_dir
+    assert work_dir(spark).rstrip("/") == spark.sparkContext.getCheckpointDir().rstrip("/")
