@@ -52,3 +52,40 @@ def summary_report(prepared: DataFrame, filters: S.Filters = S.Filters()) -> Sum
     valid = P.min_days_refilter(valid, filters.min_days)
     rollup = P.promo_rollup(valid, include_region_count=True)
     return SummaryReport(filtered, base, valid, rollup)
+
+
+def summary_report_reusing_facts(prepared: DataFrame, filters: S.Filters, key: str) -> SummaryReport:
+    """As ``summary_report``, but the un-thresholded promotion facts are saved once per
+    filter set without ``min_days`` (``key`` names the input), so another
+    ``min_days`` is a filter on the saved facts, not a new baseline computation."""
+    from promolift.sources import store as ST
+    filtered = P.filter_sales(prepared, filters)
+    base = B.baselines(filtered)
+    facts = P.analyze_promotions(filtered, base, region=filters.region, apply_thresholds=False)
+    stored = ST.materialize_promotions(prepared.sparkSession, facts, f"{key}|{filters.baseline_key()}")
+    valid = ST.min_days_view(stored, filters.min_days)
+    return SummaryReport(filtered, base, valid, P.promo_rollup(valid, include_region_count=True))
+
+
+@dataclass
+class ArticleReport:
+    kpis: DataFrame
+    info: DataFrame
+    region_baselines: DataFrame
+    uplift: DataFrame
+    promo_types: DataFrame
+    effectiveness: DataFrame
+    quartiles: DataFrame
+    quadrants: DataFrame
+
+
+def article_report(prepared: DataFrame, article: str | None = None,
+                   min_days: int = S.ARTICLE_MIN_DAYS) -> ArticleReport:
+    """The article view for every article, or for one (its filter reaches the Parquet scan)."""
+    from promolift.operators import article as A
+    df = A.article_rows(prepared, article) if article is not None else prepared
+    return ArticleReport(
+        kpis=A.article_kpis(df), info=A.article_info(df), region_baselines=B.region_baselines(df),
+        uplift=A.article_uplift(df, min_days), promo_types=A.rank_promo_types(A.promo_types(df, min_days)),
+        effectiveness=A.effectiveness(df, min_days), quartiles=A.quartiles(df, min_days),
+        quadrants=A.quadrants(df, min_days))

@@ -65,3 +65,17 @@ def test_properties(spark):
                if False else "Duration").collect())
     b = sorted(tuple(x) for x in rep.rollup.select(S.ARTICLE, S.BONUS_BUY, "Duration").collect())
     assert a == b
+
+
+def test_reports(spark):
+    prep = catalog._prep(spark, SMALL)
+    full = report.summary_report(prep, S.Filters(min_days=4))
+    reused = report.summary_report_reusing_facts(prep, S.Filters(min_days=4), SMALL)
+    cols = [S.ARTICLE, S.BONUS_BUY, "PromoSales"]
+    a = sorted(tuple(r) for r in full.rollup.select(*cols).collect())
+    b = sorted(tuple(r) for r in reused.rollup.select(*cols).collect())
+    assert a == b and len(a) > 0
+    art = A.valid_articles(prep).first().Article
+    one = report.article_report(prep, art)
+    assert set(r.Article for r in one.uplift.collect()) <= {art}
+    assert one.kpis.count() == 1
