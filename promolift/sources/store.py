@@ -36,16 +36,18 @@ def table_path(spark: SparkSession, name: str, key: str) -> str:
 def write_sales_table(df: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
     """Write a sales table as Parquet, partitioned by Year, sorted by Article inside files.
 
-    ``repartitionByRange(Year, Article)`` gives balanced write tasks (sampled
-    ranges, so one hot article or year does not land in one task) and tight
-    Article min/max statistics per row group, so a one-article lookup skips
-    most of the file. ``partitionBy(Year)`` lets year filters prune folders.
+    ``repartitionByRange(Year, Article, Sales Date, row_order)`` gives balanced
+    write tasks (sampled ranges; the trailing keys split a hot article) and
+    tight Article min/max statistics per row group, so a one-article lookup
+    skips most of the file. ``partitionBy(Year)`` lets year filters prune folders.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = df
     if S.YEAR in df.columns and S.ARTICLE in df.columns:
-        out = df.repartitionByRange(n, S.YEAR, S.ARTICLE).sortWithinPartitions(S.YEAR, S.ARTICLE)
+        # Trailing keys (date, unique load order) let the sampled ranges cut
+        # through one hot article, so its rows spread over many write tasks.
+        keys = [S.YEAR, S.ARTICLE] + [c for c in (S.SALES_DATE, S.ROW_ORDER) if c in df.columns]
+        out = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
         out.write.mode(mode).partitionBy(S.YEAR).parquet(path)
     else:
         df.write.mode(mode).parquet(path)

@@ -51,3 +51,14 @@ def test_hot_article(spark):
     assert len(merged) == len(brute) == len(summ)
     assert (merged.PromoDays == merged.PromoDays_b).all()
     assert ((merged.PromoSales - merged.PromoSales_b).abs() < 1e-6 * merged.PromoSales_b.abs().clip(lower=1)).all()
+
+
+def test_hot_article_write_is_split(spark, tmpdir_path):
+    from promolift.operators import forecast as FC
+    from promolift.sources import store as ST
+    prep = FC.prepare(_skewed(spark))
+    path = os.path.join(tmpdir_path, "saved")
+    ST.write_sales_table(prep, path, partitions=8)
+    files = (spark.read.parquet(path).where(F.col(S.ARTICLE) == "HOT")
+             .select(F.input_file_name().alias("f")).distinct().count())
+    assert files > 1
