@@ -1,6 +1,6 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Each query runs once to warm up, then ``BENCH_RUNS`` times (default 3) into
+Each query runs once to warm up, then ``BENCH_RUNS`` times (default 5) into
 Spark's ``noop`` sink (full execution, no collect); the median is reported.
 Prints one JSON line.
 """
@@ -29,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus)
     times: dict[str, float] = {}
