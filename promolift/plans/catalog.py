@@ -55,17 +55,31 @@ def register(name: str, **digits: int):
     return deco
 
 
+# DATE columns of each registered query: shown as ISO text in the comparison
+# projection (both sides), so the check does not depend on how a client
+# library represents dates (date objects vs. timestamps, None vs. NaT).
+DATES: dict[str, list[str]] = {
+    "promo_data": [S.SALES_DATE], "nonpromo_data": [S.SALES_DATE], "prepare": [S.SALES_DATE],
+    "clean_days": [S.SALES_DATE], "forecast_stats": ["min_start_date", "max_start_date"],
+    "profile": ["min_date", "max_date"], "article_metrics": ["first_date", "last_date"],
+    "article_rows": [S.SALES_DATE], "load_many": [S.SALES_DATE], "dedup_rows": [S.SALES_DATE],
+    "append_dedup": [S.SALES_DATE], "clean_forecast": [S.START_DATE, S.END_DATE], "preview": [S.SALES_DATE],
+    "parse_dates": ["parsed"], "stream_ingest": [S.SALES_DATE],
+}
+
+
 def quantize(c, digits: int):
     scale = F.lit(float(10 ** digits))
     return F.round(c * scale + F.lit(QUANT_OFFSET), 0) / scale
 
 
 def finish(name: str, df: DataFrame) -> DataFrame:
-    """Quantize the floating columns named in ``ROUND[name]`` (comparison projection)."""
+    """Quantize the floating columns named in ``ROUND[name]`` and render the
+    DATE columns of ``DATES[name]`` as ISO text (comparison projection)."""
     spec = ROUND.get(name, {})
-    if not spec:
-        return df
-    return df.withColumns({c: quantize(F.col(c), d) for c, d in spec.items() if c in df.columns})
+    out = {c: quantize(F.col(f"`{c}`"), d) for c, d in spec.items() if c in df.columns}
+    out.update({c: F.date_format(F.col(f"`{c}`"), "yyyy-MM-dd") for c in DATES.get(name, []) if c in df.columns})
+    return df.withColumns(out) if out else df
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -498,12 +498,15 @@ BODIES["materialize"] = "SELECT * FROM vp"
 
 def _rounded(name: str, body: str) -> str:
     spec = catalog.ROUND.get(name, {})
-    if not spec:
+    dates = catalog.DATES.get(name, [])
+    if not spec and not dates:
         return body
     # Round only columns the query has: DuckDB's REPLACE needs them to exist,
     # so each spec lists just the output's floating columns.
-    rep = ", ".join(f'round("{c}" * CAST({10 ** d} AS DOUBLE) + {catalog.QUANT_OFFSET}) / CAST({10 ** d} AS DOUBLE)'
-                    f' AS "{c}"' for c, d in spec.items())
+    parts = [f'round("{c}" * CAST({10 ** d} AS DOUBLE) + {catalog.QUANT_OFFSET}) / CAST({10 ** d} AS DOUBLE)'
+             f' AS "{c}"' for c, d in spec.items()]
+    parts += [f"strftime(\"{c}\", '%Y-%m-%d') AS \"{c}\"" for c in dates]
+    rep = ", ".join(parts)
     return f"SELECT * REPLACE ({rep}) FROM ({body}) q"
 
 

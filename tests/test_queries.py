@@ -79,3 +79,13 @@ def test_reports(spark):
     one = report.article_report(prep, art)
     assert set(r.Article for r in one.uplift.collect()) <= {art}
     assert one.kpis.count() == 1
+
+
+def test_date_registry_matches_schemas(spark):
+    from pyspark.sql import types as T
+    for name, fn in catalog.QUERIES.items():
+        if name == "stream_ingest":
+            continue
+        df = fn(spark, SMALL)
+        dates = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType)]
+        assert dates == catalog.DATES.get(name, []), name
