@@ -2,7 +2,8 @@
 
 Each query runs once to warm up, then ``BENCH_RUNS`` times (default 5) into
 Spark's ``noop`` sink (full execution, no collect); the median is reported.
-Prints one JSON line.
+Prints one JSON line. ``BENCH_EVENT_LOG_DIR`` (an existing folder) turns on
+Spark's event log there, for stage and task times.
 """
 
 from __future__ import annotations
@@ -31,7 +32,11 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus)
+    extra = {}
+    log_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    if log_dir:  # stage and task times for later study, without the web UI
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, extra_conf=extra)
     times: dict[str, float] = {}
     for name in names:
         df = catalog.run(name, spark, sf_dir)

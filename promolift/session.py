@@ -21,7 +21,7 @@ SESSION_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "promolift") -> SparkSession:
+                  app_name: str = "promolift", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Get or create a session with the library's settings.
 
     On a cluster, leave ``master`` unset (spark-submit decides) and size
@@ -34,6 +34,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in (extra_conf or {}).items():
+        builder = builder.config(key, value)
     if master and master.startswith("local"):
         builder = builder.config("spark.driver.memory", os.environ.get("PROMOLIFT_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
