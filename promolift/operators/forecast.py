@@ -252,3 +252,35 @@ def forecast_stats(fc: DataFrame) -> DataFrame:
                   F.max(S.START_DATE).alias("max_start_date"),
                   F.avg(S.FORECAST_QTY).alias("avg_forecast_qty"),
                   F.sum(S.FORECAST_QTY).alias("total_forecast_qty"))
+
+
+def load_forecasts(spark, paths, mapping: dict[str, str] | None = None):
+    """Forecast files with free-form headers: mapped, cleaned, unioned, duplicates dropped.
+
+    Files are grouped by header (one read per distinct header); a group that
+    lacks a required column after mapping is skipped and reported. Among
+    duplicates the first row in load order is kept. Returns (forecasts, rejected files).
+    """
+    from promolift.operators.ingest import dedup_rows
+    from promolift.sources import csv as CSV
+    files = CSV.list_files(spark, paths)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        groups.setdefault(tuple(CSV.peek_header(spark, f)), []).append(f)
+    parts, rejected = [], []
+    for header, members in groups.items():
+        norm = [normalise_header(h) for h in header]
+        m = header_mapping(norm) if mapping is None else mapping
+        missing = [c for c in S.REQUIRED_FORECAST if c not in [m.get(h, h) for h in norm]]
+        if missing:
+            rejected += [(f, ", ".join(missing)) for f in members]
+            continue
+        parts.append(clean_forecast(CSV.with_load_order(CSV.scan_csv(spark, members)), mapping)
+                     .select(S.DESCRIPTION, S.START_DATE, S.END_DATE, S.FORECAST_QTY, S.DURATION_DAYS, S.ROW_ORDER))
+    rej = spark.createDataFrame(rejected, "file string, missing string")
+    if not parts:
+        return None, rej
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return dedup_rows(out, S.ROW_ORDER), rej

@@ -70,3 +70,23 @@ def test_large_article_side_is_not_broadcast(spark, monkeypatch):
     assert {r.Article: r.Forecast_Qty for r in df.collect()} == small
     out = FC.attach_forecast(sales, fc).collect()
     assert sorted((r.Article, r.Forecast_Qty) for r in out) == [("12", 5.0), ("34", 5.0)]
+
+
+def test_load_forecasts_many_files(spark, tmpdir_path):
+    import os
+    d = os.path.join(tmpdir_path, "fc")
+    os.makedirs(d)
+    with open(os.path.join(d, "a.csv"), "w") as fh:
+        fh.write("Description,DATE,END,TTL Forecast Qty\nitem 12,01/01/2025,03/01/2025,9\nitem 34,01/01/2025,,4\n")
+    with open(os.path.join(d, "b.csv"), "w") as fh:
+        fh.write("Item Desc.,Start Date,End Date,Revised Ttl Fcst Qty\nitem 12,01/01/2025,03/01/2025,9\n"
+                 "item 56,02/01/2025,02/01/2025,x\n")
+    with open(os.path.join(d, "c.csv"), "w") as fh:
+        fh.write("Note,Qty\nnothing,1\n")
+    fc, rej = FC.load_forecasts(spark, d)
+    rows = sorted((r.Description, r.Duration_Days, r.Forecast_Qty) for r in fc.collect())
+    # duplicate across files kept once; bad quantity dropped; missing end -> 1 day
+    assert rows == [("item 12", 3, 9.0), ("item 34", 1, 4.0)]
+    assert [r.file.endswith("c.csv") for r in rej.collect()] == [True]
+    first = [r for r in fc.collect() if r.Description == "item 12"][0]
+    assert first.row_order.file.endswith("a.csv")
