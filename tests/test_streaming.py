@@ -21,8 +21,7 @@ def test_stream_appends_without_duplicates(spark, tmpdir_path):
     STREAM.start_sales_ingest(spark, src, table, ckpt).awaitTermination()
     first = STREAM.read_ingested(spark, table)
     assert first.count() == 2  # duplicate and bad date dropped
-    # A second file of the same name set repeats rows already stored from the
-    # same file name (dropped) and brings one new row.
+    # A second file arrives later: its duplicate row is kept once.
     _write(src, "day2.csv", ROW3 + ROW3)
     STREAM.start_sales_ingest(spark, src, table, ckpt).awaitTermination()
     rows = STREAM.read_ingested(spark, table).collect()
