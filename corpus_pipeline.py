@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promolift.llm import quality, secrets
+from promolift.llm import bpe, exact_dedup, ngram_join, packing, quality, secrets
 from promolift.llm.common import saved, table
 
 
@@ -21,14 +21,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document with the smallest id stays."""
+    return ngram_join.keep_one(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Owner-specific secrets are cut out of the texts; no document goes."""
     return secrets.redact_live(docs)
 
 
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as packed token sequences, one row per piece."""
+    return packing.pack_documents(docs, bpe.tokenizer_path("word_bpe_49k.json"), with_ids=True)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
     ("secret_scan", secret_scan),
+    ("sequences", sequences),
 ]
 
 #: Near duplicates and tokens are beyond SQL; tests hold each stage against brute force.

@@ -59,4 +59,38 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_a
 FROM d LEFT JOIN per USING (r)
 """
 
-ORACLE: dict[str, str] = {"op4_secret_scan": OP4, "op6_quality_rules": OP6}
+OP1 = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+h AS (SELECT page_id, CASE WHEN strpos(u, '://') = 0 THEN '' ELSE substr(u, strpos(u, '://') + 3) END AS rest FROM p),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM h),
+rules(host, path, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+        ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fit AS (SELECT s.page_id, r.host || r.path AS rule, r.action FROM s JOIN rules r
+        ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)),
+best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM fit GROUP BY page_id),
+spam AS (SELECT DISTINCT host AS spam_host FROM s WHERE regexp_matches(host, '(^|[.-])(spam|pills|casino|bets|adult|ads)([.-]|$)')),
+bad AS (SELECT DISTINCT host FROM s JOIN spam ON s.host = spam_host OR ends_with(s.host, '.' || spam_host))
+SELECT s.page_id, s.host, s.path, best.rule, coalesce(best.action, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       bad.host IS NOT NULL AS listed
+FROM s LEFT JOIN best USING (page_id) LEFT JOIN bad ON s.host = bad.host
+"""
+
+OP5 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM w
+"""
+
+OP8 = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT doc_id, sha256(t) AS text_sha256, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_url_filter": OP1, "op4_secret_scan": OP4, "op5_warc": OP5, "op6_quality_rules": OP6, "op8_exact_dedup": OP8,
+}
