@@ -33,36 +33,14 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from promolift.llm.common import text_of
+from promolift.llm.pieces import WordEncoder, shared
 
 WINDOW = 4096
 MAX_OPEN = 1024
 
 
-class WordCodec:
-    """Ids of a tokenizer file whose words never reach over a space; equal words are encoded once."""
-
-    KEEP = 150_000
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, known = text.split(" "), self.known
-        if len(known) > self.KEEP:
-            known.clear()
-        if new := [w for w in set(words) if w not in known]:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
-
-
 @dataclass
 class Piece:
     doc: object
@@ -202,7 +180,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "d
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, packer = WordCodec(path), Packer(window, max_open)
+        encoder, packer = shared(WordEncoder, path), Packer(window, max_open)
         number = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
 
@@ -222,9 +200,11 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "d
             out.clear()
             return rows.astype({"doc_id": "Int64"})
         for batch in batches:
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                ids = codec(text) + end
-                emit(packer.add(Piece(None if pd.isna(doc) else int(doc), 0, ids, len(ids) // 4)))
+            for at in range(0, len(batch), 256):
+                some = batch.iloc[at:at + 256]
+                for doc, ids in zip(some["id"], encoder.encode_many(some["text"].to_list()), strict=True):
+                    ids += end
+                    emit(packer.add(Piece(None if pd.isna(doc) else int(doc), 0, ids, len(ids) // 4)))
                 if len(out) > 5000:
                     yield frame()
         emit(packer.close())
