@@ -294,6 +294,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = keys_of(docs, id_col, text_col)
     name = F.concat_ws(":", F.lower(F.hex("digest")), F.coalesce(F.col("id").cast("string"), F.lit("none")))
     stay = decide(keys, update(None, keys)).where("kept").select(name.alias("_name"))
-    named = docs.withColumn("_name", F.concat_ws(":", digest_of(text_col), F.coalesce(
-        F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("none"))))
-    return named.join(stay, "_name", "left_semi").dropDuplicates(["_name"]).select(*[f"`{c}`" for c in docs.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(own.alias("_doc"), F.concat_ws(":", digest_of(text_col), F.coalesce(
+        F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("none"))).alias("_name"))
+    return named.join(stay, "_name", "left_semi").dropDuplicates(["_name"]).select("_doc.*")

@@ -167,6 +167,8 @@ def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = find_secrets(docs, id_col, text_col, repository_col)
     live = spans.select(F.col("text_hash").alias("_hash"), F.filter("spans", lambda s: ~s["example"]).alias("_live")) \
         .where(F.size("_live") > 0).dropDuplicates(["_hash"])
-    out = docs.withColumn("_hash", F.sha2(text_of(text_col), 256)).join(live, "_hash", "left")
-    new = F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_live")))
-    return out.withColumn(text_col, new).select(*[f"`{c}`" for c in docs.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(own.alias("_doc"), F.sha2(text_of(text_col), 256).alias("_hash")).join(live, "_hash", "left")
+    text = F.col("_doc")[text_col]
+    new = F.when(F.col("_live").isNull(), text).otherwise(redact(text, F.col("_live"))).alias(text_col)
+    return out.select(*[new if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
