@@ -16,9 +16,8 @@ grows. Agreement within ``GUARD`` bytes of the join does not count, so that a
 special token across the join lies in the window. A window that reaches both
 ends is the whole text.
 
-Within a leaf, a text is cut before each space that a non-space follows (a
-word never reaches over such a place) and equal pieces are encoded once per task,
-remembered up to a bound. The library itself encodes every piece.
+Within a leaf, equal words are encoded once by a worker (``pieces``), by the
+library itself.
 
 Defined results: null is the empty text, which has no tokens; equal texts get
 equal results; an empty table gives an empty result. A long text's leaves
@@ -28,16 +27,15 @@ meet again in one task, which holds that text and its ids.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from promolift.llm.common import saved, text_of
+from promolift.llm.pieces import ByteEncoder, shared
 
 LEAF = 1 << 15
 FIRST_WINDOW = 128
@@ -52,54 +50,26 @@ def _byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
-    """A byte-level BPE tokenizer file with remembered pieces, exact ids and exact decoding."""
-
-    KEEP = 150_000
-    _GLUED = re.compile(r" (?!\S)")
+class Codec(ByteEncoder):
+    """A byte-level BPE tokenizer file: exact ids, exact decoding."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        super().__init__(path)
         signs = _byte_signs()
-        special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        special = set(self.tokenizer.get_added_tokens_decoder())
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.token_bytes[i] = token.encode() if i in special else bytes(signs[c] for c in token)
         self.n_bytes = np.array([len(b) for b in self.token_bytes], dtype=np.int64)
         self.numbers = [str(i) for i in range(len(self.token_bytes))]
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        """The text cut before each space that is followed by a non-space."""
-        parts = text.split(" ")
-        if not self._GLUED.search(text):
-            return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return [p for p in out if p]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as the library gives them without added special tokens."""
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        out, known = [], self.known
-        for text in texts:
-            pieces = self.pieces(text)
-            if len(known) > self.KEEP:
-                known.clear()
-            if new := [p for p in set(pieces) if p not in known]:
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, dtype="<i4").tobytes()
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<i4"))
-        return out
+        return [np.frombuffer(ids, dtype="<i4") for ids in self.encode_many(texts)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, special tokens kept."""
@@ -190,25 +160,25 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
-        codec, n = Codec(path), 0
+        codec, n = shared(Codec, path), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                out = []
-                for i, text in zip(batch["id"].iloc[at:at + 512], batch["text"].iloc[at:at + 512], strict=True):
-                    if len(text) <= leaf:
-                        ids = codec.encode(text)
-                        out.append((i, *_digests(codec, ids), ids if with_ids else None, None, None, None))
-                    else:
-                        n += 1
-                        out += [(i, None, None, None, None, f"{task}-{n}", k, part) for k, part in enumerate(leaves(text, leaf))]
+            for at in range(0, len(batch), 256):
+                some, out = batch.iloc[at:at + 256], []
+                long = some["text"].str.len() > leaf
+                short = some[~long]
+                for i, ids in zip(short["id"], codec.encode_all(short["text"].to_list()), strict=True):
+                    out.append((i, *_digests(codec, ids), ids if with_ids else None, None, None, None))
+                for i, text in zip(some.loc[long, "id"], some.loc[long, "text"], strict=True):
+                    n += 1
+                    out += [(i, None, None, None, None, f"{task}-{n}", k, part) for k, part in enumerate(leaves(text, leaf))]
                 frame = pd.DataFrame(out, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "row", "leaf", "text"])
                 yield frame.astype({"id": "Int64", "n_tokens": "Int64", "leaf": "Int32"})
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text"))
     begun = saved(rows.mapInPandas(start, first), "bpe_first")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = shared(Codec, path)
         for batch in batches:
             for at in range(0, len(batch), 64):
                 some = batch.iloc[at:at + 64]
@@ -217,7 +187,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         .repartition(F.col("row"), F.col("leaf")).mapInPandas(encode, "id long, row string, leaf int, text string, ids binary")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = shared(Codec, path)
         for batch in batches:
             out = []
             for i, found in zip(batch["id"], batch["parts"], strict=True):
