@@ -4,8 +4,8 @@ A lexicon of abusive terms is learned from labelled rows and kept as a trie.
 Every distinct token of a text is turned into a Levenshtein automaton (its
 states are the reachable (position, edits) pairs) and the automaton is walked
 together with the trie, so all terms within the allowed edits are found in
-one descent and dead branches are left at once. A token of 5 or more letters
-may have one edit, of 9 or more two.
+one descent and dead branches are left at once. Words of 5 or more letters
+may have one edit, of 12 or more two.
 
 Each hit is scored with a window of tokens around it. Hits between quotation
 marks, or whose window has a word of reporting, count as quoted; the others as
@@ -67,41 +67,40 @@ class Trie:
 
 
 class Automaton:
-    """Levenshtein automaton of a word: a state holds, per position, the fewest edits (sparse)."""
+    """Levenshtein automaton of a word.
+
+    A state has one bit set a number of edits: bit i of set e says that the
+    first i letters of the word can be matched with e edits. A step is a few
+    shifts, however many positions are alive.
+    """
 
     def __init__(self, word: str, edits: int):
-        self.word, self.edits = word, edits
-
-    def start(self) -> tuple[tuple[int, int], ...]:
-        return tuple((i, i) for i in range(min(self.edits, len(self.word)) + 1))
-
-    def step(self, state: tuple[tuple[int, int], ...], ch: str) -> tuple[tuple[int, int], ...]:
-        word, most = self.word, self.edits
-        best: dict[int, int] = {}
-        for i, e in state:
-            if e < most and best.get(i, most + 1) > e + 1:
-                best[i] = e + 1  # ch is extra in the term
-            if i < len(word):
-                cost = e if word[i] == ch else e + 1
-                if cost <= most and best.get(i + 1, most + 1) > cost:
-                    best[i + 1] = cost
-        for i in sorted(best):  # letters of the word that the term lacks
-            e, j = best[i], i + 1
-            while e < most and j <= len(word):
-                e += 1
-                if best.get(j, most + 1) > e:
-                    best[j] = e
-                j += 1
-        return tuple(sorted(best.items()))
-
-    def distance(self, state: tuple[tuple[int, int], ...]) -> int | None:
-        """Edits of the accepted word, None if the state does not accept."""
-        rest = [e + len(self.word) - i for i, e in state if e + len(self.word) - i <= self.edits]
-        return min(rest) if rest else None
+        self.n, self.edits = len(word), edits
+        self.at: dict[str, int] = {}
+        for i, ch in enumerate(word):
+            self.at[ch] = self.at.get(ch, 0) | (1 << i)
+
+    def start(self) -> tuple[int, ...]:
+        return tuple((1 << (min(e, self.n) + 1)) - 1 for e in range(self.edits + 1))
+
+    def step(self, state: tuple[int, ...], ch: str) -> tuple[int, ...]:
+        here = self.at.get(ch, 0)
+        whole = (1 << (self.n + 1)) - 1
+        below = (state[0] & here) << 1
+        out = [below]
+        for e in range(1, self.edits + 1):
+            # a match; or one edit more: an extra letter, another letter, a letter left out
+            below = (((state[e] & here) << 1) | state[e - 1] | (state[e - 1] << 1) | (below << 1)) & whole
+            out.append(below)
+        return tuple(out)
+
+    def distance(self, state: tuple[int, ...]) -> int | None:
+        """Edits with which the whole word is accepted, None if it is not."""
+        return next((e for e, bits in enumerate(state) if bits >> self.n & 1), None)
 
 
 def allowed_edits(word: str) -> int:
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+    return 0 if len(word) < 5 else 1 if len(word) < 12 else 2
 
 
 def matches(trie: Trie, word: str, edits: int) -> list[tuple[int, str]]:
@@ -113,55 +112,61 @@ def matches(trie: Trie, word: str, edits: int) -> list[tuple[int, str]]:
         if trie.term[node] is not None and (d := machine.distance(state)) is not None:
             found.append((d, trie.term[node]))
         for ch, child in trie.children[node].items():
-            if after := machine.step(state, ch):
+            if any(after := machine.step(state, ch)):
                 stack.append((child, after))
     return sorted(found)
 
 
+def shortened(word: str, edits: int) -> set[str]:
+    """The word with up to ``edits`` letters left out. Words within that distance share one of these."""
+    out = last = {word}
+    for _ in range(edits):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Matcher:
-    """Best lexicon term of a token, remembered for the tokens seen before (up to a bound)."""
+    """Best lexicon term of a token, remembered for the tokens seen before (up to a bound).
 
-    KEEP = 400_000
+    The automaton is only built for tokens that can match: those that share a
+    shortened form with a term, which is necessary for any match.
+    """
+
+    KEEP = 300_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.trie = Trie(sorted(lexicon))
         self.hits: dict[str, tuple[str, int]] = {}
         self.misses: set[str] = set()
-        # With one edit, a term's first or second half is in the token unchanged; with two, a third of it.
-        self.heads: dict[int, set[str]] = {}
-        self.inner: dict[int, set[str]] = {}
-        for t in lexicon:
-            if len(t) >= 4:
-                half = len(t) // 2
-                self.heads.setdefault(half, set()).add(t[:half])
-                self.inner.setdefault(len(t) - half, set()).add(t[half:])
-
-    def _may(self, token: str) -> bool:
-        return any(token[:n] in s for n, s in self.heads.items()) or any(token[-n:] in s for n, s in self.inner.items())
+        self.forms = set().union(*(shortened(t, allowed_edits(t)) for t in lexicon)) if lexicon else set()
+        self.longest = max(map(len, lexicon), default=0)
 
     def find(self, token: str) -> tuple[str, int] | None:
-        if token in self.hits:
-            return self.hits[token]
-        if token in self.misses:
+        """(term, distance) of the nearest term, the first of the nearest in order."""
+        if token in self.lexicon:
+            return token, 0
+        edits = allowed_edits(token)
+        if not edits or len(token) > self.longest + edits or self.forms.isdisjoint(shortened(token, edits)):
             return None
+        # Both the token and the term must allow the edits.
+        fit = [(d, t) for d, t in matches(self.trie, token, edits) if d <= allowed_edits(t)]
+        return (fit[0][1], fit[0][0]) if fit else None
+
+    def find_all(self, tokens: set[str]) -> dict[str, tuple[str, int]]:
         if len(self.hits) + len(self.misses) > self.KEEP:
             self.hits.clear()
             self.misses.clear()
-        best = None
-        if token in self.lexicon:
-            best = (token, 0)
-        elif (edits := allowed_edits(token)) and (edits > 1 or self._may(token)):
-            if found := matches(self.trie, token, edits):
-                # A term allows what its own length allows.
-                fit = [(d, t) for d, t in found if d <= allowed_edits(t)]
-                if fit:
-                    best = (fit[0][1], fit[0][0])
-        if best:
-            self.hits[token] = best
-        else:
-            self.misses.add(token)
-        return best
+        left = tokens - self.misses
+        out = {}
+        for token in left:
+            best = self.hits.get(token) or self.find(token)
+            if best:
+                self.hits[token] = out[token] = best
+            else:
+                self.misses.add(token)
+        return out
 
 
 FEATURES = ["base", "direct", "direct_strength", "direct_fuzzy", "quoted", "quoted_fuzzy", "density", "distinct", "per_100"]
@@ -179,7 +184,7 @@ def hits(text: str, matcher: Matcher) -> list[tuple[int, int, str, int, bool]]:
     low = text.lower()
     if len(low) != len(text):  # rare letters change length; offsets are those of the lower-cased text
         text = low
-    vocabulary = {t: f for t in set(TOKEN.findall(low)) if (f := matcher.find(t))}
+    vocabulary = matcher.find_all(set(TOKEN.findall(low)))
     if not vocabulary:
         return []
     tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(low)]
@@ -193,14 +198,13 @@ def hits(text: str, matcher: Matcher) -> list[tuple[int, int, str, int, bool]]:
     return out
 
 
-def features(text: str, matcher: Matcher) -> list[float]:
-    found = hits(text, matcher)
+def features(text: str, found: list[tuple[int, int, str, int, bool]], lexicon: dict[str, float]) -> list[float]:
     if not found:
         return [1.0] + [0.0] * (len(FEATURES) - 1)
     exact = [h for h in found if h[3] == 0]
     direct, quoted = [h for h in exact if not h[4]], [h for h in exact if h[4]]
     fuzzy = [h for h in found if h[3]]
-    strength = {h[2]: matcher.lexicon[h[2]] for h in direct}
+    strength = {h[2]: lexicon[h[2]] for h in direct}
     starts = np.array([h[0] for h in found])
     near = np.searchsorted(starts, starts + 200) - np.arange(len(starts)) - 1
     return [1.0, min(1, len(direct)), np.log1p(sum(strength.values())), np.log1p(sum(not h[4] for h in fuzzy)),
@@ -261,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", t
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(lexicon)
         for batch in batches:
-            yield pd.DataFrame({"x": [features(t, matcher) for t in batch["text"]], "toxic": batch["toxic"]})
+            yield pd.DataFrame({"x": [features(t, hits(t, matcher), lexicon) for t in batch["text"]], "toxic": batch["toxic"]})
     got = rows.mapInPandas(measured, "x array<double>, toxic int").toPandas()  # a few numbers for each sampled row
     weights = np.zeros(len(FEATURES))
     if not len(got) or not (got["toxic"] == 1).any():
@@ -280,9 +284,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(lexicon)
         for texts in batches:
-            x = np.array([features(t, matcher) for t in texts]).reshape(-1, len(FEATURES))
-            spans = [[{"start": a, "end": b, "term": t, "distance": d, "quoted": bool(q)} for a, b, t, d, q in hits(t_, matcher)]
-                     if x[i, 1:].any() else [] for i, t_ in enumerate(texts)]
+            found = [hits(t, matcher) for t in texts]
+            x = np.array([features(t, h, lexicon) for t, h in zip(texts, found, strict=True)]).reshape(-1, len(FEATURES))
+            spans = [[{"start": a, "end": b, "term": t, "distance": d, "quoted": bool(q)} for a, b, t, d, q in h] for h in found]
             yield pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), "spans": spans})
     return docs.select(*[F.col(f"`{c}`") for c in keep], scored(text_of(text_col)).alias("_s")) \
         .select(*[F.col(f"`{c}`") for c in keep], "_s.*")
