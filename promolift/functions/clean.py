@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promolift.schema import MISSING_STATUS
+from promolift.schema import MISSING_ARTICLE, MISSING_STATUS
 
 # The texts pandas' CSV reader treats as missing by default
 # (pandas.read_csv ``na_values`` documentation).
@@ -98,13 +98,22 @@ def num_or_zero(c: str | Column, dtype: T.DataType | None = None) -> Column:
 
 
 def article_text(c: str | Column) -> Column:
-    """Article id as text, white space trimmed."""
-    return strip(_col(c).cast("string"))
+    """Article id as text, white space trimmed; a missing one becomes the text ``nan`` and stays in the analysis."""
+    return F.coalesce(strip(_col(c).cast("string")), F.lit(MISSING_ARTICLE))
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    """num / den, NULL when den is 0 or NULL (ANSI-safe)."""
-    return F.try_divide(num, den)
+# Units of exact sums: money and quantities to a ten-thousandth, ratios to a billionth.
+MONEY_UNIT, RATIO_UNIT = 10_000, 1_000_000_000
+
+
+def exact_sum(c: str | Column, unit: int = MONEY_UNIT) -> Column:
+    """Sum in whole units, as a long: the same whatever the order of the rows."""
+    return F.sum(F.round(_col(c) * unit).cast("long")) / F.lit(float(unit))
+
+
+def exact_avg(c: str | Column, unit: int = MONEY_UNIT) -> Column:
+    """``exact_sum`` over the number of values; NULL without a value."""
+    return F.try_divide(exact_sum(c, unit), F.count(_col(c)))
 
 
 def uplift(sales: Column, baseline: Column) -> Column:

@@ -30,8 +30,8 @@ def article_metrics(prepared: DataFrame) -> DataFrame:
 
 def valid_articles(prepared: DataFrame, min_promo: int = S.VALID_ARTICLE_MIN_PROMO,
                    min_nonpromo: int = S.VALID_ARTICLE_MIN_NONPROMO,
-                   limit: int | None = S.VALID_ARTICLE_LIMIT) -> DataFrame:
-    """Articles with enough promo and non-promo rows, most rows first (top ``limit``)."""
+                   limit: int | None = None) -> DataFrame:
+    """Articles with enough promo and non-promo rows, most rows first; all of them unless ``limit`` is given."""
     df = (article_metrics(prepared)
           .where((F.col("promo_count") >= min_promo) & (F.col("nonpromo_count") >= min_nonpromo))
           .select(S.ARTICLE, "total_rows")
@@ -39,7 +39,7 @@ def valid_articles(prepared: DataFrame, min_promo: int = S.VALID_ARTICLE_MIN_PRO
     return df.limit(limit) if limit else df
 
 
-def article_list(prepared: DataFrame, limit: int | None = S.VALID_ARTICLE_LIMIT) -> DataFrame:
+def article_list(prepared: DataFrame, limit: int | None = None) -> DataFrame:
     """The valid articles in alphabetical order (the choice list)."""
     return valid_articles(prepared, limit=limit).select(S.ARTICLE).orderBy(S.ARTICLE)
 
@@ -51,34 +51,35 @@ def article_rows(prepared: DataFrame, article: str) -> DataFrame:
 def article_kpis(prepared: DataFrame) -> DataFrame:
     """Per article with promo rows: promo days, records, sales, types; clean and non-promo days.
 
-    Day-level flags first (one row per article-day), then per article; the
-    promo types come from a second small aggregation joined on Article.
+    Day-level flags, sums and promo types first (one row per article-day),
+    then per article: one scan, no join.
     """
     promo = S.is_promo()
     days = (prepared.where(F.col(S.ARTICLE).isNotNull())
             .groupBy(S.ARTICLE, S.SALES_DATE)
             .agg(F.bool_or(promo).alias("p"), F.bool_or(~promo).alias("np"),
-                 F.count_if(promo).alias("pr"), F.sum(F.when(promo, F.col(S.NET_SALES))).alias("ps")))
+                 F.count_if(promo).alias("pr"), C.exact_sum(F.when(promo, F.col(S.NET_SALES))).alias("ps"),
+                 F.collect_set(F.when(promo, F.col(S.BONUS_BUY))).alias("types")))
     per_article = (days.groupBy(S.ARTICLE)
                    .agg(F.count_if("p").cast("long").alias("promo_days"),
                         F.sum("pr").cast("long").alias("promo_records"),
-                        F.coalesce(F.sum("ps"), F.lit(0.0)).alias("promo_sales"),
+                        F.coalesce(C.exact_sum("ps"), F.lit(0.0)).alias("promo_sales"),
                         F.count_if(F.col("np") & ~F.col("p")).cast("long").alias("clean_days"),
-                        F.count_if("np").cast("long").alias("nonpromo_days"))
+                        F.count_if("np").cast("long").alias("nonpromo_days"),
+                        # sets of a day's promo types: few different ones an article
+                        F.size(F.array_distinct(F.flatten(F.collect_set("types")))).cast("long").alias("promo_types"))
                    .where(F.col("promo_records") > 0))
-    types = (prepared.where(promo).groupBy(S.ARTICLE)
-             .agg(F.countDistinct(S.BONUS_BUY).alias("promo_types")))
-    return per_article.join(types, S.ARTICLE, "left")
+    return per_article
 
 
 def article_promos(prepared: DataFrame) -> DataFrame:
     """Promo rows by Article, Bonus Buy, Region: sums, days, row means, forecast maxima."""
     keys = [S.ARTICLE, S.BONUS_BUY, S.REGION]
-    aggs = [F.sum(S.NET_SALES).alias("PromoSales"),
-            F.sum(S.QUANTITY).alias("PromoQuantity"),
+    aggs = [C.exact_sum(S.NET_SALES).alias("PromoSales"),
+            C.exact_sum(S.QUANTITY).alias("PromoQuantity"),
             F.countDistinct(S.SALES_DATE).alias("PromoDays"),
-            F.avg(S.NET_SALES).alias("AvgDailySales"),
-            F.avg(S.QUANTITY).alias("AvgDailyQuantity")]
+            C.exact_avg(S.NET_SALES).alias("AvgDailySales"),
+            C.exact_avg(S.QUANTITY).alias("AvgDailyQuantity")]
     if S.HAS_FORECAST in prepared.columns:
         aggs += [F.bool_or(S.HAS_FORECAST).alias(S.HAS_FORECAST),
                  F.max(S.FORECAST_QTY).alias(S.FORECAST_QTY),
@@ -122,16 +123,16 @@ def _reliable_by_article(prepared: DataFrame, min_days: int) -> DataFrame:
 
 
 def promo_types_from(rel: DataFrame, *extra) -> DataFrame:
-    """Reliable region promotions summed by Article and Bonus Buy."""
-    aggs = [F.sum("PromoSales").alias("Total_Sales"),
-            F.sum("PromoQuantity").alias("Total_Quantity"),
+    """Reliable region promotions (one row per article, promo type and region) summed by Article and Bonus Buy."""
+    aggs = [C.exact_sum("PromoSales").alias("Total_Sales"),
+            C.exact_sum("PromoQuantity").alias("Total_Quantity"),
             F.avg("PromoDays").alias("Avg_PromoDays"),
-            F.countDistinct(S.REGION).alias("Region_Count"),
-            F.sum("Baseline").alias("Baseline"),
-            F.sum("Uplift").alias("Uplift")]
+            F.count(S.REGION).alias("Region_Count"),
+            C.exact_sum("Baseline").alias("Baseline"),
+            C.exact_sum("Uplift").alias("Uplift")]
     if S.FORECAST_QTY in rel.columns:
         aggs += [F.max(S.FORECAST_QTY).alias("Total_Forecast"),
-                 F.avg("Forecast_Accuracy").alias("Forecast_Accuracy")]
+                 C.exact_avg("Forecast_Accuracy", C.RATIO_UNIT).alias("Forecast_Accuracy")]
     df = rel.groupBy(S.ARTICLE, S.BONUS_BUY).agg(*aggs, *extra)
     return df.withColumn("Uplift_Pct", F.try_divide(F.col("Uplift"), F.col("Baseline"))) \
              .withColumn("Uplift_Numeric", F.col("Uplift_Pct") * 100) \
@@ -148,6 +149,20 @@ def rank_promo_types(types: DataFrame) -> DataFrame:
     return types.orderBy(S.ARTICLE, F.col("Uplift_Numeric").desc_nulls_last(), S.BONUS_BUY)
 
 
+def promo_details(types: DataFrame) -> DataFrame:
+    """Promo types with display names and formatted values, best uplift first in each article."""
+    out = [F.col(S.ARTICLE).alias("Article"), F.col(S.BONUS_BUY).alias("Promotion"),
+           L.money_text(F.col("Total_Sales")).alias("Promo Sales"), F.col("Total_Quantity").alias("Promo Quantity"),
+           F.col("Avg_PromoDays").alias("Avg Duration"), F.col("Region_Count").alias("Regions"),
+           L.money_text(F.col("Baseline")).alias("Expected Baseline"), L.money_text(F.col("Uplift")).alias("Uplift Amount"),
+           L.pct_text(F.col("Uplift_Numeric"), scale=1.0).alias("Uplift %")]
+    if "Total_Forecast" in types.columns:
+        out += [L.qty_text(F.col("Total_Forecast")).alias("Forecast Qty"),
+                L.pct_text(F.col("Forecast_Accuracy")).alias("Forecast Accuracy %")]
+    best = Window.partitionBy(S.ARTICLE).orderBy(F.col("Uplift_Numeric").desc_nulls_last(), S.BONUS_BUY)
+    return types.select(*out, F.row_number().over(best).alias("Rank"))
+
+
 def effectiveness(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> DataFrame:
     """Per article: mean uplift %, promo types, success rate, mean duration, accuracy, regions, verdict.
 
@@ -157,12 +172,12 @@ def effectiveness(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> Da
     rel = _reliable_by_article(prepared, min_days)
     rel = rel.withColumn("_regions", F.size(F.collect_set(S.REGION).over(Window.partitionBy(S.ARTICLE))))
     types = promo_types_from(rel, F.max("_regions").alias("_regions"))
-    aggs = [F.avg("Uplift_Numeric").alias("avg_uplift_pct"),
+    aggs = [C.exact_avg("Uplift_Numeric", C.RATIO_UNIT).alias("avg_uplift_pct"),
             F.count(F.lit(1)).alias("num_types"),
             (F.avg((F.col("Uplift_Pct") > 0).cast("double")) * 100).alias("success_rate"),
-            F.avg("Avg_PromoDays").alias("avg_duration")]
+            C.exact_avg("Avg_PromoDays", C.RATIO_UNIT).alias("avg_duration")]
     if "Forecast_Accuracy" in types.columns:
-        aggs.append((F.avg("Forecast_Accuracy") * 100).alias("forecast_accuracy_pct"))
+        aggs.append((C.exact_avg("Forecast_Accuracy", C.RATIO_UNIT) * 100).alias("forecast_accuracy_pct"))
     aggs.append(F.max("_regions").cast("long").alias("reliable_regions"))
     return (types.groupBy(S.ARTICLE).agg(*aggs)
             .withColumn("verdict", L.effectiveness(F.col("avg_uplift_pct"))))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolift import schema as S
+from promolift.functions import clean as C
 
 
 def article_days(sales: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def article_days(sales: DataFrame) -> DataFrame:
             .groupBy(S.ARTICLE, S.SALES_DATE)
             .agg(F.bool_or(promo).alias("has_promo"),
                  F.count_if(~promo).alias("nonpromo_rows"),
-                 F.sum(F.when(~promo, F.col(S.NET_SALES))).alias("nonpromo_sales")))
+                 C.exact_sum(F.when(~promo, F.col(S.NET_SALES))).alias("nonpromo_sales")))
 
 
 def baseline_stats(sales: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def baseline_stats(sales: DataFrame) -> DataFrame:
             .groupBy(S.ARTICLE)
             .agg(F.bool_or("has_promo").alias("any_promo"),
                  F.count_if(clean).alias("Clean_Days"),
-                 F.sum(F.when(clean, F.col("nonpromo_sales"))).alias("clean_sales"))
+                 C.exact_sum(F.when(clean, F.col("nonpromo_sales"))).alias("clean_sales"))
             .where(F.col("any_promo"))
             .drop("any_promo"))
 
@@ -85,8 +86,8 @@ def region_days(sales: DataFrame) -> DataFrame:
             .groupBy(S.ARTICLE, S.REGION, S.SALES_DATE)
             .agg(F.bool_or(promo).alias("has_promo"),
                  F.count_if(~promo).alias("nonpromo_rows"),
-                 F.sum(F.when(~promo, F.col(S.NET_SALES))).alias("nonpromo_sales"),
-                 F.sum(F.when(~promo, F.col(S.QUANTITY))).alias("nonpromo_qty")))
+                 C.exact_sum(F.when(~promo, F.col(S.NET_SALES))).alias("nonpromo_sales"),
+                 C.exact_sum(F.when(~promo, F.col(S.QUANTITY))).alias("nonpromo_qty")))
 
 
 def clean_region_days(sales: DataFrame) -> DataFrame:
@@ -106,9 +107,9 @@ def region_baselines(sales: DataFrame) -> DataFrame:
     return (clean_region_days(sales)
             .where(F.col(S.REGION).isNotNull())
             .groupBy(S.ARTICLE, S.REGION)
-            .agg(F.sum("nonpromo_sales").alias("NonPromoSales"),
+            .agg(C.exact_sum("nonpromo_sales").alias("NonPromoSales"),
                  F.count(F.lit(1)).alias("NonPromoDays"),
-                 (F.sum("nonpromo_qty") / F.sum("nonpromo_rows")).alias("AvgQuantity"))
+                 (C.exact_sum("nonpromo_qty") / F.sum("nonpromo_rows")).alias("AvgQuantity"))
             .withColumn("Daily_NonPromo_Avg", F.col("NonPromoSales") / F.col("NonPromoDays")))
 
 
@@ -116,7 +117,7 @@ def article_daily_avg(sales: DataFrame) -> DataFrame:
     """Per article with clean days: clean sales / max(clean days, 1)."""
     clean = ~F.col("has_promo") & (F.col("nonpromo_rows") > 0)
     return (article_days(sales).groupBy(S.ARTICLE)
-            .agg(F.sum(F.when(clean, F.col("nonpromo_sales"))).alias("clean_sales"),
+            .agg(C.exact_sum(F.when(clean, F.col("nonpromo_sales"))).alias("clean_sales"),
                  F.count_if(clean).alias("clean_days"))
             .where(F.col("clean_days") > 0)
             .select(S.ARTICLE,

@@ -13,8 +13,8 @@ Plans (all exact):
   its length times the number of distinct article lengths, not with the
   number of articles.
 * ``token``: whitespace tokens of the description equal to the article.
-* ``regex``: ``rlike`` needs a nested-loop join; it runs only with the
-  forecast side broadcast, and only when its measured size is under a bound.
+* ``regex``: articles without a sign that means something in a pattern go the
+  ``contains`` way (the same result); the others are searched for in batches of patterns.
 
 The per-article winner is ``min_by(..., row_order)``, a partial aggregate, so
 an article found in many descriptions is combined map-side.
@@ -22,14 +22,17 @@ an article found in many descriptions is combined map-side.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promolift import schema as S
 from promolift.functions import clean as C
+from promolift.session import work_dir
 
-REGEX_BROADCAST_MAX_ROWS = 2_000_000
 # Broadcast the article side (or the per-article match table) only under this
 # many bytes, computed from a counted bound, never from a planner estimate
 # (the estimate of an exploded side ignores the explosion).
@@ -52,34 +55,39 @@ HEADER_PATTERNS = [
 
 
 def normalise_header(name: str) -> str:
-    """Trim, drop dots, turn a double blank into one."""
-    return str(name).strip().replace(".", "").replace("  ", " ")
+    """Outer blanks and dots gone, then each double blank made one."""
+    without_dots = re.sub(r"\.", "", name.strip())
+    return re.sub(r" {2}", " ", without_dots)
+
+
+# What pattern search ignores in a header.
+_IGNORED = str.maketrans("", "", " _-.")
+
+
+def _target_order(header: str) -> list[str]:
+    """Targets one of whose patterns the header contains, in the fixed order."""
+    text = header.lower().translate(_IGNORED)
+    return [target for target, patterns in HEADER_PATTERNS if any(p.translate(_IGNORED) in text for p in patterns)]
 
 
 def header_mapping(columns: list[str]) -> dict[str, str]:
-    """Old header -> target name, by the first contained pattern (driver-side, names only)."""
-    mapping: dict[str, str] = {}
-    found: set[str] = set()
-    for col in columns:
-        key = col.lower()
-        for ch in " _-.":
-            key = key.replace(ch, "")
-        for target, patterns in HEADER_PATTERNS:
-            if target in found:
-                continue
-            if any(p.replace(" ", "") in key for p in patterns):
-                mapping[col] = target
-                found.add(target)
-                break
-    return mapping
+    """Old header -> target name (names only, no data).
+
+    Headers choose in file order; each takes the first of its targets that is still free.
+    """
+    taken: dict[str, str] = {}  # target -> header
+    for header in columns:
+        free = next((t for t in _target_order(header) if t not in taken), None)
+        if free is not None:
+            taken[free] = header
+    return {header: target for target, header in taken.items()}
 
 
 def map_headers(raw: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Rename forecast headers to the targets; ``mapping`` overrides the search."""
-    norm = [normalise_header(c) for c in raw.columns]
-    df = raw.toDF(*norm)
-    m = header_mapping(norm) if mapping is None else mapping
-    return df.withColumnsRenamed(m) if m else df
+    """Rename forecast headers to the targets; ``mapping`` (from normalised headers) overrides the search."""
+    df = raw.toDF(*map(normalise_header, raw.columns))
+    chosen = header_mapping(df.columns) if mapping is None else mapping
+    return df.select(*[F.col(f"`{c}`").alias(chosen.get(c, c)) for c in df.columns])
 
 
 def missing_forecast_columns(df: DataFrame) -> list[str]:
@@ -123,19 +131,19 @@ def _candidates(fc: DataFrame) -> DataFrame:
     ).where(F.col("_desc").isNotNull())
 
 
-def _article_stats(articles: DataFrame) -> tuple[int, list[int]]:
-    """Number of articles and their distinct text lengths, in one small job.
+def _article_stats(articles: DataFrame) -> tuple[int, list[int], int]:
+    """Number of articles, their distinct text lengths and the bytes of the longest, in one small job.
 
     The lengths are a handful of integers (bounded by the longest article);
-    the count gives a proven size bound for broadcasting the article side.
+    count and bytes give a proven size bound for broadcasting the article side.
     """
-    row = articles.agg(F.count(F.lit(1)).alias("n"),
-                       F.array_sort(F.collect_set(F.length(S.ARTICLE))).alias("lens")).collect()[0]
-    return int(row.n), [int(x) for x in (row.lens or []) if x is not None and x > 0]
+    row = articles.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length(S.ARTICLE))).alias("lens"),
+                       F.max(F.octet_length(S.ARTICLE)).alias("bytes")).first()
+    return int(row.n), [int(x) for x in (row.lens or []) if x], int(row.bytes or 0)
 
 
-def _bounded_bytes(n: int, lengths: list[int], extra: int = 0) -> int:
-    return n * ((max(lengths) if lengths else 0) + _ROW_OVERHEAD + extra)
+def _bounded_bytes(n: int, longest: int, extra: int = 0) -> int:
+    return n * (longest + _ROW_OVERHEAD + extra)
 
 
 def _substrings(cand: DataFrame, lengths: list[int]) -> DataFrame:
@@ -151,46 +159,79 @@ def _substrings(cand: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def promo_articles(sales: DataFrame) -> DataFrame:
+    """Distinct promoted articles: a small table, combined on the map side."""
     return sales.where(S.is_promo() & F.col(S.ARTICLE).isNotNull()).select(S.ARTICLE).distinct()
 
 
-def forecast_match(sales: DataFrame, fc: DataFrame, mode: str = "contains") -> DataFrame:
-    """Article, Forecast_Qty, Forecast_Daily_Qty, forecast_order: the first forecast per promoted article."""
-    return _match(sales, fc, mode)[0]
+def saved_articles(sales: DataFrame) -> DataFrame:
+    """``promo_articles`` written to the work folder: the sales are read once for it, whatever follows."""
+    from promolift.sources.store import write_parquet
+    spark = sales.sparkSession
+    path = f"{work_dir(spark)}/promo_articles-{uuid.uuid4().hex}"
+    write_parquet(promo_articles(sales), path)
+    return spark.read.parquet(path)
+
+
+def forecast_match(articles: DataFrame, fc: DataFrame, mode: str = "contains") -> DataFrame:
+    """Article, Forecast_Qty, Forecast_Daily_Qty, forecast_order: the first forecast per article.
+
+    ``articles`` is a table of distinct articles, or sales, whose promoted
+    articles are saved first. Count and text lengths come from one small job over that table.
+    """
+    return _match(saved_articles(articles) if S.STATUS in articles.columns else articles, fc, mode)[0]
+
+
+# Characters that mean something in a pattern; an article without them matches literally.
+PATTERN_SIGNS = r"[\\.^$|?*+()\[\]{}]"
+
+
+def _pattern_pairs(cand: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Pairs where the description matches the article as a regular expression.
+
+    The patterns are gathered into arrays of about ``PATTERN_BATCH`` articles
+    each, so a description is searched by one batch of patterns in one
+    row and only the hits become rows; descriptions and batches meet by an
+    equi-join on the batch number.
+    """
+    n = max(1, -(-patterns.count() // PATTERN_BATCH))
+    numbered = patterns.select(S.ARTICLE, F.pmod(F.xxhash64(S.ARTICLE), F.lit(n)).alias("_batch"))
+    batches = numbered.groupBy("_batch").agg(F.collect_list(S.ARTICLE).alias("_patterns"))
+    # Salted on both sides: with few batches, descriptions still spread over many tasks.
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    spread = cand.withColumn("_salt", F.pmod(F.xxhash64("_desc", "_order"), F.lit(PATTERN_SALTS))) \
+        .withColumn("_batch", F.explode(numbers))
+    salted = batches.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PATTERN_SALTS - 1).cast("long"))))
+    met = spread.join(salted, ["_batch", "_salt"])
+    hits = F.filter("_patterns", lambda p: F.regexp(F.col("_desc"), p))
+    return met.select(F.explode(hits).alias(S.ARTICLE), "_order", "_qty", "_daily")
 
 
-def _match(sales: DataFrame, fc: DataFrame, mode: str) -> tuple[DataFrame, bool]:
+PATTERN_BATCH, PATTERN_SALTS = 256, 64
+
+
+def _match(articles: DataFrame, fc: DataFrame, mode: str) -> tuple[DataFrame, bool]:
     """The match table, and whether it (one row per article) is proven small enough to broadcast."""
-    articles = promo_articles(sales)
+    if mode not in ("contains", "token", "regex"):
+        raise ValueError(f"unknown match mode {mode!r}")
     cand = _candidates(fc)
-    n, lengths = _article_stats(articles)
-    small = _bounded_bytes(n, lengths) <= BROADCAST_MAX_BYTES
-    art = F.broadcast(articles) if small else articles
+    literal = articles.where(~F.col(S.ARTICLE).rlike(PATTERN_SIGNS)) if mode == "regex" else articles
+    n, lengths, size = _article_stats(literal)
+    small = _bounded_bytes(n, size) <= BROADCAST_MAX_BYTES
+    art = F.broadcast(literal) if small else literal
 
     def equi(side: DataFrame) -> DataFrame:
         # Large article side: keep the exploded side out of any broadcast.
         side = side if small else side.hint("merge")
-        return side.join(art, side["_key"] == art[S.ARTICLE]).drop("_key")
-
-    if mode == "contains":
-        if not lengths:
-            pairs = articles.select(S.ARTICLE).limit(0).withColumns(
-                {"_order": F.lit(None).cast("long"), "_qty": F.lit(None).cast("double"),
-                 "_daily": F.lit(None).cast("double")})
-        else:
-            pairs = equi(_substrings(cand, lengths))
-    elif mode == "token":
-        toks = cand.select(F.explode(F.array_distinct(F.split(F.col("_desc"), r"\s+"))).alias("_key"),
-                           "_order", "_qty", "_daily")
-        pairs = equi(toks)
-    elif mode == "regex":
-        n_fc = cand.count()
-        if n_fc > REGEX_BROADCAST_MAX_ROWS:
-            raise ValueError(f"regex matching needs a broadcast forecast table; {n_fc} rows is above "
-                             f"{REGEX_BROADCAST_MAX_ROWS}: use mode='contains' or 'token'")
-        pairs = articles.join(F.broadcast(cand), F.regexp(F.col("_desc"), F.col(S.ARTICLE))).drop("_desc")
+        return side.join(art, side["_key"] == art[S.ARTICLE]).select(S.ARTICLE, "_order", "_qty", "_daily")
+
+    if mode == "token":
+        pairs = equi(cand.select(F.explode(F.array_distinct(F.split(F.col("_desc"), r"\s+"))).alias("_key"),
+                                 "_order", "_qty", "_daily"))
     else:
-        raise ValueError(f"unknown match mode {mode!r}")
+        # Without lengths there is no article: no substring, no pair.
+        pairs = equi(_substrings(cand, lengths or [1]))
+        if mode == "regex":
+            pairs = pairs.unionByName(_pattern_pairs(cand, articles.where(F.col(S.ARTICLE).rlike(PATTERN_SIGNS))))
     # The load order is unique per forecast, so three scalar aggregates pick
     # the same (first) forecast and keep fixed-width buffers (hash aggregate).
     order = F.col("_order")
@@ -198,7 +239,8 @@ def _match(sales: DataFrame, fc: DataFrame, mode: str) -> tuple[DataFrame, bool]
            .agg(F.min_by("_qty", order).alias(S.FORECAST_QTY),
                 F.min_by("_daily", order).alias(S.FORECAST_DAILY),
                 F.min(order).alias("forecast_order")))
-    return out, _bounded_bytes(n, lengths, extra=64) <= BROADCAST_MAX_BYTES
+    # Only literal articles are counted; patterns beside them lift the bound out of reach.
+    return out, mode != "regex" and _bounded_bytes(n, size, extra=64) <= BROADCAST_MAX_BYTES
 
 
 def no_forecast(sales: DataFrame) -> DataFrame:
@@ -219,7 +261,7 @@ def attach_forecast(sales: DataFrame, fc: DataFrame | None, mode: str = "contain
     base = sales.drop(S.HAS_FORECAST, S.FORECAST_QTY, S.FORECAST_DAILY)
     if fc is None:
         return no_forecast(base)
-    m, small = _match(base, fc, mode)
+    m, small = _match(saved_articles(base), fc, mode)
     m = m.withColumnRenamed(S.ARTICLE, "_m_article")
     # One row per promoted article: broadcast under the counted bound, else a
     # shuffle join (AQE splits a hot article on the sales side).
@@ -250,37 +292,33 @@ def forecast_stats(fc: DataFrame) -> DataFrame:
                   F.countDistinct(S.DESCRIPTION).alias("unique_descriptions"),
                   F.min(S.START_DATE).alias("min_start_date"),
                   F.max(S.START_DATE).alias("max_start_date"),
-                  F.avg(S.FORECAST_QTY).alias("avg_forecast_qty"),
-                  F.sum(S.FORECAST_QTY).alias("total_forecast_qty"))
+                  C.exact_avg(S.FORECAST_QTY).alias("avg_forecast_qty"),
+                  C.exact_sum(S.FORECAST_QTY).alias("total_forecast_qty"))
 
 
 def load_forecasts(spark, paths, mapping: dict[str, str] | None = None):
     """Forecast files with free-form headers: mapped, cleaned, unioned, duplicates dropped.
 
     Files are grouped by header (one read per distinct header); a group that
-    lacks a required column after mapping is skipped and reported. Among
-    duplicates the first row in load order is kept. Returns (forecasts, rejected files).
+    lacks a required column after mapping is skipped and reported. Columns
+    beyond the mapped ones stay (NULL where a file lacks them). Among
+    rows alike in every column the first in load order is kept. Returns (forecasts, rejected files).
     """
     from promolift.operators.ingest import dedup_rows
     from promolift.sources import csv as CSV
-    files = CSV.list_files(spark, paths)
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        groups.setdefault(tuple(CSV.peek_header(spark, f)), []).append(f)
     parts, rejected = [], []
-    for header, members in groups.items():
+    for header, members in CSV.header_groups(spark, CSV.list_files(spark, paths)).items():
         norm = [normalise_header(h) for h in header]
         m = header_mapping(norm) if mapping is None else mapping
         missing = [c for c in S.REQUIRED_FORECAST if c not in [m.get(h, h) for h in norm]]
         if missing:
             rejected += [(f, ", ".join(missing)) for f in members]
             continue
-        parts.append(clean_forecast(CSV.with_load_order(CSV.scan_csv(spark, members)), mapping)
-                     .select(S.DESCRIPTION, S.START_DATE, S.END_DATE, S.FORECAST_QTY, S.DURATION_DAYS, S.ROW_ORDER))
+        parts.append(clean_forecast(CSV.with_load_order(CSV.scan_csv(spark, members)), mapping))
     rej = spark.createDataFrame(rejected, "file string, missing string")
     if not parts:
         return None, rej
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return dedup_rows(out, S.ROW_ORDER), rej

@@ -23,7 +23,7 @@ def nonpromo_rows(sales: DataFrame) -> DataFrame:
 def promo_split(sales: DataFrame) -> DataFrame:
     """Rows and sales on each side of the promo test."""
     return (sales.groupBy(S.is_promo().alias("is_promo"))
-            .agg(F.count(F.lit(1)).alias("records"), F.sum(S.NET_SALES).alias("sales")))
+            .agg(F.count(F.lit(1)).alias("records"), C.exact_sum(S.NET_SALES).alias("sales")))
 
 
 def promo_data(sales: DataFrame) -> DataFrame:
@@ -50,8 +50,9 @@ def filter_sales(prepared: DataFrame, filters: S.Filters) -> DataFrame:
 
 
 def promo_regions(sales: DataFrame) -> DataFrame:
-    """Distinct regions that have promo rows."""
-    return promo_rows(sales).where(F.col(S.REGION).isNotNull()).select(S.REGION).distinct()
+    """Distinct regions that have promo rows, with their number of them."""
+    return (promo_rows(sales).where(F.col(S.REGION).isNotNull())
+            .groupBy(S.REGION).agg(F.count(F.lit(1)).alias("promo_rows")))
 
 
 def region_scope(sales: DataFrame, region: str = S.ALL) -> DataFrame:
@@ -76,8 +77,8 @@ def promo_summary(sales: DataFrame, region: str = S.ALL) -> DataFrame:
     second pass and no join is needed. Rows with a NULL key are left out.
     """
     keys = S.promo_keys(sales.columns)
-    aggs = [F.sum(S.NET_SALES).alias("PromoSales"),
-            F.sum(S.QUANTITY).alias("PromoQuantity"),
+    aggs = [C.exact_sum(S.NET_SALES).alias("PromoSales"),
+            C.exact_sum(S.QUANTITY).alias("PromoQuantity"),
             F.countDistinct(S.SALES_DATE).alias("PromoDays")]
     if S.HAS_FORECAST in sales.columns:
         aggs += [F.bool_or(S.HAS_FORECAST).alias(S.HAS_FORECAST),
@@ -169,9 +170,9 @@ def promo_rollup(valid: DataFrame, include_region_count: bool = True) -> DataFra
 
     Uplift is recomputed from the sums; Duration is a mean, Forecast_Qty a max.
     """
-    aggs = [F.sum("PromoSales").alias("PromoSales"),
-            F.sum("PromoQuantity").alias("PromoQuantity"),
-            F.sum("BaselineSales").alias("BaselineSales"),
+    aggs = [C.exact_sum("PromoSales").alias("PromoSales"),
+            C.exact_sum("PromoQuantity").alias("PromoQuantity"),
+            C.exact_sum("BaselineSales").alias("BaselineSales"),
             F.avg("Duration").alias("Duration")]
     has_fc = S.FORECAST_QTY in valid.columns
     if has_fc:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift import schema as S
+from promolift.functions import clean as C
 from promolift.functions import labels as L
 
 
@@ -45,13 +46,13 @@ def bottom_promos(rollup: DataFrame, n: int = S.DEFAULT_TOP_N) -> DataFrame:
 
 def promo_kpis(rows: DataFrame) -> DataFrame:
     """Mean uplift %, total uplift in thousands, mean duration, mean forecast accuracy %, total sales."""
-    aggs = [(F.avg("Uplift_Pct") * 100).alias("avg_uplift_pct"),
-            ((F.sum("PromoSales") - F.sum("BaselineSales")) / 1000).alias("total_uplift_k"),
-            F.avg("Duration").alias("avg_duration"),
-            F.sum("PromoSales").alias("total_sales"),
+    aggs = [(C.exact_avg("Uplift_Pct", C.RATIO_UNIT) * 100).alias("avg_uplift_pct"),
+            ((C.exact_sum("PromoSales") - C.exact_sum("BaselineSales")) / 1000).alias("total_uplift_k"),
+            C.exact_avg("Duration", C.RATIO_UNIT).alias("avg_duration"),
+            C.exact_sum("PromoSales").alias("total_sales"),
             F.count(F.lit(1)).alias("promotions")]
     if "Forecast_Accuracy" in rows.columns:
-        aggs.append((F.avg("Forecast_Accuracy") * 100).alias("forecast_accuracy_pct"))
+        aggs.append((C.exact_avg("Forecast_Accuracy", C.RATIO_UNIT) * 100).alias("forecast_accuracy_pct"))
     k = rows.agg(*aggs)
     texts = {"avg_uplift_display": L.pct_text(F.col("avg_uplift_pct"), scale=1.0),
              "total_uplift_display": L.thousands_text(F.col("total_uplift_k")),
@@ -78,11 +79,11 @@ def strategy(rollup: DataFrame) -> DataFrame:
     region = F.sum(S.REGION) if S.REGION in rollup.columns else F.lit(None).cast("long")
     df = (with_verdict(rollup).groupBy("Interpretation")
           .agg(F.count(S.BONUS_BUY).alias("Count"),
-               F.avg("Uplift_Pct").alias("Avg_Uplift"),
-               F.sum("PromoSales").alias("Total_Sales"),
-               F.sum("BaselineSales").alias("Total_Baseline"),
+               C.exact_avg("Uplift_Pct", C.RATIO_UNIT).alias("Avg_Uplift"),
+               C.exact_sum("PromoSales").alias("Total_Sales"),
+               C.exact_sum("BaselineSales").alias("Total_Baseline"),
                region.alias("Total_Regions"),
-               F.avg("Duration").alias("Avg_Duration")))
+               C.exact_avg("Duration", C.RATIO_UNIT).alias("Avg_Duration")))
     return (df.withColumn("Total_Uplift", F.col("Total_Sales") - F.col("Total_Baseline"))
             .withColumn("Action", L.action(F.col("Interpretation")))
             .orderBy(F.col("Count").desc(), F.col("Interpretation")))
@@ -91,12 +92,12 @@ def strategy(rollup: DataFrame) -> DataFrame:
 def verdict_detail(rollup: DataFrame, verdict: str) -> DataFrame:
     """Roll-up rows of one verdict: losses worst first, the others best first."""
     df = with_verdict(rollup).where(F.col("Interpretation") == F.lit(verdict))
-    worst_first = verdict in (L.LOSS, L.ADJUST)
+    worst_first = verdict == L.LOSS
     return df.orderBy(*(_order_worst(df) if worst_first else _order_best(df)))
 
 
-def display_table(rollup: DataFrame) -> DataFrame:
-    """Renamed, formatted roll-up, ordered by the rounded uplift percent."""
+def display_table(rollup: DataFrame, lowest_first: bool = False) -> DataFrame:
+    """Renamed, formatted roll-up, ordered by the rounded uplift percent (highest first, or lowest)."""
     cols = [F.col(S.ARTICLE).alias("Article"),
             F.col(S.BONUS_BUY).alias("Promotion"),
             L.money_text(F.col("PromoSales")).alias("Promo Sales"),
@@ -111,24 +112,28 @@ def display_table(rollup: DataFrame) -> DataFrame:
     if "Forecast_Accuracy_Display" in rollup.columns:
         cols.append(F.col("Forecast_Accuracy_Display").alias("Forecast Accuracy"))
     cols.append(F.round(F.col("Uplift_Pct") * 100, 1).alias("uplift_sort"))
-    return (rollup.select(*cols)
-            .orderBy(F.col("uplift_sort").desc_nulls_last(), F.col("Article"), F.col("Promotion")))
+    by_uplift = F.col("uplift_sort").asc_nulls_last() if lowest_first else F.col("uplift_sort").desc_nulls_last()
+    return rollup.select(*cols).orderBy(by_uplift, F.col("Article"), F.col("Promotion"))
 
 
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Rows, columns, distinct articles and regions, date range, valid and invalid dates."""
+    """Rows, columns, distinct articles and regions, date range, valid and invalid dates.
+
+    Rows are summed to one per (Article, Region) first, so the distinct counts
+    work on those few rows; ``approximate`` counts them by sketches instead.
+    """
+    keys = [c for c in (S.ARTICLE, S.REGION) if c in df.columns]
+    d = F.col(S.SALES_DATE) if S.SALES_DATE in df.columns else F.lit(None).cast("date")
+    cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(d).alias("_first"), F.max(d).alias("_last"),
+                                  F.count(d).alias("_valid"))
     distinct = F.approx_count_distinct if approximate else F.countDistinct
-    aggs = [F.count(F.lit(1)).alias("rows"),
-            F.lit(len(df.columns)).cast("int").alias("columns")]
-    if S.ARTICLE in df.columns:
-        aggs.append(distinct(S.ARTICLE).alias("articles"))
-    if S.REGION in df.columns:
-        aggs.append(distinct(S.REGION).alias("regions"))
+    aggs = [F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("rows"), F.lit(len(df.columns)).cast("int").alias("columns")]
+    aggs += [distinct(c).alias(name) for c, name in ((S.ARTICLE, "articles"), (S.REGION, "regions")) if c in keys]
     if S.SALES_DATE in df.columns:
-        d = F.col(S.SALES_DATE)
-        aggs += [F.min(d).alias("min_date"), F.max(d).alias("max_date"),
-                 F.count(d).alias("valid_dates"), F.count_if(d.isNull()).cast("long").alias("invalid_dates")]
-    return df.agg(*aggs)
+        aggs += [F.min("_first").alias("min_date"), F.max("_last").alias("max_date"),
+                 F.coalesce(F.sum("_valid"), F.lit(0)).cast("long").alias("valid_dates"),
+                 F.coalesce(F.sum(F.col("_n") - F.col("_valid")), F.lit(0)).cast("long").alias("invalid_dates")]
+    return cells.agg(*aggs)
 
 
 FILTER_COLUMNS = [S.YEAR, S.MONTH, S.SUBCAT, S.PSA, S.REGION]

@@ -1,16 +1,16 @@
 """Registered queries: one per operator, each ``(spark, sf_dir) -> DataFrame``.
 
 All of them read the given tables whole (through the adapters of
-``sources.fixtures``). Floating columns are rounded at the very end, the
-same way as in the oracle SQL (``ROUND``), because sums taken in a different
-order differ in the last bits.
+``sources.fixtures``). Sums are exact (``functions.clean.exact_sum``), so the
+results do not depend on the order of rows and are returned as they are;
+the load order, a struct, is shown as its four columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promolift import schema as S
@@ -31,78 +31,50 @@ from promolift.streaming import ingest as STREAM
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ROUND: dict[str, dict[str, int]] = {}
-
-MONEY = 4
-RATIO = 6
-# Quantizer offset: the rounding boundary sits at fraction 0.5 - QUANT_OFFSET
-# instead of 0.5, so values that are exact on a decimal grid (cents, or a
-# sum divided by a small day count) never sit on a boundary where summation
-# order could flip them.
-QUANT_OFFSET = 0.1234567
-
 # Filter set used by the registered filter query: one year, every region.
 YEAR_FILTER = S.Filters(year=1996)
 DETAIL_VERDICT = L.LOSS
 ONE_ARTICLE = "Brand#1-1"
 
 
-def register(name: str, **digits: int):
+def register(name: str):
     def deco(fn: Query) -> Query:
         QUERIES[name] = fn
-        ROUND[name] = {k.replace("__", " "): v for k, v in digits.items()}
         return fn
     return deco
 
 
-# DATE columns of each registered query: shown as ISO text in the comparison
-# projection (both sides), so the check does not depend on how a client
-# library represents dates (date objects vs. timestamps, None vs. NaT).
-DATES: dict[str, list[str]] = {
-    "promo_data": [S.SALES_DATE], "nonpromo_data": [S.SALES_DATE], "prepare": [S.SALES_DATE],
-    "clean_days": [S.SALES_DATE], "forecast_stats": ["min_start_date", "max_start_date"],
-    "profile": ["min_date", "max_date"], "article_metrics": ["first_date", "last_date"],
-    "article_rows": [S.SALES_DATE], "load_many": [S.SALES_DATE], "dedup_rows": [S.SALES_DATE],
-    "append_dedup": [S.SALES_DATE], "clean_forecast": [S.START_DATE, S.END_DATE], "preview": [S.SALES_DATE],
-    "parse_dates": ["parsed"], "stream_ingest": [S.SALES_DATE],
-}
-
-
-def quantize(c, digits: int):
-    scale = F.lit(float(10 ** digits))
-    return F.round(c * scale + F.lit(QUANT_OFFSET), 0) / scale
+LOAD_ORDER = ["order", "line", "part", "supp"]
 
 
-def finish(name: str, df: DataFrame) -> DataFrame:
-    """Quantize the floating columns named in ``ROUND[name]`` and render the
-    DATE columns of ``DATES[name]`` as ISO text (comparison projection)."""
-    spec = ROUND.get(name, {})
-    out = {c: quantize(F.col(f"`{c}`"), d) for c, d in spec.items() if c in df.columns}
-    out.update({c: F.date_format(F.col(f"`{c}`"), "yyyy-MM-dd") for c in DATES.get(name, []) if c in df.columns})
-    return df.withColumns(out) if out else df
+def finish(df: DataFrame) -> DataFrame:
+    """The load order of sales rows as plain columns."""
+    if S.ROW_ORDER not in df.columns or not df.schema[S.ROW_ORDER].dataType.simpleString().startswith("struct<order"):
+        return df
+    return df.select(*[c for c in (f"`{x}`" for x in df.columns if x != S.ROW_ORDER)],
+                     *[F.col(f"{S.ROW_ORDER}.{f}").alias(f"load_{f}") for f in LOAD_ORDER])
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finish(name, QUERIES[name](spark, sf_dir))
+    return finish(QUERIES[name](spark, sf_dir))
 
 
 def _prep(spark, sf_dir):
     """The prepared table, saved once per input folder and read back (as the
     reference analyses its saved table); ``prepare`` measures building it."""
-    key = f"{sf_dir.rstrip('/')}|v{FX.ADAPTER_VERSION}"
-    return ST.materialized(spark, "prepared", key, lambda: R.prepared_sales(spark, sf_dir))
+    return ST.materialized(spark, "prepared", FX.data_key(spark, sf_dir), lambda: R.prepared_sales(spark, sf_dir))
+
+
+def _articles(spark, sf_dir):
+    """The promoted articles, saved once per input."""
+    return ST.materialized(spark, "promo_articles", FX.data_key(spark, sf_dir), lambda: FC.promo_articles(_prep(spark, sf_dir)),
+                           writer=lambda df, path: df.write.mode("overwrite").parquet(path))
 
 
 def _report(spark, sf_dir):
     return R.summary_report(_prep(spark, sf_dir))
 
 
-_VALID = dict(PromoSales=MONEY, PromoQuantity=MONEY, Daily_Avg=4, BaselineSales=MONEY, Uplift_Pct=RATIO,
-              Forecast_Qty=4, Forecast_Daily_Qty=4, Forecast_Accuracy=RATIO)
-_ROLLUP = dict(PromoSales=MONEY, PromoQuantity=MONEY, BaselineSales=MONEY, Duration=4, Forecast_Qty=4,
-               Uplift_Pct=RATIO, Forecast_Accuracy=RATIO)
-_KPIS = dict(avg_uplift_pct=4, total_uplift_k=4, avg_duration=4, total_sales=MONEY, forecast_accuracy_pct=4)
-
 # ---------------------------------------------------------------- filters and splits
 
 
@@ -111,17 +83,17 @@ def q_overview(spark, sf_dir):
     return SM.overview(_prep(spark, sf_dir))
 
 
-@register("promo_split", sales=MONEY)
+@register("promo_split")
 def q_promo_split(spark, sf_dir):
     return P.promo_split(_prep(spark, sf_dir))
 
 
-@register("promo_data", Net__Sales=MONEY, Sales__Quantity=MONEY)
+@register("promo_data")
 def q_promo_data(spark, sf_dir):
     return P.promo_data(_prep(spark, sf_dir))
 
 
-@register("nonpromo_data", Net__Sales=MONEY)
+@register("nonpromo_data")
 def q_nonpromo_data(spark, sf_dir):
     return P.nonpromo_data(_prep(spark, sf_dir))
 
@@ -132,26 +104,24 @@ def q_filter_sales(spark, sf_dir):
     return SM.overview(f).withColumn("year", F.lit(YEAR_FILTER.year))
 
 
-@register("region_scope", PromoSales=MONEY)
+@register("region_scope")
 def q_region_scope(spark, sf_dir):
     rows = P.region_scope(_prep(spark, sf_dir), "EUROPE")
     return rows.groupBy(S.REGION).agg(F.count(F.lit(1)).alias("promo_rows"),
-                                      F.sum(S.NET_SALES).alias("PromoSales"))
+                                      C.exact_sum(S.NET_SALES).alias("PromoSales"))
 
 
 @register("promo_regions")
 def q_promo_regions(spark, sf_dir):
-    prep = _prep(spark, sf_dir)
-    counts = P.promo_rows(prep).groupBy(S.REGION).agg(F.count(F.lit(1)).alias("promo_rows"))
-    return P.promo_regions(prep).join(counts, S.REGION)
+    return P.promo_regions(_prep(spark, sf_dir))
 
 
-@register("prepare", Net__Sales=MONEY, Sales__Quantity=MONEY, Forecast_Qty=4, Forecast_Daily_Qty=4)
+@register("prepare")
 def q_prepare(spark, sf_dir):
     return R.prepared_sales(spark, sf_dir)
 
 
-@register("no_forecast", Net__Sales=MONEY)
+@register("no_forecast")
 def q_no_forecast(spark, sf_dir):
     df = R.prepared_sales(spark, sf_dir, with_forecast=False)
     return df.select(S.ROW_ORDER, S.ARTICLE, S.NET_SALES, S.YEAR, S.MONTH, S.HAS_FORECAST, S.FORECAST_QTY,
@@ -173,7 +143,7 @@ def q_norm_status(spark, sf_dir):
 # ---------------------------------------------------------------- baselines
 
 
-@register("baselines", Daily_Avg=4)
+@register("baselines")
 def q_baselines(spark, sf_dir):
     return B.baselines(_prep(spark, sf_dir))
 
@@ -183,40 +153,40 @@ def q_baseline_totals(spark, sf_dir):
     return B.baseline_totals(_prep(spark, sf_dir))
 
 
-@register("clean_days", Net__Sales=MONEY)
+@register("clean_days")
 def q_clean_days(spark, sf_dir):
     return B.clean_rows(_prep(spark, sf_dir)).select(S.ROW_ORDER, S.ARTICLE, S.REGION, S.SALES_DATE, S.NET_SALES)
 
 
-@register("region_baselines", NonPromoSales=MONEY, AvgQuantity=4, Daily_NonPromo_Avg=4)
+@register("region_baselines")
 def q_region_baselines(spark, sf_dir):
     return B.region_baselines(_prep(spark, sf_dir))
 
 
-@register("article_daily_avg", overall_daily_avg=4)
+@register("article_daily_avg")
 def q_article_daily_avg(spark, sf_dir):
     return B.article_daily_avg(_prep(spark, sf_dir))
 
 # ---------------------------------------------------------------- promotions
 
 
-@register("promo_summary", PromoSales=MONEY, PromoQuantity=MONEY)
+@register("promo_summary")
 def q_promo_summary(spark, sf_dir):
     return P.promo_summary(_prep(spark, sf_dir)).drop(S.HAS_FORECAST, S.FORECAST_QTY, S.FORECAST_DAILY)
 
 
-@register("promo_forecast", Forecast_Qty=4, Forecast_Daily_Qty=4)
+@register("promo_forecast")
 def q_promo_forecast(spark, sf_dir):
     df = P.promo_summary(_prep(spark, sf_dir))
     return df.select(*S.promo_keys(df.columns), S.HAS_FORECAST, S.FORECAST_QTY, S.FORECAST_DAILY)
 
 
-@register("analyze_promotions", **_VALID)
+@register("analyze_promotions")
 def q_analyze(spark, sf_dir):
     return _report(spark, sf_dir).valid
 
 
-@register("forecast_coverage", forecast_coverage=RATIO)
+@register("forecast_coverage")
 def q_coverage(spark, sf_dir):
     return P.forecast_coverage(_report(spark, sf_dir).valid)
 
@@ -227,46 +197,54 @@ def q_min_days(spark, sf_dir):
     return P.duration_filter_counts(valid, 7).withColumn("min_days", F.lit(7))
 
 
-@register("promo_rollup", **_ROLLUP)
+@register("promo_rollup")
 def q_rollup(spark, sf_dir):
     return _report(spark, sf_dir).rollup
 
 
-@register("top_promos", **_ROLLUP)
+@register("top_promos")
 def q_top(spark, sf_dir):
     return _report(spark, sf_dir).top(S.DEFAULT_TOP_N)
 
 
-@register("bottom_promos", **_ROLLUP)
+@register("bottom_promos")
 def q_bottom(spark, sf_dir):
     return _report(spark, sf_dir).bottom(S.DEFAULT_TOP_N)
 
 
-@register("top_kpis", **_KPIS)
+@register("top_kpis")
 def q_top_kpis(spark, sf_dir):
     return SM.top_kpis(_report(spark, sf_dir).rollup, S.DEFAULT_TOP_N)
 
 
-@register("bottom_kpis", **_KPIS)
+@register("bottom_kpis")
 def q_bottom_kpis(spark, sf_dir):
     return SM.bottom_kpis(_report(spark, sf_dir).rollup, S.DEFAULT_TOP_N)
 
 
-@register("strategy", Avg_Uplift=RATIO, Total_Sales=MONEY, Total_Baseline=MONEY, Avg_Duration=4, Total_Uplift=MONEY)
+@register("strategy")
 def q_strategy(spark, sf_dir):
     return _report(spark, sf_dir).strategy()
 
 
-@register("verdict_detail", **_ROLLUP)
+@register("verdict_detail")
 def q_verdict_detail(spark, sf_dir):
     return SM.verdict_detail(_report(spark, sf_dir).rollup, DETAIL_VERDICT)
 
 
-@register("display_table", uplift_sort=1)
+@register("display_table")
 def q_display(spark, sf_dir):
     return SM.display_table(_report(spark, sf_dir).rollup)
 
 
+@register("display_lowest")
+def q_display_lowest(spark, sf_dir):
+    """The bottom promotions, lowest uplift first, with their rank."""
+    rows = SM.bottom_promos(_report(spark, sf_dir).rollup, S.DEFAULT_TOP_N)  # a top-k of fixed size
+    order = Window.orderBy(F.col("uplift_sort").asc_nulls_last(), "Article", "Promotion")
+    return SM.display_table(rows, lowest_first=True).withColumn("Rank", F.row_number().over(order))
+
+
 @register("uplift_verdict")
 def q_uplift_verdict(spark, sf_dir):
     """Verdict of every summary row that has a baseline (no thresholds)."""
@@ -291,7 +269,7 @@ def q_forecast_verdict(spark, sf_dir):
     return facts.groupBy("Forecast_Interpretation").agg(F.count(F.lit(1)).alias("promotions"))
 
 
-@register("forecast_accuracy", Forecast_Qty=4, Forecast_Accuracy=RATIO, PromoQuantity=MONEY)
+@register("forecast_accuracy")
 def q_forecast_accuracy(spark, sf_dir):
     df = P.promo_summary(_prep(spark, sf_dir))
     return df.select(*S.promo_keys(df.columns), "PromoQuantity", S.FORECAST_QTY,
@@ -300,17 +278,27 @@ def q_forecast_accuracy(spark, sf_dir):
 # ---------------------------------------------------------------- forecasts
 
 
-@register("forecast_match", Forecast_Qty=4, Forecast_Daily_Qty=4)
+@register("forecast_match")
 def q_forecast_match(spark, sf_dir):
-    return FC.forecast_match(_prep(spark, sf_dir), FX.forecast_table(spark, sf_dir), "contains")
+    return FC.forecast_match(_articles(spark, sf_dir), FX.forecast_table(spark, sf_dir), "contains")
 
 
-@register("forecast_match_token", Forecast_Qty=4, Forecast_Daily_Qty=4)
+@register("forecast_match_token")
 def q_forecast_match_token(spark, sf_dir):
-    return FC.forecast_match(_prep(spark, sf_dir), FX.forecast_table(spark, sf_dir), "token")
+    return FC.forecast_match(_articles(spark, sf_dir), FX.forecast_table(spark, sf_dir), "token")
+
 
+@register("forecast_match_regex")
+def q_forecast_match_regex(spark, sf_dir):
+    """Articles as patterns: those of size 7 with a pattern in place of the dash, the others as they are."""
+    articles = _articles(spark, sf_dir)
+    stem = F.substring_index(S.ARTICLE, "-", 1)
+    patterns = articles.select(F.when(F.col(S.ARTICLE).endswith("-7"), F.concat(stem, F.lit("-[7]( |$)")))
+                               .otherwise(F.col(S.ARTICLE)).alias(S.ARTICLE))
+    return FC.forecast_match(patterns, FX.forecast_table(spark, sf_dir), "regex")
 
-@register("forecast_stats", avg_forecast_qty=4, total_forecast_qty=MONEY)
+
+@register("forecast_stats")
 def q_forecast_stats(spark, sf_dir):
     return FC.forecast_stats(FX.forecast_table(spark, sf_dir))
 
@@ -336,28 +324,30 @@ def q_article_metrics(spark, sf_dir):
 
 @register("valid_articles")
 def q_valid_articles(spark, sf_dir):
-    return A.valid_articles(_prep(spark, sf_dir))
+    return A.valid_articles(_prep(spark, sf_dir), limit=S.VALID_ARTICLE_LIMIT)
+
+
+@register("article_list")
+def q_article_list(spark, sf_dir):
+    return A.article_list(_prep(spark, sf_dir))
 
 
-@register("article_rows", Net__Sales=MONEY, Sales__Quantity=MONEY, Forecast_Qty=4, Forecast_Daily_Qty=4)
+@register("article_rows")
 def q_article_rows(spark, sf_dir):
     return A.article_rows(_prep(spark, sf_dir), ONE_ARTICLE)
 
 
-@register("article_kpis", promo_sales=MONEY)
+@register("article_kpis")
 def q_article_kpis(spark, sf_dir):
     return A.article_kpis(_prep(spark, sf_dir))
 
 
-@register("article_promos", PromoSales=MONEY, PromoQuantity=MONEY, AvgDailySales=4, AvgDailyQuantity=4,
-          Forecast_Qty=4, Forecast_Daily_Qty=4)
+@register("article_promos")
 def q_article_promos(spark, sf_dir):
     return A.article_promos(_prep(spark, sf_dir))
 
 
-@register("article_uplift", PromoSales=MONEY, PromoQuantity=MONEY, AvgDailySales=4, AvgDailyQuantity=4,
-          Forecast_Qty=4, Forecast_Daily_Qty=4, Daily_NonPromo_Avg=4, Baseline=MONEY, Uplift=MONEY,
-          Uplift_Pct=RATIO, Forecast_Accuracy=RATIO)
+@register("article_uplift")
 def q_article_uplift(spark, sf_dir):
     return A.article_uplift(_prep(spark, sf_dir))
 
@@ -367,27 +357,35 @@ def q_article_info(spark, sf_dir):
     return A.article_info(_prep(spark, sf_dir))
 
 
-@register("promo_types", Total_Sales=MONEY, Total_Quantity=MONEY, Avg_PromoDays=4, Baseline=MONEY, Uplift=MONEY,
-          Total_Forecast=4, Forecast_Accuracy=RATIO, Uplift_Pct=RATIO, Uplift_Numeric=4)
+@register("promo_types")
 def q_promo_types(spark, sf_dir):
     return A.promo_types(_prep(spark, sf_dir))
 
 
-@register("effectiveness", avg_uplift_pct=4, success_rate=4, avg_duration=4, forecast_accuracy_pct=4)
+@register("promo_details")
+def q_promo_details(spark, sf_dir):
+    return A.promo_details(A.promo_types(_prep(spark, sf_dir)))
+
+
+@register("effectiveness")
 def q_effectiveness(spark, sf_dir):
     return A.effectiveness(_prep(spark, sf_dir))
 
 
-@register("quartiles", sales_q25=MONEY, median_sales=MONEY, sales_q75=MONEY, qty_q25=MONEY,
-          median_quantity=MONEY, qty_q75=MONEY)
+def _plain_round(df: DataFrame, *columns: str) -> DataFrame:
+    """Interpolated quantiles to six decimals: engines interpolate in different ways."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@register("quartiles")
 def q_quartiles(spark, sf_dir):
-    return A.quartiles(_prep(spark, sf_dir))
+    return _plain_round(A.quartiles(_prep(spark, sf_dir)), "sales_q25", "median_sales", "sales_q75", "qty_q25",
+                        "median_quantity", "qty_q75")
 
 
-@register("quadrants", Total_Sales=MONEY, Total_Quantity=MONEY, Uplift_Pct=RATIO, median_sales=MONEY,
-          median_quantity=MONEY)
+@register("quadrants")
 def q_quadrants(spark, sf_dir):
-    return A.quadrants(_prep(spark, sf_dir))
+    return _plain_round(A.quadrants(_prep(spark, sf_dir)), "median_sales", "median_quantity")
 
 # ---------------------------------------------------------------- ingest (raw delimited files)
 
@@ -395,80 +393,111 @@ def q_quadrants(spark, sf_dir):
 _SALES_OUT = [S.REGION, S.PSA, S.SUBCAT, S.BONUS_BUY, S.SALES_DATE, S.STATUS, S.ARTICLE, S.NET_SALES, S.QUANTITY]
 
 
-def _raw(spark, sf_dir):
-    return FX.raw_files(spark, sf_dir)
+def _raw(spark, sf_dir, *names):
+    return [FX.raw_files(spark, sf_dir, name) for name in names]
 
 
 def _loaded(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    return CSV.load_many(spark, [raw["sales_a"], raw["sales_b"], raw["sales_c"]])
+    return CSV.load_many(spark, _raw(spark, sf_dir, "sales_a", "sales_b", "sales_c"))
+
+
+def _sales_texts(spark, sf_dir):
+    """Both kinds of sales files as text, one scan a kind."""
+    a, b = (CSV.with_lineage(CSV.scan_csv(spark, path)) for path in _raw(spark, sf_dir, "sales_a", "sales_b"))
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 def _orders_text(spark, sf_dir):
-    df = CSV.scan_csv(spark, _raw(spark, sf_dir)["orders"])
+    df = CSV.scan_csv(spark, _raw(spark, sf_dir, "orders"))
     return df.withColumn("Order", F.col("Order").cast("long"))
 
 
 @register("scan_csv")
 def q_scan_csv(spark, sf_dir):
-    return CSV.scan_csv(spark, _raw(spark, sf_dir)["sales_a"])
+    return _sales_texts(spark, sf_dir).drop(S.SOURCE_FILE)
 
 
-@register("load_many", Net__Sales=MONEY, Sales__Quantity=MONEY)
+@register("load_many")
 def q_load_many(spark, sf_dir):
-    return I.clean_sales(_loaded(spark, sf_dir).data).select(*_SALES_OUT)
+    return I.clean_sales(_loaded(spark, sf_dir).data.drop(S.SOURCE_FILE)).select(*_SALES_OUT)
 
 
 @register("required_columns")
 def q_required(spark, sf_dir):
-    return _loaded(spark, sf_dir).rejected
+    rejected = _loaded(spark, sf_dir).rejected
+    return rejected.select(FX.raw_kind(F.col("file")).alias("kind"), "missing").distinct()
 
 
 @register("lineage")
 def q_lineage(spark, sf_dir):
-    data = _loaded(spark, sf_dir).data
-    return data.groupBy(S.SOURCE_FILE).agg(F.count(F.lit(1)).alias("rows"))
+    """Rows by kind of raw file; every row names a file that exists."""
+    parts = [CSV.with_lineage(CSV.scan_csv(spark, path)).select(S.SOURCE_FILE, FX.raw_kind(F.col("_metadata.file_path")).alias("kind"))
+             for path in _raw(spark, sf_dir, "sales_a", "sales_b")]
+    rows = parts[0].unionByName(parts[1])
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"),
+                                    F.count_if(F.col(S.SOURCE_FILE).endswith(".csv")).cast("long").alias("with_file"))
 
 
 @register("drop_empty_rows")
 def q_drop_empty(spark, sf_dir):
-    raw = CSV.scan_csv(spark, _raw(spark, sf_dir)["sales_a"])
-    return I.empty_row_counts(raw)
+    return I.empty_row_counts(_sales_texts(spark, sf_dir))
 
 
-@register("dedup_rows", Net__Sales=MONEY, Sales__Quantity=MONEY)
+@register("dedup_rows")
 def q_dedup(spark, sf_dir):
-    return I.dedup_rows(_prep(spark, sf_dir).select(*_SALES_OUT))
+    """All sales, those of quantity 1 twice, without the copies."""
+    rows = _prep(spark, sf_dir).select(*_SALES_OUT)
+    again = F.when(F.col(S.QUANTITY) == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return I.dedup_rows(rows.withColumn("_n", F.explode(again)).drop("_n"))
 
 
-@register("append_dedup", Net__Sales=MONEY, Sales__Quantity=MONEY)
+@register("append_dedup")
 def q_append(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    existing = I.clean_sales(CSV.with_lineage(CSV.scan_csv(spark, raw["sales_a"])))
-    new = I.clean_sales(CSV.load_many(spark, [raw["sales_a"], raw["sales_b"]]).data)
-    return ST.append_dedup(existing, new).select(*_SALES_OUT)
+    """The first kind of files is stored; both kinds (one with a further column) are appended."""
+    a, b = _raw(spark, sf_dir, "sales_a", "sales_b")
+    existing = I.clean_sales(CSV.scan_csv(spark, a))
+    new = I.clean_sales(CSV.load_many(spark, [a, b]).data.drop(S.SOURCE_FILE))
+    return ST.append_dedup(existing, new).select(*_SALES_OUT, "Note")
 
 
 @register("sink_csv")
 def q_sink_csv(spark, sf_dir):
-    path = ST.table_path(spark, "export_rollup", sf_dir.rstrip("/"))
+    path = ST.table_path(spark, "export_rollup", FX.data_key(spark, sf_dir))
     ST.materialized_files(spark, path, lambda: SM.display_table(_report(spark, sf_dir).rollup), fmt="csv")
     return CSV.scan_csv(spark, path)
 
 
 @register("map_headers")
 def q_map_headers(spark, sf_dir):
-    """The forecast file with its free-form headers mapped to the target names (values as read)."""
-    return FC.map_headers(CSV.scan_csv(spark, _raw(spark, sf_dir)["forecast"]))
+    """Both kinds of forecast files with their free-form headers mapped to the target names (values as read)."""
+    a, b = (FC.map_headers(CSV.scan_csv(spark, path)) for path in _raw(spark, sf_dir, "forecast_a", "forecast_b"))
+    return a.unionByName(b, allowMissingColumns=True)
 
 
-@register("clean_forecast", Forecast_Qty=4)
+@register("clean_forecast")
 def q_clean_forecast(spark, sf_dir):
-    raw = CSV.scan_csv(spark, _raw(spark, sf_dir)["forecast"])
-    return FC.clean_forecast(raw).select(S.DESCRIPTION, S.START_DATE, S.END_DATE, S.FORECAST_QTY, S.DURATION_DAYS)
+    """Both kinds cleaned (bad dates and quantities dropped); the second has no end date."""
+    a, b = (FC.clean_forecast(CSV.with_load_order(CSV.scan_csv(spark, path))) for path in _raw(spark, sf_dir, "forecast_a", "forecast_b"))
+    return a.unionByName(b, allowMissingColumns=True).select(*_FORECAST_OUT, "Store")
+
 
+_FORECAST_OUT = [S.DESCRIPTION, S.START_DATE, S.END_DATE, S.FORECAST_QTY, S.DURATION_DAYS]
 
-@register("preview", Net__Sales=MONEY, Sales__Quantity=MONEY, Forecast_Qty=4, Forecast_Daily_Qty=4)
+
+@register("load_forecasts")
+def q_load_forecasts(spark, sf_dir):
+    """Three kinds of forecast files: two loaded without duplicates, one rejected."""
+    loaded, _ = FC.load_forecasts(spark, _raw(spark, sf_dir, "forecast_a", "forecast_b", "forecast_c"))
+    return loaded.select(*_FORECAST_OUT, "Store")
+
+
+@register("forecast_rejects")
+def q_forecast_rejects(spark, sf_dir):
+    _, rejected = FC.load_forecasts(spark, _raw(spark, sf_dir, "forecast_a", "forecast_b", "forecast_c"))
+    return rejected.select(FX.raw_kind(F.col("file")).alias("kind"), "missing").distinct()
+
+
+@register("preview")
 def q_preview(spark, sf_dir):
     return I.preview(_prep(spark, sf_dir), S.ROW_ORDER, 100)
 
@@ -501,27 +530,26 @@ def q_date_quality(spark, sf_dir):
     return I.date_quality(_orders_text(spark, sf_dir))
 
 
-@register("materialize", **_VALID)
+@register("materialize")
 def q_materialize(spark, sf_dir):
     prep = _prep(spark, sf_dir)
     facts = P.analyze_promotions(prep, B.baselines(prep), apply_thresholds=False)
-    stored = ST.materialize_promotions(spark, facts, sf_dir.rstrip("/") + "|All|All|All|All|All")
+    stored = ST.materialize_promotions(spark, facts, FX.data_key(spark, sf_dir) + "|All|All|All|All|All")
     return ST.min_days_view(stored, S.DEFAULT_MIN_DAYS)
 
 
 # ---------------------------------------------------------------- streaming ingest
 
 
-
-@register("stream_ingest", Net__Sales=MONEY, Sales__Quantity=MONEY)
+@register("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
-    """Files of one layout ingested by the file-source stream (run to completion), read back."""
-    key = f"{sf_dir.rstrip('/')}|v{FX.ADAPTER_VERSION}"
+    """Three kinds of files with different headers ingested by the stream (run to completion), read back."""
+    key = FX.data_key(spark, sf_dir)
     table = ST.table_path(spark, "stream_sales", key)
     with ST._LOCK:
-        if not ST._exists(spark, f"{table}/_done"):
-            src = _raw(spark, sf_dir)["sales_a"]
-            q = STREAM.start_sales_ingest(spark, src, table, ST.table_path(spark, "stream_ckpt", key))
-            q.awaitTermination()
-            spark.createDataFrame([("ok",)], "s string").write.mode("overwrite").text(f"{table}/_done")
-    return STREAM.read_ingested(spark, table).select(*_SALES_OUT)
+        if not ST.path_exists(spark, f"{table}_done"):
+            for n, src in enumerate(_raw(spark, sf_dir, "sales_a", "sales_b", "sales_c")):
+                STREAM.start_sales_ingest(spark, src, f"{table}/kind={n}", f"{table}_ckpt/{n}").awaitTermination()
+            spark.createDataFrame([("ok",)], "s string").write.mode("overwrite").text(f"{table}_done")
+    a, b = (STREAM.read_ingested(spark, f"{table}/kind={n}") for n in (0, 1))
+    return a.unionByName(b, allowMissingColumns=True).select(*_SALES_OUT).distinct()

@@ -3,13 +3,30 @@
 Written from the rules, not from the Spark code: clean days by NOT EXISTS,
 the first forecast by ``row_number()``, quantiles by ``quantile_cont``. The
 views ``region nation customer supplier part orders lineitem ...`` are the
-given Parquet tables. Floating columns are rounded as in ``catalog.ROUND``.
+given Parquet tables. Sums of money, quantities and ratios are taken in whole
+units (``_exact``), as longs, so they do not depend on the order of rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from promolift.plans import catalog
 
+
+def _exact(sql: str) -> str:
+    """Spell out ``sum`` and ``avg`` of measured columns as sums of whole units."""
+    money = "Net Sales|Sales Quantity|PromoSales|PromoQuantity|BaselineSales|Total_Sales|Baseline|Uplift|Forecast_Qty"
+    ratio = "Uplift_Pct|Forecast_Accuracy|Uplift_Numeric|Avg_PromoDays|Duration"
+
+    def units(column: str, unit: int, rest: str = "") -> str:
+        return f"(CAST(sum(CAST(round({column} * {unit}) AS BIGINT)){rest} AS DOUBLE) / {unit})"
+    for names, unit in ((money, 10_000), (ratio, 1_000_000_000)):
+        column = rf'((?:t\.)?"(?:{names})")'
+        sql = re.sub(rf"\bavg\({column}\)", lambda m, u=unit: f"({units(m[1], u)} / nullif(count({m[1]}), 0))", sql)
+        sql = re.sub(rf"\bsum\({column}\)( FILTER \([^)]*\))?", lambda m, u=unit: units(m[1], u, m[2] or ""), sql)
+    return sql
+
 PROMO = "\"Promotion Status\" <> 'NON-PROMO'"
 
 UPLIFT_VERDICT = """CASE WHEN {u} IS NULL OR isnan({u}) THEN 'Insufficient Data'
@@ -47,7 +64,8 @@ sales AS (
          p_brand || '-' || CAST(p_size AS VARCHAR) AS "Article",
          CAST(l_extendedprice * (1 - l_discount) AS DOUBLE) AS "Net Sales",
          CAST(l_quantity AS DOUBLE) AS "Sales Quantity",
-         CAST(((l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey) * 65536 + l_suppkey AS BIGINT) AS row_order
+         CAST(l_orderkey AS BIGINT) AS load_order, CAST(l_linenumber AS BIGINT) AS load_line,
+         CAST(l_partkey AS BIGINT) AS load_part, CAST(l_suppkey AS BIGINT) AS load_supp
   FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey
@@ -85,7 +103,7 @@ clean AS (
   WHERE p."Promotion Status" = 'NON-PROMO'
     AND NOT EXISTS (SELECT 1 FROM pdates d WHERE d."Article" = p."Article" AND d."Sales Date" = p."Sales Date")),
 stats AS (
-  SELECT a."Article", count(DISTINCT c."Sales Date") AS clean_days, sum(c."Net Sales") AS clean_sales
+  SELECT a."Article", count(DISTINCT c."Sales Date") AS clean_days, CAST(sum(CAST(round(c."Net Sales" * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS clean_sales
   FROM (SELECT DISTINCT "Article" FROM pdates) a LEFT JOIN clean c ON c."Article" = a."Article"
   GROUP BY a."Article"),
 bl AS (
@@ -205,7 +223,19 @@ dp AS (
 loaded AS (
   SELECT DISTINCT "Region", "PSA", "Sub Category", "Bonus Buy", "Sales Date", "Promotion Status", "Article",
          "Net Sales", "Sales Quantity"
-  FROM sales WHERE "Region" IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'))
+  FROM sales),
+rawf AS (
+  SELECT row_order AS k, "Description",
+         CASE WHEN row_order % 10 = 7 THEN NULL ELSE "Start_Date" END AS s, "End_Date" AS e,
+         CASE WHEN row_order % 17 = 3 THEN NULL ELSE "Forecast_Qty" END AS q
+  FROM fc),
+cleanf AS (
+  SELECT "Description", s AS "Start_Date", e AS "End_Date", q AS "Forecast_Qty",
+         CAST(e - s + 1 AS INTEGER) AS "Duration_Days", unnest(['1', '2']) AS "Store"
+  FROM rawf WHERE k % 5 <> 0 AND s IS NOT NULL AND q IS NOT NULL
+  UNION ALL
+  SELECT "Description", s, s, q, CAST(1 AS INTEGER), unnest([NULL::VARCHAR, NULL])
+  FROM rawf WHERE k % 5 = 0 AND s IS NOT NULL AND q IS NOT NULL)
 """
 
 BODIES: dict[str, str] = {}
@@ -222,13 +252,14 @@ BODIES["promo_split"] = f"""
 SELECT ({PROMO}) AS is_promo, count(*) AS records, sum("Net Sales") AS sales
 FROM prep GROUP BY 1"""
 
-BODIES["promo_data"] = f"""
-SELECT "Article", "Bonus Buy", "Region", "Sales Date", "Net Sales", "Sales Quantity", "Promotion Status",
-       "Sub Category"
-FROM prep WHERE {PROMO}"""
+BODIES["promo_data"] = """
+SELECT x."Sub Category", x."Promotion Status", x."Sales Quantity", x."Net Sales", x."Sales Date", x."Region", x."Bonus Buy",
+       x."Article"
+FROM prep x ANTI JOIN (VALUES ('NON-PROMO')) plain(s) ON x."Promotion Status" = plain.s"""
 
 BODIES["nonpromo_data"] = """
-SELECT "Article", "Region", "Sales Date", "Net Sales" FROM prep WHERE "Promotion Status" = 'NON-PROMO'"""
+SELECT x."Net Sales", x."Sales Date", x."Region", x."Article"
+FROM prep x SEMI JOIN (VALUES ('NON-PROMO')) plain(s) ON x."Promotion Status" = plain.s"""
 
 BODIES["filter_sales"] = f"""
 SELECT count(*) AS total_records,
@@ -249,7 +280,7 @@ SELECT "Region", count(*) AS promo_rows FROM prep WHERE {PROMO} AND "Region" IS
 BODIES["prepare"] = "SELECT * FROM prep"
 
 BODIES["no_forecast"] = """
-SELECT row_order, "Article", "Net Sales", CAST(year("Sales Date") AS INTEGER) AS "Year",
+SELECT load_order, load_line, load_part, load_supp, "Article", "Net Sales", CAST(year("Sales Date") AS INTEGER) AS "Year",
        CAST(month("Sales Date") AS INTEGER) AS "Month", false AS "Has_Forecast",
        CAST(NULL AS DOUBLE) AS "Forecast_Qty", CAST(NULL AS DOUBLE) AS "Forecast_Daily_Qty"
 FROM sales"""
@@ -270,7 +301,8 @@ SELECT CAST(CASE WHEN count(*) FILTER (WHERE clean_days >= 3) > 0 THEN sum(clean
        CAST(count(*) FILTER (WHERE clean_days >= 3) AS BIGINT) AS valid_articles
 FROM stats"""
 
-BODIES["clean_days"] = """SELECT row_order, "Article", "Region", "Sales Date", "Net Sales" FROM clean"""
+BODIES["clean_days"] = """
+SELECT load_order, load_line, load_part, load_supp, "Article", "Region", "Sales Date", "Net Sales" FROM clean"""
 
 BODIES["region_baselines"] = "SELECT * FROM rb"
 
@@ -339,6 +371,10 @@ SELECT "Article" AS "Article", "Bonus Buy" AS "Promotion", {money('"PromoSales"'
        round("Uplift_Pct" * 100, 1) AS uplift_sort
 FROM ru"""
 
+BODIES["display_lowest"] = f"""
+SELECT *, CAST(row_number() OVER (ORDER BY uplift_sort NULLS LAST, "Article", "Promotion") AS INTEGER) AS "Rank"
+FROM ({BODIES["display_table"].replace("FROM ru", "FROM (" + BODIES["bottom_promos"] + ") low")}) d"""
+
 BODIES["uplift_verdict"] = f"""
 SELECT {UPLIFT_VERDICT.format(u='"Uplift_Pct"')} AS "Interpretation", count(*) AS promotions FROM facts GROUP BY 1"""
 
@@ -368,6 +404,15 @@ SELECT "Article", "Forecast_Qty", "Forecast_Daily_Qty", forecast_order FROM (
     ON t.tok = pa."Article") x
 WHERE rn = 1"""
 
+BODIES["forecast_match_regex"] = """
+SELECT "Article", "Forecast_Qty", "Forecast_Daily_Qty", forecast_order FROM (
+  SELECT a."Article", fc."Forecast_Qty",
+         CASE WHEN fc."Duration_Days" <> 0 THEN fc."Forecast_Qty" / fc."Duration_Days" END AS "Forecast_Daily_Qty",
+         fc.row_order AS forecast_order, row_number() OVER (PARTITION BY a."Article" ORDER BY fc.row_order) AS rn
+  FROM (SELECT regexp_replace("Article", '-7$', '-[7]( |$)') AS "Article" FROM pa) a
+  JOIN fc ON regexp_matches(fc."Description", a."Article")) t
+WHERE rn = 1"""
+
 BODIES["forecast_stats"] = """
 SELECT count(*) AS total_forecasts, count(DISTINCT "Description") AS unique_descriptions,
        min("Start_Date") AS min_start_date, max("Start_Date") AS max_start_date,
@@ -389,21 +434,20 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT 'Region', "Region" FROM prep) t
 WHERE value IS NOT NULL"""
 
+_SIDES = f"""(SELECT "Article", count(*) AS n, count(*) FILTER ({PROMO}) AS n_promo, count(DISTINCT "Sales Date") AS days,
+   min("Sales Date") AS d0, max("Sales Date") AS d1 FROM prep GROUP BY ALL)"""
+
 BODIES["article_metrics"] = f"""
-SELECT "Article", count(*) AS total_rows, count(DISTINCT "Sales Date") AS unique_days,
-       CAST(sum(CASE WHEN "Promotion Status" != 'NON-PROMO' THEN 1 ELSE 0 END) AS BIGINT) AS promo_count,
-       CAST(sum(CASE WHEN "Promotion Status" = 'NON-PROMO' THEN 1 ELSE 0 END) AS BIGINT) AS nonpromo_count,
-       min("Sales Date") AS first_date, max("Sales Date") AS last_date
-FROM prep GROUP BY "Article" """
+SELECT "Article", n AS total_rows, days AS unique_days, n_promo AS promo_count, n - n_promo AS nonpromo_count,
+       d0 AS first_date, d1 AS last_date FROM {_SIDES}"""
+
+BODIES["valid_articles"] = f"""
+SELECT "Article", n AS total_rows FROM {_SIDES}
+WHERE least(n_promo, n - n_promo) >= 2
+QUALIFY row_number() OVER (ORDER BY n DESC, "Article") <= 500"""
 
-BODIES["valid_articles"] = """
-SELECT "Article", total_rows FROM (
-  SELECT "Article", count(*) AS total_rows,
-         sum(CASE WHEN "Promotion Status" != 'NON-PROMO' THEN 1 ELSE 0 END) AS promo_count,
-         sum(CASE WHEN "Promotion Status" = 'NON-PROMO' THEN 1 ELSE 0 END) AS nonpromo_count
-  FROM prep GROUP BY "Article") m
-WHERE promo_count >= 2 AND nonpromo_count >= 2
-ORDER BY total_rows DESC, "Article" LIMIT 500"""
+BODIES["article_list"] = f"""
+SELECT "Article" FROM {_SIDES} WHERE least(n_promo, n - n_promo) >= 2"""
 
 BODIES["article_rows"] = """SELECT * FROM prep WHERE "Article" = 'Brand#1-1'"""
 
@@ -426,12 +470,21 @@ BODIES["article_promos"] = "SELECT * FROM ap"
 BODIES["article_uplift"] = "SELECT * FROM au"
 
 BODIES["article_info"] = """
-SELECT "Article", arg_min("Sub Category", row_order) AS "Sub Category", arg_min("PSA", row_order) AS "PSA",
+SELECT "Article", first("Sub Category" ORDER BY load_order, load_line, load_part, load_supp) AS "Sub Category",
+       first("PSA" ORDER BY load_order, load_line, load_part, load_supp) AS "PSA",
        bool_or("Has_Forecast") AS "Has_Forecast"
 FROM prep GROUP BY "Article" """
 
 BODIES["promo_types"] = "SELECT * FROM pt"
 
+BODIES["promo_details"] = f"""
+SELECT "Article", "Bonus Buy" AS "Promotion", {money('"Total_Sales"')} AS "Promo Sales", "Total_Quantity" AS "Promo Quantity",
+       "Avg_PromoDays" AS "Avg Duration", "Region_Count" AS "Regions", {money('"Baseline"')} AS "Expected Baseline",
+       {money('"Uplift"')} AS "Uplift Amount", "Uplift_Display" AS "Uplift %", {qty('"Total_Forecast"')} AS "Forecast Qty",
+       {pct('"Forecast_Accuracy"')} AS "Forecast Accuracy %",
+       CAST(row_number() OVER (PARTITION BY "Article" ORDER BY "Uplift_Numeric" DESC NULLS LAST, "Bonus Buy") AS INTEGER) AS "Rank"
+FROM pt"""
+
 BODIES["effectiveness"] = """
 SELECT t."Article", avg("Uplift_Numeric") AS avg_uplift_pct, count(*) AS num_types,
        avg(CASE WHEN "Uplift_Pct" > 0 THEN 1.0 ELSE 0.0 END) * 100 AS success_rate,
@@ -444,10 +497,13 @@ LEFT JOIN (SELECT "Article", count(DISTINCT "Region") AS reliable_regions FROM a
   ON t."Article" = r."Article"
 GROUP BY t."Article", r.reliable_regions"""
 
-BODIES["quartiles"] = "SELECT * FROM med"
+BODIES["quartiles"] = """
+SELECT "Article", round(sales_q25, 6) AS sales_q25, round(median_sales, 6) AS median_sales, round(sales_q75, 6) AS sales_q75,
+       round(qty_q25, 6) AS qty_q25, round(median_quantity, 6) AS median_quantity, round(qty_q75, 6) AS qty_q75 FROM med"""
 
 BODIES["quadrants"] = """
-SELECT pt."Article", pt."Bonus Buy", "Total_Sales", "Total_Quantity", "Uplift_Pct", median_sales, median_quantity,
+SELECT pt."Article", pt."Bonus Buy", "Total_Sales", "Total_Quantity", "Uplift_Pct",
+       round(median_sales, 6) AS median_sales, round(median_quantity, 6) AS median_quantity,
        q || '' AS "Quadrant",
        CASE q WHEN 'High Volume, Low Value' THEN 'High quantity but low revenue - consider price optimization'
               WHEN 'High Volume, High Value' THEN 'Best performers - maximize distribution and repeat'
@@ -462,22 +518,52 @@ FROM (SELECT pt.*, med.median_sales, med.median_quantity,
 
 BODIES["load_many"] = "SELECT * FROM loaded"
 
-BODIES["append_dedup"] = "SELECT * FROM loaded"
+BODIES["append_dedup"] = """SELECT *, CASE WHEN "Region" >= 'ASIA' THEN 'x' END AS "Note" FROM loaded"""
 
 BODIES["dedup_rows"] = """
 SELECT DISTINCT "Region", "PSA", "Sub Category", "Bonus Buy", "Sales Date", "Promotion Status", "Article",
        "Net Sales", "Sales Quantity" FROM prep"""
 
-BODIES["drop_empty_rows"] = """
-SELECT a.n + a.dup + e.n AS rows_read, a.n + a.dup AS rows_kept
-FROM (SELECT count(*) AS n, count(*) FILTER (WHERE "Sales Quantity" = 1) AS dup
-      FROM sales WHERE "Region" IN ('AFRICA', 'AMERICA')) a,
-     (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P') e"""
+_TEXTS = """
+SELECT "Region", "PSA", "Sub Category", "Bonus Buy",
+       CASE WHEN "Region" < 'ASIA' THEN strftime("Sales Date", '%d/%m/%Y') ELSE strftime("Sales Date", '%Y-%m-%d') END AS "Sales Date",
+       CASE WHEN "Region" < 'ASIA' THEN "Promotion Status" ELSE lower("Promotion Status") END AS "Promotion Status",
+       "Article", CAST("Net Sales" AS VARCHAR) AS "Net Sales", CAST("Sales Quantity" AS VARCHAR) AS "Sales Quantity",
+       CASE WHEN "Region" >= 'ASIA' THEN 'x' END AS "Note"
+FROM (SELECT * FROM sales UNION ALL SELECT * FROM sales WHERE "Region" < 'ASIA' AND "Sales Quantity" = 1) s
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderstatus = 'P'"""
+
+BODIES["scan_csv"] = _TEXTS
+
+BODIES["drop_empty_rows"] = f"""SELECT count(*) AS rows_read, count("Region") AS rows_kept FROM ({_TEXTS}) t"""
+
+BODIES["lineage"] = f"""
+SELECT CASE WHEN "Note" = 'x' THEN 'sales_b' ELSE 'sales_a' END AS kind, count(*) AS rows, count(*) AS with_file
+FROM ({_TEXTS}) t GROUP BY 1"""
+
+BODIES["required_columns"] = """
+SELECT DISTINCT 'sales_c' AS kind, 'PSA' AS missing FROM sales WHERE "Sales Quantity" = 50"""
+
+BODIES["sink_csv"] = "SELECT " + ", ".join(
+    f"""nullif(CAST("{c}" AS VARCHAR), 'N/A') AS "{c}\"""" for c in (
+        "Article", "Promotion", "Promo Sales", "Baseline", "Promo Qty", "Forecast Qty", "Uplift %", "Duration (Days)",
+        "Regions Count", "Forecast Accuracy", "uplift_sort")) + f" FROM ({BODIES['display_table']}) d"
 
-BODIES["clean_forecast"] = """
-SELECT "Description", "Start_Date", "End_Date", "Forecast_Qty", "Duration_Days" FROM fc"""
+BODIES["map_headers"] = """
+SELECT "Description", coalesce(strftime(s, '%d/%m/%Y'), 'soon') AS "Start_Date", strftime(e, '%d/%m/%Y') AS "End_Date",
+       CAST(q AS VARCHAR) AS "Forecast_Qty", unnest(['1', '2']) AS "Store" FROM rawf WHERE k % 5 <> 0
+UNION ALL
+SELECT "Description", coalesce(strftime(s, '%d/%m/%Y'), 'soon'), NULL, CAST(q AS VARCHAR), unnest([NULL::VARCHAR, NULL])
+FROM rawf WHERE k % 5 = 0"""
 
-BODIES["preview"] = "SELECT * FROM prep ORDER BY row_order LIMIT 100"
+BODIES["clean_forecast"] = "SELECT * FROM cleanf"
+
+BODIES["load_forecasts"] = "SELECT DISTINCT * FROM cleanf"
+
+BODIES["forecast_rejects"] = "SELECT DISTINCT 'forecast_c' AS kind, 'Forecast_Qty' AS missing FROM rawf WHERE k % 9 = 0"
+
+BODIES["preview"] = "SELECT * FROM prep ORDER BY load_order, load_line, load_part, load_supp LIMIT 100"
 
 BODIES["bad_dates"] = """
 SELECT "Order", date_text AS "Sales Date" FROM dp WHERE parsed IS NULL ORDER BY "Order" LIMIT 3"""
@@ -496,28 +582,12 @@ FROM dp"""
 BODIES["materialize"] = "SELECT * FROM vp"
 
 
-def _rounded(name: str, body: str) -> str:
-    spec = catalog.ROUND.get(name, {})
-    dates = catalog.DATES.get(name, [])
-    if not spec and not dates:
-        return body
-    # Round only columns the query has: DuckDB's REPLACE needs them to exist,
-    # so each spec lists just the output's floating columns.
-    parts = [f'round("{c}" * CAST({10 ** d} AS DOUBLE) + {catalog.QUANT_OFFSET}) / CAST({10 ** d} AS DOUBLE)'
-             f' AS "{c}"' for c, d in spec.items()]
-    parts += [f"strftime(\"{c}\", '%Y-%m-%d') AS \"{c}\"" for c in dates]
-    rep = ", ".join(parts)
-    return f"SELECT * REPLACE ({rep}) FROM ({body}) q"
+BODIES["stream_ingest"] = "SELECT * FROM loaded"
 
 
 def sql(name: str) -> str:
-    return f"WITH {CTES}\n{_rounded(name, BODIES[name])}"
+    return _exact(f"WITH {CTES}\n{BODIES[name]}")
 
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql(name) for name in BODIES if name in catalog.QUERIES}
-
-BODIES["stream_ingest"] = """
-SELECT DISTINCT "Region", "PSA", "Sub Category", "Bonus Buy", "Sales Date", "Promotion Status", "Article",
-       "Net Sales", "Sales Quantity"
-FROM sales WHERE "Region" IN ('AFRICA', 'AMERICA')"""

@@ -55,14 +55,16 @@ def summary_report(prepared: DataFrame, filters: S.Filters = S.Filters()) -> Sum
 
 
 def summary_report_reusing_facts(prepared: DataFrame, filters: S.Filters, key: str) -> SummaryReport:
-    """As ``summary_report``, but the un-thresholded promotion facts are saved once per
-    filter set without ``min_days`` (``key`` names the input), so another
-    ``min_days`` is a filter on the saved facts, not a new baseline computation."""
+    """As ``summary_report``, but the baselines and the un-thresholded promotion facts are
+    saved once per filter set without ``min_days`` (``key`` names the input and its
+    version), so another ``min_days`` is a filter on the saved facts."""
     from promolift.sources import store as ST
+    spark, saved_key = prepared.sparkSession, f"{key}|{filters.baseline_key()}"
     filtered = P.filter_sales(prepared, filters)
-    base = B.baselines(filtered)
+    base = ST.materialized(spark, "baselines", saved_key, lambda: B.baselines(filtered),
+                           writer=lambda df, path: df.write.mode("overwrite").parquet(path))
     facts = P.analyze_promotions(filtered, base, region=filters.region, apply_thresholds=False)
-    stored = ST.materialize_promotions(prepared.sparkSession, facts, f"{key}|{filters.baseline_key()}")
+    stored = ST.materialize_promotions(spark, facts, saved_key)
     valid = ST.min_days_view(stored, filters.min_days)
     return SummaryReport(filtered, base, valid, P.promo_rollup(valid, include_region_count=True))
 

@@ -40,10 +40,11 @@ END_DATE = "End_Date"
 DURATION_DAYS = "Duration_Days"
 REQUIRED_FORECAST = [DESCRIPTION, START_DATE, FORECAST_QTY]
 
-# The status text of a non-promotion row, and the text a
-# missing status becomes.
+# The status text of a non-promotion row, and the texts that a
+# missing status and a missing article become.
 NON_PROMO = "NON-PROMO"
 MISSING_STATUS = "NAN"
+MISSING_ARTICLE = "nan"
 
 # Thresholds of the analysis.
 MIN_CLEAN_DAYS = 3            # clean days an article needs for a baseline

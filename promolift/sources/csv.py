@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import csv as _csv
 import io
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,17 +47,33 @@ def list_files(spark: SparkSession, paths: list[str] | str, suffix: str = ".csv"
     return sorted(out)
 
 
-def peek_header(spark: SparkSession, path: str) -> list[str]:
-    """First line of a file, split as CSV (reads a few bytes, on the driver)."""
-    jvm, p, fs = _jvm_fs(spark, path)
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine() or ""
-    finally:
-        stream.close()
-    line = line.lstrip("﻿")
-    return next(_csv.reader(io.StringIO(line)), [])
+def header_groups(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by header (as split, untrimmed), found by one distributed job.
+
+    Tasks read the first block of each file and give its first line; what
+    reaches the driver is one row per distinct header with its file names.
+    """
+    if not files:
+        return {}
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
+        F.monotonically_increasing_id().alias("at"))
+    first = lines.where(F.col("block") == 0).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    names = {_plain(f): f for f in files}
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in found:
+        header = tuple(next(_csv.reader(io.StringIO(row["header"].lstrip("\ufeff"))), []))
+        groups.setdefault(header, []).extend(names.pop(_plain(unquote(f))) for f in row["files"])
+    if names:  # files without a line
+        groups.setdefault((), []).extend(names.values())
+    return {h: sorted(m) for h, m in sorted(groups.items())}
+
+
+def _plain(path: str) -> str:
+    """A path with one slash after the scheme, however it was spelled."""
+    scheme, colon, rest = path.partition(":")
+    return f"{scheme}{colon}/{rest.lstrip('/')}" if colon else path
 
 
 def scan_csv(spark: SparkSession, paths: list[str] | str, na_tokens: list[str] | None = None,
@@ -82,16 +99,16 @@ def with_lineage(df: DataFrame) -> DataFrame:
 def with_load_order(df: DataFrame) -> DataFrame:
     """``row_order``: (file path, split start, position) - the order rows were loaded in.
 
-    Used for "first" (first forecast, first sub category). Falls back to
-    ``monotonically_increasing_id`` for DataFrames not read from files.
+    Used for "first" (first forecast, first sub category). For a DataFrame
+    that was not read from files, the position alone.
     """
+    position = F.monotonically_increasing_id()
     try:
-        order = F.struct(F.col("_metadata.file_path").alias("file"),
-                         F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("pos"))
-        return df.withColumn(S.ROW_ORDER, order)
-    except Exception:  # noqa: BLE001 - not a file scan: no metadata column
-        return df.withColumn(S.ROW_ORDER, F.monotonically_increasing_id())
+        df.select("_metadata.file_path")
+    except AnalysisException:  # not a file scan
+        return df.withColumn(S.ROW_ORDER, position)
+    return df.withColumn(S.ROW_ORDER, F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), position.alias("pos")))
 
 
 @dataclass
@@ -105,17 +122,13 @@ def load_many(spark: SparkSession, paths: list[str] | str, required: list[str] |
               na_tokens: list[str] | None = None) -> Loaded:
     """Load files of possibly different headers; skip (and report) files missing a required column.
 
-    One ``read.csv`` per distinct header (headers come from a few-byte peek of
-    each file), ``unionByName(allowMissingColumns=True)`` across groups.
+    One ``read.csv`` per distinct header (found by a distributed job),
+    ``unionByName(allowMissingColumns=True)`` across groups.
     """
     req = S.REQUIRED_SALES if required is None else required
-    files = list_files(spark, paths)
     groups: dict[tuple[str, ...], list[str]] = {}
-    # Header peeks are small reads, I/O bound: a few at a time.
-    with ThreadPoolExecutor(max_workers=min(16, max(1, len(files)))) as pool:
-        headers = list(pool.map(lambda f: tuple(h.strip() for h in peek_header(spark, f)), files))
-    for f, header in zip(files, headers):
-        groups.setdefault(header, []).append(f)
+    for header, members in header_groups(spark, list_files(spark, paths)).items():
+        groups.setdefault(tuple(h.strip() for h in header), []).extend(members)
     parts: list[DataFrame] = []
     rejected: list[tuple[str, str]] = []
     accepted: list[str] = []

@@ -27,13 +27,17 @@ def article_of(brand, size):
     return F.concat(brand, F.lit("-"), size.cast("string"))
 
 
-# Load order of a line item: (order, line, part, supplier) packed into one long;
-# the four together are unique (line numbers alone repeat within an order).
-ADAPTER_VERSION = "2"
+# Version of the adapters; part of the key of every table saved from them.
+ADAPTER_VERSION = "3"
 
 
 def row_order_of(order, line, part, supp):
-    return ((((order.cast("long") * 8 + line) * 4194304) + part) * 65536 + supp).cast("long")
+    """Load order of a line item: (order, line, part, supplier), unique together.
+
+    A struct compares field by field, so keys of any size keep their order.
+    """
+    return F.struct(order.cast("long").alias("order"), line.cast("long").alias("line"),
+                    part.cast("long").alias("part"), supp.cast("long").alias("supp"))
 
 
 def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,43 +123,73 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- raw files
 
-# Free-form forecast headers, as a forecast file might carry them.
-FORECAST_FILE_HEADERS = {S.DESCRIPTION: "Item Desc.", S.START_DATE: "Start Date", S.END_DATE: "End Date",
-                         S.FORECAST_QTY: "Revised Ttl Fcst Qty"}
-SALES_GROUPS = {"sales_a": ["AFRICA", "AMERICA"], "sales_b": ["ASIA", "EUROPE"], "sales_c": ["MIDDLE EAST"]}
-
-
-def _raw_sales_group(spark: SparkSession, sf_dir: str, group: str) -> DataFrame:
-    sales = sales_table(spark, sf_dir)
-    rows = sales.where(F.col(S.REGION).isin(*SALES_GROUPS[group]))
-    if group == "sales_a":
-        # Text dates day first; rows of quantity 1 twice (duplicates); one
-        # empty line per pending order (all fields empty).
-        text = rows.select(*[F.date_format(S.SALES_DATE, "dd/MM/yyyy").alias(c) if c == S.SALES_DATE
-                             else F.col(f"`{c}`").cast("string").alias(c) for c in S.REQUIRED_SALES])
-        dups = text.where(F.col(S.QUANTITY) == "1.0")
-        empty_src = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
-        empty = empty_src.select(*[F.lit(None).cast("string").alias(c) for c in S.REQUIRED_SALES])
-        return text.unionByName(dups).unionByName(empty)
-    if group == "sales_b":
-        # Other column order, lower-case status, ISO dates, an extra column.
-        order = [S.ARTICLE, S.SALES_DATE, S.REGION, S.STATUS, S.BONUS_BUY, S.NET_SALES, S.QUANTITY,
-                 S.SUBCAT, S.PSA]
-        return rows.select(*[
-            F.date_format(S.SALES_DATE, "yyyy-MM-dd").alias(c) if c == S.SALES_DATE
-            else F.lower(S.STATUS).alias(c) if c == S.STATUS
-            else F.col(f"`{c}`").cast("string").alias(c) for c in order], F.lit("x").alias("Note"))
-    # sales_c: no PSA column, so the whole file is rejected.
+# Free-form forecast headers, as two kinds of forecast files carry
+# them. The first kind also has a store; the second has no end date.
+FORECAST_HEADERS_A = {S.DESCRIPTION: "Item Desc.", S.START_DATE: "Start Date", S.END_DATE: "End Date",
+                      S.FORECAST_QTY: "Revised Ttl Fcst Qty"}
+FORECAST_HEADERS_B = {S.DESCRIPTION: "Description", S.START_DATE: "Promo-Date", S.FORECAST_QTY: "Total Forecast"}
+
+# Regions before this name are in the first kind of sales files, all others in the second.
+SECOND_KIND_FROM = "ASIA"
+
+
+def _raw_sales_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text dates day first; rows of quantity 1 twice; one empty line per pending order."""
+    rows = sales_table(spark, sf_dir).where(F.col(S.REGION) < SECOND_KIND_FROM)
+    text = rows.select(*[F.date_format(S.SALES_DATE, "dd/MM/yyyy").alias(c) if c == S.SALES_DATE
+                         else F.col(f"`{c}`").cast("string").alias(c) for c in S.REQUIRED_SALES])
+    again = F.when(F.col(S.QUANTITY) == "1.0", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    twice = text.withColumn("_n", F.explode(again)).drop("_n")
+    pending = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
+    empty = pending.select(*[F.lit(None).cast("string").alias(c) for c in S.REQUIRED_SALES])
+    return twice.unionByName(empty)
+
+
+def _raw_sales_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other column order, blanks around the headers, lower-case status, ISO dates, an extra column."""
+    rows = sales_table(spark, sf_dir).where(F.col(S.REGION) >= SECOND_KIND_FROM)
+    order = [S.ARTICLE, S.SALES_DATE, S.REGION, S.STATUS, S.BONUS_BUY, S.NET_SALES, S.QUANTITY, S.SUBCAT, S.PSA]
+    return rows.select(*[
+        (F.date_format(S.SALES_DATE, "yyyy-MM-dd") if c == S.SALES_DATE
+         else F.lower(S.STATUS) if c == S.STATUS
+         else F.col(f"`{c}`").cast("string")).alias(f" {c} ") for c in order], F.lit("x").alias("Note"))
+
+
+def _raw_sales_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No PSA column, so these files are rejected (their rows are in the other files too)."""
+    rows = sales_table(spark, sf_dir).where(F.col(S.QUANTITY) == 50)
     return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in S.REQUIRED_SALES if c != S.PSA])
 
 
-def _raw_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _forecast_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts as text; every 10th start date and every 17th quantity is no date and no number."""
     fc = forecast_table(spark, sf_dir)
-    return fc.orderBy(S.ROW_ORDER).select(
-        F.col(S.DESCRIPTION).alias(FORECAST_FILE_HEADERS[S.DESCRIPTION]),
-        F.date_format(S.START_DATE, "dd/MM/yyyy").alias(FORECAST_FILE_HEADERS[S.START_DATE]),
-        F.date_format(S.END_DATE, "dd/MM/yyyy").alias(FORECAST_FILE_HEADERS[S.END_DATE]),
-        F.col(S.FORECAST_QTY).cast("string").alias(FORECAST_FILE_HEADERS[S.FORECAST_QTY]))
+    key = F.col(S.ROW_ORDER)
+    return fc.select(
+        key.alias("key"), F.col(S.DESCRIPTION),
+        F.when(key % 10 == 7, F.lit("soon")).otherwise(F.date_format(S.START_DATE, "dd/MM/yyyy")).alias(S.START_DATE),
+        F.date_format(S.END_DATE, "dd/MM/yyyy").alias(S.END_DATE),
+        F.when(key % 17 == 3, F.lit("n/a")).otherwise(F.col(S.FORECAST_QTY).cast("string")).alias(S.FORECAST_QTY))
+
+
+def _raw_forecast_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per store 1 and 2: rows that differ in the store alone."""
+    rows = _forecast_text(spark, sf_dir).where(F.col("key") % 5 != 0)
+    return rows.select(*[F.col(c).alias(h) for c, h in FORECAST_HEADERS_A.items()],
+                       F.explode(F.array(F.lit("1"), F.lit("2"))).alias("Store"))
+
+
+def _raw_forecast_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row twice, without an end date."""
+    rows = _forecast_text(spark, sf_dir).where(F.col("key") % 5 == 0)
+    return rows.select(*[F.col(c).alias(h) for c, h in FORECAST_HEADERS_B.items()],
+                       F.explode(F.array(F.lit(1), F.lit(2))).alias("_n")).drop("_n")
+
+
+def _raw_forecast_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No quantity, so these files are rejected."""
+    rows = _forecast_text(spark, sf_dir).where(F.col("key") % 9 == 0)
+    return rows.select(F.col(S.DESCRIPTION).alias("Desc"), F.col(S.START_DATE).alias("Start Date"))
 
 
 def _raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,18 +198,23 @@ def _raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("price_text").alias(S.NET_SALES), F.col("status_text").alias(S.STATUS))
 
 
-def raw_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Write the raw CSV fixtures once per input folder (shared work folder); return their folders.
+RAW = {"sales_a": _raw_sales_a, "sales_b": _raw_sales_b, "sales_c": _raw_sales_c, "forecast_a": _raw_forecast_a,
+       "forecast_b": _raw_forecast_b, "forecast_c": _raw_forecast_c, "orders": _raw_orders}
 
-    One file per folder (``coalesce(1)``), so the file name identifies the group.
-    """
+
+def data_key(spark: SparkSession, sf_dir: str) -> str:
+    """Key of tables saved from ``sf_dir``: the folder, the adapters' version, and its files' names, sizes and times."""
+    from promolift.sources.store import files_version
+    return f"{sf_dir.rstrip('/')}|v{ADAPTER_VERSION}|{files_version(spark, sf_dir)}"
+
+
+def raw_files(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of raw CSV files of one kind, written once per input (shared work folder) by parallel tasks."""
     from promolift.sources import store
-    built = {g: (lambda g=g: _raw_sales_group(spark, sf_dir, g)) for g in SALES_GROUPS}
-    built["forecast"] = lambda: _raw_forecast(spark, sf_dir)
-    built["orders"] = lambda: _raw_orders(spark, sf_dir)
-    out = {}
-    for name, build in built.items():
-        path = store.table_path(spark, f"raw_{name}", f"{sf_dir.rstrip('/')}|v{ADAPTER_VERSION}")
-        store.materialized_files(spark, path, lambda b=build: b().coalesce(1), fmt="csv")
-        out[name] = path
-    return out
+    path = store.table_path(spark, f"raw_{name}", data_key(spark, sf_dir))
+    return store.materialized_files(spark, path, lambda: RAW[name](spark, sf_dir), fmt="csv")
+
+
+def raw_kind(file):
+    """Kind of raw file (``sales_a``, ...) from a file's path."""
+    return F.regexp_extract(file, r"raw_([a-z]+_?[a-z]?)-[0-9a-f]+/[^/]*$", 1)

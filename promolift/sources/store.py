@@ -21,13 +21,28 @@ from promolift.session import work_dir
 _LOCK = threading.RLock()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(conf).exists(p)
 
 
+def files_version(spark: SparkSession, folder: str) -> str:
+    """Digest of the names, sizes and modification times of the tables in a folder.
+
+    A table that is one file counts by itself, one that is a folder by its
+    files, so changed input never finds tables saved from the old one.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found, files = [], root.getFileSystem(conf).listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().toUri().getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:12]
+
+
 def table_path(spark: SparkSession, name: str, key: str) -> str:
     digest = hashlib.sha1(key.encode()).hexdigest()[:12]
     return f"{work_dir(spark)}/tables/{name}-{digest}"
@@ -62,7 +77,7 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
     """
     path = table_path(spark, name, key)
     with _LOCK:
-        if not _exists(spark, f"{path}/_SUCCESS"):
+        if not path_exists(spark, f"{path}/_SUCCESS"):
             # No _SUCCESS: absent, or left unfinished by a failed run of ours.
             if writer is None:
                 write_sales_table(build(), path, mode="overwrite")
@@ -74,7 +89,7 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
 def materialized_files(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet") -> str:
     """Write ``build()`` to ``path`` once (parquet, or csv with a header); return the path."""
     with _LOCK:
-        if not _exists(spark, f"{path}/_SUCCESS"):
+        if not path_exists(spark, f"{path}/_SUCCESS"):
             df = build()
             if fmt == "csv":
                 write_csv(df, path, mode="overwrite")
@@ -89,39 +104,50 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV export with a header; quotes doubled as spreadsheet tools expect."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (df.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def align(df: DataFrame, schema: dict) -> DataFrame:
+    """``df`` with exactly the columns of ``schema`` (name -> type), missing ones NULL."""
+    return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in schema.items()])
 
 
 def new_rows_only(new: DataFrame, existing: DataFrame, columns: list[str] | None = None,
-                  prune_on: str | None = S.YEAR) -> DataFrame:
+                  prune_on: str | None = None) -> DataFrame:
     """Distinct rows of ``new`` that ``existing`` does not already hold.
 
+    Both sides are aligned to the union of their columns first (a column one
+    side lacks is NULL there), so rows that differ in a new column are new.
     Null-safe equality on every column (a NULL Bonus Buy equals a NULL one);
     Spark plans it as an equi-join, so the stored side is shuffled or
-    broadcast by its measured size. Dynamic pruning does not reach the right
-    side of an anti join, so the stored side is filtered to the ``prune_on``
-    values (years: a handful) present in the new rows, which prunes the
-    stored table's partition folders.
+    broadcast by its measured size. ``prune_on`` names a partition column with
+    few values: the stored side is filtered to those present in the new rows,
+    which prunes its folders; the new rows are then evaluated twice, so pass
+    a saved or persisted table.
     """
-    cols = columns or [c for c in new.columns if c in existing.columns]
-    fresh = new.dropDuplicates()
-    if prune_on and prune_on in fresh.columns and prune_on in existing.columns:
+    schema = {f.name: f.dataType for f in [*existing.schema.fields, *new.schema.fields]}
+    names = columns or list(schema)
+    fresh, stored = align(new, schema).dropDuplicates(names), align(existing, schema)
+    if prune_on:
+        # Distinct values of a partition column: as many as folders are touched.
         values = [r[0] for r in fresh.select(prune_on).distinct().collect()]
         keep = F.col(prune_on).isin([v for v in values if v is not None])
         if None in values:
             keep = keep | F.col(prune_on).isNull()
-        existing = existing.where(keep)
-    cond = reduce(lambda a, b: a & b, [fresh[c].eqNullSafe(existing[c]) for c in cols])
-    return fresh.join(existing, cond, "left_anti")
+        stored = stored.where(keep)
+    cond = reduce(lambda a, b: a & b, [fresh[f"`{c}`"].eqNullSafe(stored[f"`{c}`"]) for c in names])
+    return fresh.join(stored, cond, "left_anti")
 
 
 def append_dedup(existing: DataFrame, new: DataFrame, existing_is_distinct: bool = True) -> DataFrame:
-    """Existing rows plus new rows (union by name), duplicates removed.
+    """Existing rows plus new rows (union by name), duplicates over all columns removed.
 
     A stored table is kept distinct, so only the new rows are deduplicated
     and anti-joined against it; the stored rows are not re-aggregated on every
-    append. Pass ``existing_is_distinct=False`` to deduplicate everything.
-    The result is lazy; write it to a *new* path, then switch readers over.
+    append. Pass ``existing_is_distinct=False`` to deduplicate everything; both
+    ways give the same rows. The result is lazy; write it to a *new* path, then
+    switch readers over.
     """
     if not existing_is_distinct:
         return existing.unionByName(new, allowMissingColumns=True).dropDuplicates()

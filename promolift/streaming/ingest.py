@@ -1,77 +1,72 @@
 """Incremental sales ingest with Structured Streaming.
 
-New sales files dropped into a folder are picked up by a file-source stream
-(its checkpoint remembers which files were taken), cleaned row by row
-(stateless: missing-value tokens, status, dates, numbers, bad dates dropped,
-lineage), and appended to the saved table without duplicates:
-
-* ``foreachBatch`` first drops duplicates inside the micro-batch, then
-  anti-joins the batch against rows already stored (null-safe on every
-  column, and on ``Year`` so only the touched year folders are read);
+A file-source stream notices new sales files in a folder (its checkpoint
+remembers which were taken); the files of a micro-batch are then loaded *by
+header*, as ``sources.csv.load_many`` does: columns in any order, extra
+columns kept, files that miss a required column reported and left out. Rows
+are cleaned (missing-value tokens, status, dates, numbers, bad dates dropped,
+lineage) and appended to the saved table without duplicates:
+
+* duplicates inside the micro-batch are dropped, then the batch is anti-joined,
+  null-safe on every column, with the stored rows of the *same files*: the
+  file name is one of the compared columns, so no other rows can be equal;
 * each batch is written to its own folder ``batch_id=<n>``, overwritten on a
-  replay, so a batch that is retried after a failure is written once.
-
-All files of one stream share one column layout (a streaming CSV source maps
-columns by position); use one stream per layout, or ``sources.csv.load_many``
-for a one-off load of mixed layouts.
+  replay, so a batch that is retried after a failure is written once. Its
+  rejected files are listed in a table beside it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from promolift import schema as S
-from promolift.functions.clean import null_if_na
 from promolift.operators import ingest as I
-from promolift.sources.store import new_rows_only
-
-DATA_COLUMNS = S.REQUIRED_SALES + [S.SOURCE_FILE]
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
+from promolift.sources import csv as CSV
+from promolift.sources.store import new_rows_only, path_exists
 
-def sales_stream(spark: SparkSession, source_dir: str, columns: list[str] | None = None,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of cleaned sales rows from CSV files arriving in ``source_dir``."""
-    cols = columns or S.REQUIRED_SALES
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    reader = (spark.readStream.schema(schema).option("header", True).option("escape", '"')
-              .option("enforceSchema", True))
+def new_files(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame of the paths of CSV files arriving in ``source_dir`` (contents are not read)."""
+    reader = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv")
+              .schema("path string, modificationTime timestamp, length long, content binary"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(source_dir)
-    raw = raw.select(*[null_if_na(F.col(f"`{c}`")).alias(c) for c in cols],
-                     F.col("_metadata.file_name").alias(S.SOURCE_FILE))
-    typed = I.typed_sales(I.drop_empty_rows(raw))
-    return (typed.where(F.col(S.SALES_DATE).isNotNull())
-            .withColumn(S.YEAR, F.year(S.SALES_DATE)))
+    return reader.load(source_dir).select("path")
+
+
+def cleaned(loaded: DataFrame) -> DataFrame:
+    """Typed rows with a valid date, their Year and file name, duplicates dropped."""
+    typed = I.typed_sales(I.drop_empty_rows(loaded))
+    return typed.where(F.col(S.SALES_DATE).isNotNull()).withColumn(S.YEAR, F.year(S.SALES_DATE)).dropDuplicates()
 
 
 def append_batch(table_dir: str):
-    """``foreachBatch`` function: dedup, drop rows already stored, write the batch folder."""
+    """``foreachBatch`` function: load the batch's files, drop rows already stored, write the batch folder."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(DATA_COLUMNS)
-        if _exists(spark, table_dir):
-            stored = spark.read.parquet(table_dir).where(F.col("batch_id") != batch_id)
-            new = new_rows_only(new, stored, DATA_COLUMNS + [S.YEAR])
+        files = [r["path"] for r in batch.collect()]  # names of the files of one trigger
+        if not files:
+            return
+        loaded = CSV.load_many(spark, files)
+        loaded.rejected.write.mode("overwrite").parquet(f"{table_dir}_rejected/batch_id={batch_id}")
+        if not loaded.accepted_files:
+            return
+        new = cleaned(loaded.data)
+        if path_exists(spark, table_dir):
+            names = [f.rsplit("/", 1)[-1] for f in loaded.accepted_files]
+            stored = read_ingested(spark, table_dir).where((F.col("batch_id") != batch_id) & F.col(S.SOURCE_FILE).isin(names))
+            new = new_rows_only(new, stored.drop("batch_id"))
         new.write.mode("overwrite").partitionBy(S.YEAR).parquet(f"{table_dir}/batch_id={batch_id}")
 
     return run
 
 
 def start_sales_ingest(spark: SparkSession, source_dir: str, table_dir: str, checkpoint_dir: str,
-                       available_now: bool = True, columns: list[str] | None = None) -> StreamingQuery:
+                       available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the ingest stream; ``available_now`` processes what is there and stops."""
-    writer = (sales_stream(spark, source_dir, columns).writeStream
+    writer = (new_files(spark, source_dir, max_files_per_trigger).writeStream
               .foreachBatch(append_batch(table_dir))
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
@@ -79,5 +74,10 @@ def start_sales_ingest(spark: SparkSession, source_dir: str, table_dir: str, che
 
 
 def read_ingested(spark: SparkSession, table_dir: str) -> DataFrame:
-    """The ingested table (all batches)."""
-    return spark.read.parquet(table_dir)
+    """The ingested table (all batches; a column that a batch lacks is NULL there)."""
+    return spark.read.option("mergeSchema", True).parquet(table_dir)
+
+
+def read_rejected(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Files left out so far, with the columns they miss."""
+    return spark.read.parquet(f"{table_dir}_rejected")

@@ -111,3 +111,15 @@ def test_region_baseline_option(spark):
     assert by_article.BaselineSales == 3 * 400.0  # all regions: 400 a day
     by_region = P.analyze_promotions(prep, P.region_daily_baselines(prep), 3, baseline_by="region").collect()[0]
     assert (by_region.BaselineSales, by_region.Uplift_Pct) == (300.0, 0.5)
+
+
+def test_detail_order_and_lowest_first(spark):
+    from promolift.functions import labels as L
+    from promolift.operators import summary as SM
+    rows = [(f"a{i}", "BB", u, 100.0, 90.0, 1.0, "t") for i, u in enumerate([-0.06, -0.19, -0.1, -0.5, -0.3, 0.4])]
+    rollup = spark.createDataFrame(rows, "Article string, `Bonus Buy` string, Uplift_Pct double, PromoSales double, "
+                                         "BaselineSales double, PromoQuantity double, Uplift_Display string").withColumn("Duration", F.lit(3))
+    order = lambda v: [r.Uplift_Pct for r in SM.verdict_detail(rollup, v).collect()]
+    assert order(L.ADJUST) == [-0.06, -0.1, -0.19] and order(L.LOSS) == [-0.5, -0.3]
+    shown = [r.uplift_sort for r in SM.display_table(rollup, lowest_first=True).collect()]
+    assert shown == sorted(shown)

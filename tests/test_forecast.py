@@ -90,3 +90,24 @@ def test_load_forecasts_many_files(spark, tmpdir_path):
     assert [r.file.endswith("c.csv") for r in rej.collect()] == [True]
     first = [r for r in fc.collect() if r.Description == "item 12"][0]
     assert first.row_order.file.endswith("a.csv")
+
+
+def test_load_forecasts_keeps_further_columns(spark, tmpdir_path):
+    import os
+    d = os.path.join(tmpdir_path, "fc2")
+    os.makedirs(d)
+    with open(os.path.join(d, "a.csv"), "w") as fh:
+        fh.write("Description,DATE,TTL Forecast Qty,Store\nitem 1,01/01/2025,9,s1\nitem 1,01/01/2025,9,s2\nitem 1,01/01/2025,9,s2\n")
+    with open(os.path.join(d, "b.csv"), "w") as fh:
+        fh.write("Description,DATE,TTL Forecast Qty\nitem 1,01/01/2025,9\n")
+    fc, _ = FC.load_forecasts(spark, d)
+    assert sorted(str(r.Store) for r in fc.collect()) == ["None", "s1", "s2"]
+
+
+def test_regex_patterns_and_literals(spark, monkeypatch):
+    monkeypatch.setattr(FC, "PATTERN_BATCH", 2)
+    articles = spark.createDataFrame([("12",), ("1[23]x",), ("^z",), ("a.c",), ("q$",)], "Article string")
+    fc = _fc(spark, [("abc 13x", 1.0), ("z 12", 2.0), ("y q", 3.0), ("^z", 4.0)])
+    got = {r.Article: r.Forecast_Qty for r in FC.forecast_match(articles, fc, "regex").collect()}
+    assert got == {"12": 2.0, "1[23]x": 1.0, "^z": 2.0, "a.c": 1.0, "q$": 3.0}
+    assert FC.forecast_match(articles.limit(0), fc, "regex").count() == 0

@@ -63,3 +63,54 @@ def test_dedup_keeps_first(spark):
 def test_work_dir_uses_session_checkpoint_dir(spark):
     from promolift.session import work_dir
     assert work_dir(spark).rstrip("/") == spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def test_append_compares_all_columns(spark):
+    """A row that differs in a column only one side has is new; both ways of appending agree."""
+    old = spark.createDataFrame([("A", 1.0), (None, 2.0)], "v string, x double")
+    new = spark.createDataFrame([("A", 1.0, "x"), ("A", 1.0, None), (None, 2.0, None), ("B", 3.0, None)], "v string, x double, Note string")
+    want = [("A", 1.0, None), ("A", 1.0, "x"), ("B", 3.0, None), (None, 2.0, None)]
+    for distinct in (True, False):
+        assert sorted((tuple(r) for r in ST.append_dedup(old, new, distinct).collect()), key=str) == sorted(want, key=str)
+    wide = spark.createDataFrame([("A", 1.0, "x")], "v string, x double, Old string")
+    assert ST.append_dedup(wide, old).count() == 3
+
+
+def test_headers_are_found_by_tasks(spark, tmpdir_path):
+    folder = os.path.join(tmpdir_path, "many files")
+    _write(folder, "a%20b.csv", "x , y\n1,2\n")
+    _write(folder, "b.csv", "x , y\n")
+    _write(folder, "c.csv", "")
+    _write(folder, "d.csv", "\ufeffy,\"x,z\"\n1,2\n")
+    groups = CSV.header_groups(spark, CSV.list_files(spark, folder))
+    assert {h: [f.rsplit("/", 1)[-1] for f in m] for h, m in groups.items()} == {
+        (): ["c.csv"], ("x ", " y"): ["a%20b.csv", "b.csv"], ("y", "x,z"): ["d.csv"]}
+    assert CSV.header_groups(spark, []) == {}
+
+
+def test_load_order_of_rows_not_from_files(spark):
+    df = CSV.with_load_order(spark.range(3).toDF("v"))
+    assert sorted(r.row_order for r in df.collect()) == sorted(r.row_order for r in df.collect())
+
+
+def test_saved_tables_follow_the_input(spark, tmpdir_path):
+    folder = os.path.join(tmpdir_path, "in")
+    _write(folder, "t.csv", "a\n1\n")
+    one = ST.files_version(spark, folder)
+    assert one == ST.files_version(spark, folder)
+    _write(folder, "t.csv", "a\n1\n2\n")
+    assert one != ST.files_version(spark, folder)
+
+
+def test_load_order_of_large_keys(spark):
+    from promolift.sources import fixtures as FX
+    rows = [(2 ** 40 + 1, 1, 1, 1), (2 ** 40, 7, 2 ** 33, 2 ** 20), (2 ** 40, 7, 2 ** 33, 2 ** 20 + 1), (5, 2 ** 20, 9, 9)]
+    df = spark.createDataFrame(rows, "o long, l long, p long, s long")
+    got = df.withColumn("row_order", FX.row_order_of(*[F.col(c) for c in "olps"])).orderBy("row_order").drop("row_order")
+    assert [tuple(r) for r in got.collect()] == sorted(rows)
+
+
+def test_missing_article_stays(spark):
+    from promolift.functions import clean as C
+    got = spark.createDataFrame([(" 12 ",), (None,)], "a string").select(C.article_text("a").alias("a")).collect()
+    assert [r.a for r in got] == ["12", "nan"]

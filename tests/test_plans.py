@@ -27,13 +27,23 @@ def test_plan_shape(spark, name):
 
 
 def test_baselines_need_no_join_and_push_filters(spark):
-    plan = _plan(catalog.run("analyze_promotions", spark, SMALL))
-    assert "PushedFilters: [Not(EqualNullSafe(Promotion Status,NON-PROMO))" in plan.replace("`", "") or \
-        "EqualNullSafe" in plan
+    plan = _plan(catalog.run("analyze_promotions", spark, SMALL)).replace("`", "")
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "PushedFilters" in line]
+    assert any("Not(EqualNullSafe(Promotion Status,NON-PROMO))" in line.split("PushedFilters")[1] for line in scans)
     base = _plan(catalog.run("baselines", spark, SMALL))
     assert "Join" not in base
 
 
+@pytest.mark.parametrize("name", ["profile", "article_kpis", "promo_regions"])
+def test_one_scan(spark, name):
+    assert _plan(catalog.run(name, spark, SMALL)).count("FileScan") == 1
+
+
+def test_prepare_reads_the_line_items_once(spark):
+    plan = _plan(catalog.run("prepare", spark, SMALL))
+    assert plan.count("l_extendedprice") > 0 and plan.count("lineitem.parquet") == 1
+
+
 def test_article_lookup_is_pushed_down(spark):
     plan = _plan(catalog.run("article_rows", spark, SMALL))
     assert "EqualTo(Article,Brand#1-1)" in plan.replace("`", "")

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SMALL), reason="test data mis
 
 def _skewed(spark):
     sales = FX.sales_table(spark, SMALL)
-    hot = (F.col(S.ROW_ORDER) % 3) == 0
+    hot = (F.col(f"{S.ROW_ORDER}.order") % 3) == 0
     return sales.withColumn(S.ARTICLE, F.when(hot, F.lit("HOT")).otherwise(F.col(S.ARTICLE)))
 
 

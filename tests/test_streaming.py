@@ -30,3 +30,20 @@ def test_stream_appends_without_duplicates(spark, tmpdir_path):
     # Restarting with nothing new leaves the table as it is.
     STREAM.start_sales_ingest(spark, src, table, ckpt).awaitTermination()
     assert STREAM.read_ingested(spark, table).count() == 3
+
+
+def test_stream_maps_columns_by_header(spark, tmpdir_path):
+    src, table, ckpt = (os.path.join(tmpdir_path, x) for x in ("in2", "table2", "ckpt2"))
+    os.makedirs(src)
+    _write(src, "plain.csv", ROW2)
+    with open(os.path.join(src, "moved.csv"), "w") as fh:  # article first, region and PSA exchanged, one more column
+        fh.write("Article,PSA,Region,Sub Category,Bonus Buy,Sales Date,Promotion Status,Net Sales,Sales Quantity,Note\n"
+                 "14,P9,R9,S,BB,05/10/2025,promo,3,1,hello\n")
+    with open(os.path.join(src, "bad.csv"), "w") as fh:
+        fh.write("Article,Region\n1,R1\n")
+    STREAM.start_sales_ingest(spark, src, table, ckpt).awaitTermination()
+    rows = {r[S.ARTICLE]: r for r in STREAM.read_ingested(spark, table).collect()}
+    assert (rows["14"][S.REGION], rows["14"][S.PSA], rows["14"]["Note"]) == ("R9", "P9", "hello")
+    assert rows["12"][S.REGION] == "R1" and rows["12"]["Note"] is None and len(rows) == 2
+    rejected = STREAM.read_rejected(spark, table).collect()
+    assert [r.file.endswith("bad.csv") for r in rejected] == [True] and S.PSA in rejected[0].missing
