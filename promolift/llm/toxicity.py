@@ -1,9 +1,8 @@
 """Toxicity by misspelling-tolerant lexicon matches, weighed by their context.
 
 A lexicon of abusive terms is learned from labelled rows and kept as a trie.
-Every distinct token of a text is turned into a Levenshtein automaton (its
-states are the reachable (position, edits) pairs) and the automaton is walked
-together with the trie, so all terms within the allowed edits are found in
+A token is turned into a Levenshtein automaton (its states are the reachable
+positions for each number of edits) and the automaton is walked together with the trie, so all terms within the allowed edits are found in
 one descent and dead branches are left at once. Words of 5 or more letters
 may have one edit, of 12 or more two.
 
@@ -229,7 +228,10 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def sample(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text",
            max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
-    """Up to ``max_toxic`` and ``max_clean`` labelled rows (text, toxic), saved. ``allowed``: condition on the id."""
+    """Up to ``max_toxic`` and ``max_clean`` labelled rows (text, toxic), saved. ``allowed``: condition on the id.
+
+    One row an id: of rows that repeat one, the text that sorts first.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).where(allowed) \
         .groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
 
@@ -237,7 +239,8 @@ def sample(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id",
         return known.where(F.col("toxic") == toxic).orderBy(F.xxhash64(id_col), id_col).limit(n)
     ids = some(1, max_toxic).unionByName(some(0, max_clean))  # bounded by the two parameters
     return saved(docs.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("text"))
-                 .join(F.broadcast(ids), id_col).select("text", "toxic"), "toxic_sample")
+                 .join(F.broadcast(ids), id_col).groupBy(id_col, "toxic").agg(F.min("text").alias("text")).select("text", "toxic"),
+                 "toxic_sample")
 
 
 def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:

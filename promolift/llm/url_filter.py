@@ -72,7 +72,7 @@ def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def candidates(host: Column, path: Column, rules: tuple[Rule, ...], with_list: bool) -> Column:
-    """Array of (kind, key, path_length, one, two) that a URL can match, hashes included."""
+    """Array of (kind, key, path_length) that a URL can match."""
     labels = F.split(host, r"\.")
     # Suffixes of the host at label borders, the whole host first.
     suffixes = F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(
@@ -197,14 +197,17 @@ def build_cascade(universe: DataFrame, max_levels: int = 60) -> list[Level]:
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, block_hosts: DataFrame | None = None,
                 url_col: str = "url", max_filter_bytes: int = 64 << 20) -> DataFrame:
-    """``pages`` with host, path, rule (text of the one that fits, else null) and verdict.
+    """``pages`` with host, path, rule (text of the one that fits, else null), verdict and listed.
+
+    Columns of these names that the pages have are replaced.
 
     ``block_hosts`` is a table of hosts (column ``host``) that are blocked, with
     their subdomains, where no rule fits.
     """
     spark = pages.sparkSession
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = with_parts(pages, url_col).select(*[f"`{c}`" for c in own], "host", "path")
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
+    page = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_page"), F.col(f"`{url_col}`").alias("_url"))
+    parts = with_parts(page, "_url").drop("_url")
     has_list = block_hosts is not None
     cands = parts.withColumn("_c", candidates(F.col("host"), F.col("path"), rules, has_list))
     universe = _universe(spark, cands, rules, block_hosts)
@@ -220,7 +223,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, block_hosts:
         cands = _probe(spark, cands, build_cascade(of_shard), shard, n_shards)
         if n_shards > 1:
             cands = saved(cands, "url_probe")  # one filter at a time is held
-    return _verdicts(cands, own)
+    return _verdicts(cands)
 
 
 def _universe(spark: SparkSession, cands: DataFrame, rules: tuple[Rule, ...], block_hosts: DataFrame | None) -> DataFrame:
@@ -257,14 +260,14 @@ def _probe(spark: SparkSession, cands: DataFrame, levels: list[Level], shard: in
     return cands.withColumn("_hit", hit(one, two, F.col("_hit")))
 
 
-def _verdicts(cands: DataFrame, own: list[str]) -> DataFrame:
+def _verdicts(cands: DataFrame) -> DataFrame:
     found = F.filter("_c", lambda c, i: F.coalesce(F.get("_hit", i), F.lit(False)))
     fits = F.transform(F.filter(found, lambda c: c["kind"] != LISTED), lambda c: F.struct(
         F.length(c["key"]).alias("length"), (-c["path_length"]).alias("host_first"), c["key"].alias("key"), c["kind"].alias("kind")))
     out = cands.withColumn("_rule", F.array_max(fits)).withColumn("_listed", F.exists(found, lambda c: c["kind"] == LISTED))
     action = F.when(F.col("_rule")["kind"] == ALLOW, "allow").when(F.col("_rule")["kind"] == BLOCK, "block")
     method = F.when(F.col("_listed"), "block").otherwise("allow")
-    return out.select(*[f"`{c}`" for c in own], "host", "path", F.col("_rule")["key"].alias("rule"),
+    return out.select("_page.*", "host", "path", F.col("_rule")["key"].alias("rule"),
                       F.coalesce(action, method).alias("verdict"), F.col("_listed").alias("listed"))
 
 
