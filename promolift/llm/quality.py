@@ -78,16 +78,16 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))).alias("at")), 1, F.greatest(n - 2, F.lit(0)))
     names = "array<struct<w:string,w2:string,w3:string,at:int>>"
     base = base.withColumn("_windows", F.sort_array(windows.cast(names)))
-    measured = base.select(
-        F.col(id_col),
+    # One struct in an array of one, unpacked again: measurements are made once, and a
+    # filter on them is not pushed down into a copy of all their expressions.
+    measured = base.select(F.col(id_col), F.inline(F.array(F.struct(
         n.cast("long").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.char_length("_text") - F.char_length(F.regexp_replace("_text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words("_words", "_windows").alias("n_repeat_words"),
-        F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
-    )
+        F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words")))))
     bits = F.lit(0)
     for name, failed in RULES.items():
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(BIT[name])).otherwise(F.lit(0)))
