@@ -16,30 +16,36 @@ from promolift.session import work_dir
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_shipped: set[str] = set()
+#: Rows of an Arrow batch: texts are long, so fewer than Spark's default of 10,000.
+BATCH_ROWS = 1000
 
+_ready: set[str] = set()
 
-def ship_code(spark: SparkSession) -> None:
-    """Give the executors this library, once per application.
 
-    Functions that run in Python workers import it; a cluster job started with
-    ``--py-files`` has it already, and then this changes nothing.
+def ready(spark: SparkSession) -> None:
+    """Prepare an application, once: executors get this library, Arrow batches a size that suits texts.
+
+    Functions that run in Python workers import the library; a cluster job
+    started with ``--py-files`` has it already, and then shipping changes
+    nothing. A batch size that was set on purpose stays.
     """
     context = spark.sparkContext
-    if context.applicationId in _shipped:
+    if context.applicationId in _ready:
         return
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[1]
     archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-code-")) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
     context.addPyFile(str(archive))  # the driver serves it to every executor
-    _shipped.add(context.applicationId)
+    _ready.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; also makes sure that executors have this library."""
-    ship_code(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -59,19 +65,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     The lineage is cut there: what follows restarts from the files, so a lost
     executor costs a re-read and never a second, different, run of the plan.
     """
+    ready(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Remove the files of a table made by ``saved`` (when nothing reads it any more)."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

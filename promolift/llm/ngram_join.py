@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolift.llm.common import SPACE, saved, text_of
+from promolift.llm.pieces import Remembered
 
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8, as a fraction so that verification is exact
@@ -58,20 +59,16 @@ _ROLL = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles; word hashes are remembered up to a bound."""
 
-    KEEP = 300_000
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+    def __init__(self, keep: int = 100_000):
+        self.known = Remembered(keep)
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "replace").split()  # ASCII white space
         if not words:
             return np.empty(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > self.KEEP:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in self.known.missing(set(words)):
+            self.known.young[w] = xxhash.xxh64_intdigest(w)
+        known = self.known.young
         codes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         n = min(WORDS, len(words))
         out = np.zeros(len(words) - n + 1, dtype=np.uint64)
@@ -203,9 +200,12 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            sets = [shingler(t) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "n_shingles": [len(s) for s in sets],
-                                "bands": [bands(minhash(s)) for s in sets]})
+            n_shingles, found = [], []
+            for text in batch["text"]:  # one text's shingles at a time
+                s = shingler(text)
+                n_shingles.append(len(s))
+                found.append(bands(minhash(s)))
+            yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "n_shingles": n_shingles, "bands": found})
     rows = docs.where(_has_words(text_col)).select(
         key_of(text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text"))
     found = rows.mapInPandas(hashed, "key binary, id long, n_shingles long, bands array<long>")
@@ -261,7 +261,8 @@ def _shipped(docs: DataFrame, active: DataFrame, id_col: str, text_col: str) ->
                 yield pd.DataFrame({"key": some["key"], "grp": some["grp"], "copies": some["copies"], "n_chunks": some["n_chunks"],
                                     "chunk": some["chunk"], "shingles": [s.tobytes() for s in sets],
                                     "signature": [minhash(s).tobytes() for s in sets]})
-    return rows.join(wanted, "name").mapInPandas(packed, SHIPPED)
+    # The texts move once at any size of the active side, which is never broadcast.
+    return rows.join(wanted.hint("shuffle_hash"), "name").mapInPandas(packed, SHIPPED)
 
 
 SHIPPED = "key binary, grp binary, copies long, n_chunks int, chunk int, shingles binary, signature binary"
@@ -427,8 +428,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.struct(F.col("rep_id").isNull(), F.col("rep_id"), F.col("key"))
     stay = found.groupBy("root").agg(F.min_by(F.struct("key", "rep_id"), first).alias("_r")).select(
         F.concat_ws(":", F.hex("_r.key"), F.coalesce(F.col("_r.rep_id").cast("string"), F.lit("none"))).alias("_name"))
-    named = docs.where(_has_words(text_col)).withColumn("_name", F.concat_ws(":", F.hex(key_of(text_col)), F.coalesce(
-        F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("none"))))
-    own = [f"`{c}`" for c in docs.columns]
-    worded = named.join(stay, "_name", "left_semi").dropDuplicates(["_name"]).select(*own)
-    return worded.unionByName(docs.where(~_has_words(text_col)).select(*own))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.where(_has_words(text_col)).select(own.alias("_doc"), F.concat_ws(":", F.hex(key_of(text_col)), F.coalesce(
+        F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("none"))).alias("_name"))
+    worded = named.join(stay, "_name", "left_semi").dropDuplicates(["_name"]).select("_doc.*")
+    return worded.unionByName(docs.where(~_has_words(text_col)))

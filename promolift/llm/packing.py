@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolift.llm.common import text_of
+from promolift.llm.common import ready, text_of
 from promolift.llm.pieces import WordEncoder, shared
 
 WINDOW = 4096
@@ -177,6 +177,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "d
 
     ``path`` is a tokenizer file that the executors can read.
     """
+    ready(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -45,7 +45,7 @@ class Remembered:
 class WordwiseEncoder:
     """Ids of texts as little-endian 32-bit numbers. Subclasses give the word pattern and the cuts."""
 
-    KEEP = 150_000
+    KEEP = 300_000
     #: Characters taken at a time; a longer text is cut into slices of about this size.
     BATCH = 1 << 20
 
