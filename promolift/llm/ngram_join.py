@@ -19,7 +19,8 @@ classes are the connected components of the links.
 4. A group too large for one task is cut into chunks. Members within distance
    0.1 of the group's pivot are linked with one another by the triangle
    inequality of the Jaccard distance, so a large group of near copies
-   costs one comparison a member; the others are compared with every chunk, in blocks.
+   costs one comparison a member. The others are compared with the texts of
+   their own buckets, in blocks; a pair that shares several bands counts in the first.
 
 Memory a task is bounded by ``CHUNK_TEXTS`` and ``CHUNK_SHINGLES`` (and by the
 longest text). Joins are equi-joins that Spark may split where a key is hot;
@@ -317,11 +318,13 @@ def _near_pivot(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _between(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of the texts outside the core of chunk i with all texts of chunk j.
+    """Links of the outside texts of part i of a bucket with all texts of its part j.
 
     A pair of two outside texts is seen from both sides, each counting its own
-    links; a pair with a core text is seen once and counts for both.
+    links; a pair with a core text is seen once and counts for both. Texts that
+    share several bands meet in several buckets and count in that of the first.
     """
+    band_no = rows["band_no"].iloc[0]
     rows = rows.drop_duplicates(["key", "side"])
     left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
     if not len(left) or not len(right):
@@ -332,7 +335,7 @@ def _between(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     core_r = right["core"].to_numpy(bool)
     pairs = survivors(sig_l, sig_r)
     pairs = pairs[[keys_l[i] != keys_r[j] for i, j in pairs.tolist()]] if len(pairs) else pairs
-    pairs = verified(sets_l, sets_r, pairs)
+    pairs = verified(sets_l, sets_r, pairs[first_band(sig_l, sig_r, pairs) == band_no])
     n = len(keys_l) + len(keys_r)
     n_texts, n_docs = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     np.add.at(n_texts, pairs[:, 0], 1)
@@ -345,7 +348,17 @@ def _between(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return _answer(keys, n_texts, n_docs, [(keys[i], keys[j]) for i, j in _forest(tied, n)])
 
 
-def _large_links(rows: DataFrame) -> DataFrame:
+def first_band(left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Number of the first band in which the signatures of each pair are equal (0 if in none)."""
+    out = np.empty(len(pairs), dtype=np.int64)
+    for at in range(0, len(pairs), 20_000):
+        some = pairs[at:at + 20_000]
+        equal = (left[some[:, 0]] == right[some[:, 1]]).reshape(len(some), N_BANDS, -1).all(axis=2)
+        out[at:at + len(some)] = equal.argmax(axis=1)
+    return out
+
+
+def _large_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of the groups that one task can't hold."""
     rows = saved(rows, "ngram_large")
     # The pivot goes to every chunk of its group.
@@ -358,13 +371,22 @@ def _large_links(rows: DataFrame) -> DataFrame:
         "key", F.lit(None).cast("binary").alias("other"), (F.col("n") - 1).alias("n_texts"), (F.col("d") - F.col("copies")).alias("n_docs"))
     stars = judged.where("core AND key != grp").select("key", F.col("grp").alias("other"), F.lit(0).cast("long").alias("n_texts"),
                                                        F.lit(0).cast("long").alias("n_docs"))
-    known = rows.join(judged.select("key", "core"), "key")
-    chunks = F.sequence(F.lit(0), F.col("n_chunks") - 1)
-    left = known.where("NOT core").withColumn("i", F.col("chunk")).withColumn("j", F.explode(chunks)).withColumn("side", F.lit(0))
-    # A chunk goes only where a chunk with outside texts waits for it.
-    waiting = left.select("grp", F.col("chunk").alias("i")).distinct()
-    right = known.join(waiting, "grp").withColumn("j", F.col("chunk")).withColumn("side", F.lit(1))
-    blocks = left.unionByName(right.select(left.columns)).groupBy("grp", "i", "j").applyInPandas(_between, LINKS)
+    known = rows.join(judged.select("key", "core"), "key").select("key", "copies", "core", "shingles", "signature")
+    # The texts outside the core meet the others bucket by bucket: the work follows
+    # the buckets, not the square of a group that chance similarities chained together.
+    spread = known.select("key", "core", (F.octet_length("shingles") / 8).alias("s")).join(texts.select("key", "bands"), "key") \
+        .select("key", "core", "s", F.posexplode("bands").alias("band_no", "band"))
+    parts = F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
+    buckets = spread.groupBy("band").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.bool_or(~F.col("core")).alias("waits")) \
+        .where("waits AND n > 1").select("band", parts.alias("parts"))
+    placed = saved(spread.join(buckets, "band").select(
+        "key", "core", "band", "band_no", "parts", F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int").alias("part")), "ngram_placed")
+    left = placed.where("NOT core").select("key", "band", "band_no", F.col("part").alias("i"),
+                                           F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"))
+    # A part goes only where a part with outside texts waits for it.
+    waiting = placed.where("NOT core").select("band", F.col("part").alias("i")).distinct()
+    right = placed.join(waiting, "band").select("key", "band", "band_no", "i", F.col("part").alias("j"), F.lit(1).alias("side"))
+    blocks = left.unionByName(right).join(known, "key").groupBy("band", "i", "j").applyInPandas(_between, LINKS)
     return core.unionByName(stars).unionByName(blocks)
 
 
@@ -373,7 +395,9 @@ def links_of(docs: DataFrame, texts: DataFrame, groups: DataFrame, id_col: str,
     sizes = texts.select("key", "rep_id", "copies", "n_shingles").join(groups, "key")
     whole = sizes.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     n_chunks = F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
-    planned = sizes.join(whole.withColumn("n_chunks", n_chunks).select("grp", "n_chunks"), "grp") \
+    # Only groups of several chunks are joined back: one row for a thousand texts at most.
+    large = whole.withColumn("n_chunks", n_chunks).where("n_chunks > 1").select("grp", "n_chunks")
+    planned = sizes.join(large, "grp", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1))) \
         .withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.col("n_chunks")).cast("int"))
     planned = saved(planned, "ngram_plan")
     some_large, total = planned.agg(F.max(F.col("n_chunks") > 1), F.sum("n_shingles")).first()
@@ -384,7 +408,7 @@ def links_of(docs: DataFrame, texts: DataFrame, groups: DataFrame, id_col: str,
     small = shipped.where("n_chunks = 1").withColumn("deal", F.pmod(F.xxhash64("grp"), F.lit(deals)))
     links = small.groupBy("deal").applyInPandas(_small, LINKS)
     if some_large:
-        links = links.unionByName(_large_links(shipped.where("n_chunks > 1")))
+        links = links.unionByName(_large_links(shipped.where("n_chunks > 1"), texts))
     return saved(links, "ngram_links"), bool(some_large)
 
 
