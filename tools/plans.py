@@ -21,6 +21,9 @@ KEYS = {
     "top_promos": "per-partition top-k",
     "filter_sales": "year filter prunes partition folders",
     "article_rows": "article equality pushed to the Parquet scan",
+    "article_kpis": "one scan, article-day rows, no join",
+    "profile": "one row per article and region first, distinct counts on those",
+    "promo_regions": "one scan, one aggregation",
 }
 
 
