@@ -44,7 +44,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and derived tables.
+    """Shared folder for lineage cuts and derived tables, one for each application.
 
     Uses the cluster's ``spark.checkpoint.dir``. Only in local mode with none
     set (tests) a fresh local folder is made and registered; on a cluster a
@@ -55,8 +55,9 @@ def work_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        # Spark makes a folder of the application's own below it; every call returns that one.
         spark.sparkContext.setCheckpointDir(configured)
-        return configured.rstrip("/")
+        return spark.sparkContext.getCheckpointDir().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         # Executors on other machines cannot see a driver-local folder.
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store) "
