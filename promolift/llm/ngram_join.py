@@ -49,7 +49,7 @@ from promolift.llm.pieces import Remembered
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8, as a fraction so that verification is exact
 N_HASHES, N_BANDS, STEP = 128, 32, 16
-TOLERANCE = 1e-6
+TOLERANCE = 1e-9
 CHUNK_TEXTS, CHUNK_SHINGLES = 1024, 2_000_000
 
 _MULTIPLIERS = np.random.default_rng(20240607).integers(1, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
