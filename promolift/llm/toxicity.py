@@ -14,13 +14,16 @@ quoted, how strong and how dense they are.
 The lexicon and the model are fitted on a bounded sample of the labelled rows
 (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, the smallest hashes of their ids, so
 the choice does not depend on the input's order); the bounds are parameters.
+Both classes are counted over all labelled rows, and a sampled row weighs as
+many as it stands for, so that scores and the cut at 0.5 do not depend on
+which bounds the table's size reaches.
 What is broadcast is bounded by them: the sample's ids, the lexicon
 (``MAX_TERMS``) and the weights. Scoring is one narrow pass over whole texts.
 
 Defined results: a null or empty text has no hits and gets the model's base
 score; rows without a label, or with a null id, are never learned from; without any
-toxic label the lexicon is empty and every score is the share of toxic rows in
-the sample (0 if there is none). Equal texts get equal scores.
+toxic label the lexicon is empty and every score is the share of toxic rows among
+the labelled ones (0 if there is none). Equal texts get equal scores.
 """
 
 from __future__ import annotations
@@ -211,29 +214,45 @@ def features(text: str, found: list[tuple[int, int, str, int, bool]], lexicon: d
             np.log1p(len({h[2] for h in found if not h[4]})), np.log1p(100 * len(exact) / (1 + len(text) / 6))]
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps; the base weight is not shrunk."""
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, stands_for: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps; the base weight is not shrunk. A row counts as the rows it stands for."""
+    n = np.ones(len(y)) if stands_for is None else stands_for
     w = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
     keep[0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - keep * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(keep), grad)
+        grad = x.T @ (n * (y - p)) - keep * w
+        step = np.linalg.solve((x * (n * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(keep), grad)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def known_labels(labels: DataFrame, allowed, id_col: str = "doc_id") -> DataFrame:
+    """(id, toxic) of every allowed id with a label."""
+    return labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).where(allowed) \
+        .groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(toxic, text) of every allowed labelled document, one row an id: of rows that repeat one, the text that sorts first."""
+    return docs.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("text")) \
+        .join(known_labels(labels, allowed, id_col), id_col).groupBy(id_col, "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+
+
+def class_sizes(rows: DataFrame) -> dict[int, int]:
+    return {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+
+
 def sample(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text",
            max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
     """Up to ``max_toxic`` and ``max_clean`` labelled rows (text, toxic), saved. ``allowed``: condition on the id.
 
     One row an id: of rows that repeat one, the text that sorts first.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).where(allowed) \
-        .groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known_labels(labels, allowed, id_col)
 
     def some(toxic: int, n: int) -> DataFrame:
         return known.where(F.col("toxic") == toxic).orderBy(F.xxhash64(id_col), id_col).limit(n)
@@ -246,7 +265,7 @@ def sample(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id",
 def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
     """Terms of the sample that are surely over-represented in toxic rows -> log odds."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    sizes = class_sizes(rows)
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
     if not n_bad:
         return {}
@@ -275,7 +294,9 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", t
         weights[0] = -30.0
         return lexicon, weights
     y = got["toxic"].to_numpy(dtype=float)
-    return lexicon, fit_weights(np.stack(got["x"].to_list()), y)
+    sizes, drawn = class_sizes(labelled(docs, labels, allowed, id_col, text_col)), got["toxic"].value_counts()
+    stands_for = got["toxic"].map({c: sizes[c] / n for c, n in drawn.items()}).to_numpy(dtype=float)
+    return lexicon, fit_weights(np.stack(got["x"].to_list()), y, stands_for=stands_for)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

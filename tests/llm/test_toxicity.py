@@ -88,3 +88,13 @@ def test_no_toxic_label_and_empty(spark, make_docs):
     assert model[0] == {} and [r["score"] < 1e-9 for r in rows_of(T.score(make_docs([(1, "x")]), model))] == [True]
     assert T.score(make_docs([]), model).count() == 0
     assert T.learn(make_docs([]), marks.limit(0), F.lit(True))[0] == {}
+
+
+def test_scores_do_not_depend_on_the_bounds(spark, make_docs):
+    # Nothing tells the classes apart, so every score is the share of toxic rows, whichever bounds are reached.
+    docs = make_docs([(i, f"w{i % 7} w{i % 11}") for i in range(300)])
+    marks = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)] + [(5000 + i, 1, 1) for i in range(50)],
+                                  "doc_id long, quality int, toxic int")
+    for bounds in ({}, {"max_toxic": 70, "max_clean": 24}, {"max_toxic": 200, "max_clean": 24}):
+        model = T.learn(docs, marks, F.lit(True), **bounds)
+        assert model[0] == {} and abs(rows_of(T.score(docs, model))[0]["score"] - 0.2) < 1e-3
