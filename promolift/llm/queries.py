@@ -31,8 +31,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned outside one fold of five (``toxicity``)."""
     docs = table(spark, sf_dir, "documents")
     fold = lang_mix.fold("doc_id", 5)
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold != 0)
-    return toxicity.score(docs, model).select(
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold != 0, wide=True)
+    return toxicity.score(docs, model, wide=True).select(
         "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_hits"))
 

@@ -3,8 +3,11 @@
 A lexicon of abusive terms is learned from labelled rows and kept as a trie.
 A token is turned into a Levenshtein automaton (its states are the reachable
 positions for each number of edits) and the automaton is walked together with the trie, so all terms within the allowed edits are found in
-one descent and dead branches are left at once. Words of 5 or more letters
-may have one edit, of 12 or more two.
+one descent and dead branches are left at once. Terms of 5 or more letters
+may have one edit, of 12 or more two; shorter ones are met as they are.
+``wide`` matching, which the query uses, allows them whatever the token's length
+(a letter left out of a 5-letter term too) and takes a swap of neighbours as one
+edit. Without it the token must be long enough for the edits too, and a swap is two.
 
 Each hit is scored with a window of tokens around it. Hits between quotation
 marks, or whose window has a word of reporting, count as quoted; the others as
@@ -73,17 +76,19 @@ class Automaton:
 
     A state has one bit set a number of edits: bit i of set e says that the
     first i letters of the word can be matched with e edits. A step is a few
-    shifts, however many positions are alive.
+    shifts, however many positions are alive. With ``swaps``, further sets
+    follow: bit i of set e says that, i letters being matched with e edits, the
+    second of the next two letters has come first.
     """
 
-    def __init__(self, word: str, edits: int):
-        self.n, self.edits = len(word), edits
+    def __init__(self, word: str, edits: int, swaps: bool = False):
+        self.n, self.edits, self.swaps = len(word), edits, swaps
         self.at: dict[str, int] = {}
         for i, ch in enumerate(word):
             self.at[ch] = self.at.get(ch, 0) | (1 << i)
 
     def start(self) -> tuple[int, ...]:
-        return tuple((1 << (min(e, self.n) + 1)) - 1 for e in range(self.edits + 1))
+        return tuple((1 << (min(e, self.n) + 1)) - 1 for e in range(self.edits + 1)) + (0,) * (self.edits * self.swaps)
 
     def step(self, state: tuple[int, ...], ch: str) -> tuple[int, ...]:
         here = self.at.get(ch, 0)
@@ -93,21 +98,30 @@ class Automaton:
         for e in range(1, self.edits + 1):
             # a match; or one edit more: an extra letter, another letter, a letter left out
             below = (((state[e] & here) << 1) | state[e - 1] | (state[e - 1] << 1) | (below << 1)) & whole
+            if self.swaps:
+                below |= (state[self.edits + e] & here) << 2
             out.append(below)
+        if self.swaps:
+            out += [state[e] & (here >> 1) for e in range(self.edits)]
         return tuple(out)
 
     def distance(self, state: tuple[int, ...]) -> int | None:
         """Edits with which the whole word is accepted, None if it is not."""
-        return next((e for e, bits in enumerate(state) if bits >> self.n & 1), None)
+        return next((e for e, bits in enumerate(state[:self.edits + 1]) if bits >> self.n & 1), None)
 
 
 def allowed_edits(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 12 else 2
 
 
-def matches(trie: Trie, word: str, edits: int) -> list[tuple[int, str]]:
+def reach(token: str) -> int:
+    """The most edits that any term may have to be met in this token: it can be as many letters shorter than the term."""
+    return 0 if len(token) < 4 else 1 if len(token) < 10 else 2
+
+
+def matches(trie: Trie, word: str, edits: int, swaps: bool = False) -> list[tuple[int, str]]:
     """(distance, term) of every term within ``edits`` of the word: automaton and trie walked together."""
-    machine = Automaton(word, edits)
+    machine = Automaton(word, edits, swaps)
     found, stack = [], [(0, machine.start())]
     while stack:
         node, state = stack.pop()
@@ -120,7 +134,7 @@ def matches(trie: Trie, word: str, edits: int) -> list[tuple[int, str]]:
 
 
 def shortened(word: str, edits: int) -> set[str]:
-    """The word with up to ``edits`` letters left out. Words within that distance share one of these."""
+    """The word with up to ``edits`` letters left out. Words within that distance, swaps or not, share one of these."""
     out = last = {word}
     for _ in range(edits):
         last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
@@ -137,8 +151,8 @@ class Matcher:
 
     KEEP = 300_000
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: dict[str, float], wide: bool = False):
+        self.lexicon, self.wide = lexicon, wide
         self.trie = Trie(sorted(lexicon))
         self.hits: dict[str, tuple[str, int]] = {}
         self.misses: set[str] = set()
@@ -149,11 +163,11 @@ class Matcher:
         """(term, distance) of the nearest term, the first of the nearest in order."""
         if token in self.lexicon:
             return token, 0
-        edits = allowed_edits(token)
+        edits = reach(token) if self.wide else allowed_edits(token)
         if not edits or len(token) > self.longest + edits or self.forms.isdisjoint(shortened(token, edits)):
             return None
-        # Both the token and the term must allow the edits.
-        fit = [(d, t) for d, t in matches(self.trie, token, edits) if d <= allowed_edits(t)]
+        # The term must allow the edits, and unless ``wide`` the token too.
+        fit = [(d, t) for d, t in matches(self.trie, token, edits, self.wide) if d <= allowed_edits(t)]
         return (fit[0][1], fit[0][0]) if fit else None
 
     def find_all(self, tokens: set[str]) -> dict[str, tuple[str, int]]:
@@ -279,13 +293,13 @@ def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, floa
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text",
-          max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[dict[str, float], np.ndarray]:
-    """(lexicon, weights) from the bounded sample."""
+          max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, wide: bool = False) -> tuple[dict[str, float], np.ndarray]:
+    """(lexicon, weights) from the bounded sample. ``wide`` as in ``score``."""
     rows = sample(docs, labels, allowed, id_col, text_col, max_toxic, max_clean)
     lexicon = learn_lexicon(rows)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(lexicon)
+        matcher = Matcher(lexicon, wide)
         for batch in batches:
             yield pd.DataFrame({"x": [features(t, hits(t, matcher), lexicon) for t in batch["text"]], "toxic": batch["toxic"]})
     got = rows.mapInPandas(measured, "x array<double>, toxic int").toPandas()  # a few numbers for each sampled row
@@ -299,14 +313,18 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", t
     return lexicon, fit_weights(np.stack(got["x"].to_list()), y, stands_for=stands_for)
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with score (0 to 1) and the spans found (start, end, term, distance, quoted)."""
+def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+          wide: bool = False) -> DataFrame:
+    """``keep`` columns with score (0 to 1) and the spans found (start, end, term, distance, quoted).
+
+    ``wide``: edits by the term's length alone, a swap of neighbours is one; a model is scored as it was learned.
+    """
     lexicon, weights = model
     shown = "struct<start:int,end:int,term:string,distance:int,quoted:boolean>"
 
     @F.pandas_udf(f"score double, spans array<{shown}>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(lexicon)
+        matcher = Matcher(lexicon, wide)
         for texts in batches:
             found = [hits(t, matcher) for t in texts]
             x = np.array([features(t, h, lexicon) for t, h in zip(texts, found, strict=True)]).reshape(-1, len(FEATURES))

@@ -98,3 +98,35 @@ def test_scores_do_not_depend_on_the_bounds(spark, make_docs):
     for bounds in ({}, {"max_toxic": 70, "max_clean": 24}, {"max_toxic": 200, "max_clean": 24}):
         model = T.learn(docs, marks, F.lit(True), **bounds)
         assert model[0] == {} and abs(rows_of(T.score(docs, model))[0]["score"] - 0.2) < 1e-3
+
+
+def distance_with_swaps(a, b):
+    d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(short, st.lists(short, max_size=12), st.integers(0, 2))
+def test_automaton_with_swaps_equals_distance(word, terms, edits):
+    want = sorted((d, t) for t in set(terms) if (d := distance_with_swaps(word, t)) <= edits)
+    assert T.matches(T.Trie(sorted(set(terms))), word, edits, swaps=True) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc", min_size=1, max_size=14), st.lists(st.text(alphabet="abc", min_size=3, max_size=14), min_size=1, max_size=8))
+def test_wide_matcher_loses_no_match(token, terms):
+    fit = sorted((d, t) for t in set(terms) if (d := distance_with_swaps(token, t)) <= T.allowed_edits(t))
+    assert T.Matcher(dict.fromkeys(terms, 1.0), wide=True).find(token) == ((fit[0][1], fit[0][0]) if fit else None)
+
+
+def test_misspelled_terms_are_hits(make_docs):
+    terms = ["idiot", "moron", "stupid", "trash", "clown", "loser", "disgusting", "scum"]
+    typos = {"idot": "idiot", "moorn": "moron", "stupdi": "stupid", "tras": "trash", "clwn": "clown", "lser": "loser", "disgutsing": "disgusting"}
+    model = (dict.fromkeys(terms, 3.0), np.zeros(len(T.FEATURES)))
+    got = rows_of(T.score(make_docs([(1, " ".join(typos) + " idt scu")]), model, wide=True))[0]["spans"]
+    assert [(h["term"], h["distance"]) for h in got] == [(t, 1) for t in typos.values()]
