@@ -116,17 +116,17 @@ class _Member:
                 return out
         return b""
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        """Bytes before ``mark``, which is taken too."""
-        while (at := self.rest.find(mark)) < 0:
-            if len(self.rest) > most:
-                raise WarcError("a header without an end")
+    def until(self, mark: bytes) -> bytes:
+        """Bytes before ``mark``, which is taken too; as many as the member has, since a url may be very long."""
+        data, seen = bytearray(self.rest), 0
+        while (at := data.find(mark, seen)) < 0:
+            seen = max(0, len(data) - len(mark) + 1)
             piece = self.more()
             if not piece:
                 raise WarcError("a header without an end")
-            self.rest += piece
-        out, self.rest = self.rest[:at], self.rest[at + len(mark):]
-        return out
+            data += piece
+        self.rest = bytes(data[at + len(mark):])
+        return bytes(data[:at])
 
     def exactly(self, n: int) -> Iterator[bytes]:
         while n:

@@ -86,3 +86,12 @@ def test_files_roll_and_are_standard(spark):
 
 def test_empty(spark):
     assert W.archive_round_trip(pages(spark, [])).count() == 0
+
+
+def test_a_url_of_two_megabytes():
+    raw = [W.build_record(i, u, b"p", hashlib.sha1(b"p").digest(), 1) for i, u in enumerate(["é" * 350_000, "u"])]
+    got = list(W.read_records(io.BytesIO(b"".join(map(W.gzip_member, raw))), keep_payload=True))
+    assert [r["headers"]["warc-target-uri"] for r in got] == ["%C3%A9" * 350_000, "u"] and [r["payload"] for r in got] == [b"p", b"p"]
+    # A header that never ends is still found by the end of its member.
+    with pytest.raises(W.WarcError, match="header without an end"):
+        list(W.read_records(io.BytesIO(W.gzip_member(b"WARC/1.1\r\n" + b"a" * 3_000_000))))
