@@ -146,8 +146,18 @@ class Shard:
             self.n_resized += 1
             self._rebuild(2 * self.filter.n_buckets)
 
+    def settle(self, digest: bytes, holder: tuple, copies: int) -> None:
+        """Make these the holder and the live copies; a digest without live copies leaves the index."""
+        if self.holds(digest):
+            self.content[digest] = [holder, copies]
+            if copies <= 0:
+                del self.content[digest]
+                self.filter.delete(digest)
+        elif copies > 0:
+            self.insert(digest, holder, copies)
+
     def delete(self, digest: bytes, copies: int = 1) -> None:
-        """Take copies away; a digest without live copies leaves the index. Unknown ones are ignored."""
+        """Take copies away, whichever they are; a digest without live copies leaves the index. Unknown ones are ignored."""
         if self.holds(digest):
             entry = self.content[digest]
             entry[1] -= copies
@@ -215,10 +225,34 @@ def shards_for(n_rows: int) -> int:
     return max(1, -(-n_rows // SHARD_ROWS))
 
 
+def settled(rows: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Holder and live copies of every digest that ``deletes`` touches, derived anew from the key rows.
+
+    A delete takes away one row of its digest and id, of rows that repeat both
+    the last as read; one that names no row changes nothing.
+    """
+    gone = deletes.groupBy("digest", "id").agg(F.count("*").alias("n_gone"))
+    each = rows.join(gone.select("digest").distinct(), "digest", "left_semi").groupBy("digest", "id").agg(
+        F.count("*").alias("n"), F.min("row").alias("row")).alias("r")
+    both = (F.col("r.digest") == F.col("g.digest")) & F.col("r.id").eqNullSafe(F.col("g.id"))
+    stay = F.greatest(F.col("n") - F.coalesce("n_gone", F.lit(0)), F.lit(0))
+    left = each.join(gone.alias("g"), both, "left").select(
+        "r.digest", F.coalesce("r.id", F.lit(NO_ID)).alias("id"), "row", stay.alias("stay"))
+    holder = F.min(F.when(F.col("stay") > 0, F.struct("id", "row")))
+    return left.groupBy("digest").agg(holder.alias("h"), F.sum("stay").alias("copies")).select(
+        "digest", F.coalesce("h.id", F.lit(0)).alias("id"), F.coalesce("h.row", F.lit(0)).alias("row"), "copies")
+
+
 def update(index: DataFrame | None, inserts: DataFrame | None, deletes: DataFrame | None = None,
-           n_shards: int | None = None) -> DataFrame:
+           n_shards: int | None = None, rows: DataFrame | None = None) -> DataFrame:
     """The index after a batch of inserts, then deletes (both as ``keys_of`` gives them).
 
+    ``rows``: the key rows that are live before the deletes, those of
+    ``inserts`` too. With them each delete takes away the row it names, and
+    the smallest row left becomes the holder. Without them the index, which
+    stores one row a digest, can only count: every delete of a live digest
+    lowers its copies, and the holder it names may be gone.
+
     Returns the new index table, saved in the shared folder; the old one stays
     valid until its files go, so a failed update changes nothing. When the
     live digests outgrow the shards, the next update with a larger
@@ -227,7 +261,10 @@ def update(index: DataFrame | None, inserts: DataFrame | None, deletes: DataFram
     def deltas(keys: DataFrame, sign: int) -> DataFrame:
         one = keys.select("digest", F.coalesce("id", F.lit(NO_ID)).alias("id"), "row", F.lit(1).cast("long").alias("copies"))
         return one.mapInPandas(_combined, DELTA).withColumn("copies", F.col("copies") * sign)
-    given = [deltas(k, s) for k, s in ((inserts, 1), (deletes, -1)) if k is not None]
+    given = [deltas(k, s).withColumn("final", F.lit(False)) for k, s in ((inserts, 1), (deletes, -1))
+             if k is not None and (s > 0 or rows is None)]
+    if deletes is not None and rows is not None:
+        given.append(settled(rows, deletes).withColumn("final", F.lit(True)))
     if not given:
         raise ValueError("nothing to apply")
     batch = given[0] if len(given) == 1 else given[0].unionByName(given[1])
@@ -241,9 +278,11 @@ def update(index: DataFrame | None, inserts: DataFrame | None, deletes: DataFram
     batch = batch.withColumn("shard", _shard_of(n_shards))
 
     def apply(shard: Shard, rows: pd.DataFrame) -> Shard:
-        rows = rows.sort_values(["copies", "id", "row"], ascending=[False, True, True], kind="stable")
-        for digest, i, row, copies in zip(rows["digest"], rows["id"], rows["row"], rows["copies"], strict=True):
-            if copies > 0:
+        rows = rows.sort_values(["final", "copies", "id", "row"], ascending=[True, False, True, True], kind="stable")
+        for digest, i, row, copies, final in zip(rows["digest"], rows["id"], rows["row"], rows["copies"], rows["final"], strict=True):
+            if final:
+                shard.settle(digest, (i, row), copies)
+            elif copies > 0:
                 shard.insert(digest, (i, row), copies)
             else:
                 shard.delete(digest, -copies)
@@ -275,7 +314,8 @@ def live(index: DataFrame) -> DataFrame:
 
 def decide(keys: DataFrame, index: DataFrame) -> DataFrame:
     """Per key row: keep_id, group_size, kept."""
-    return keys.join(live(index), "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
+    return keys.join(live(index), "digest").withColumn(
+        "kept", (F.col("row") == F.col("keep_row")) & F.col("id").eqNullSafe(F.col("keep_id")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -102,3 +102,25 @@ def test_updates_insert_and_delete(make_docs, monkeypatch):
 def test_empty_table(make_docs):
     assert D.exact_groups(make_docs([])).count() == 0
     assert D.drop_copies(make_docs([])).count() == 0
+
+
+def test_deletes_name_the_next_holder(make_docs, monkeypatch):
+    monkeypatch.setattr(D, "SHARD_ROWS", 20)
+    rows = [(i, f"text {i % 20}") for i in range(60)] + [(5, "text 5"), (None, "text 7"), (None, "none")]
+    # Holders, one of two rows alike, a whole group, rows without an id, and ids that were never inserted.
+    gone = [(i, f"text {i}") for i in range(10)] + [(29, "text 9"), (49, "text 9"), (None, "none"), (1000, "text 3"), (3, "text 4"), (1, "unknown")]
+    keys, deletes = D.keys_of(make_docs(rows)), D.keys_of(make_docs(gone))
+    index = D.update(D.update(None, keys), None, deletes, rows=keys)
+    left = list(rows)
+    for row in gone:
+        if row in left:
+            left.remove(row)
+    got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in rows_of(D.live(index))}
+    want = {hashlib.sha256(t.encode()).digest(): (i, n) for i, n, t in {
+        (min((j for j, u in left if u == t and j is not None), default=None), sum(u == t for _, u in left), t) for _, t in left}}
+    assert got == want
+    firsts = keys.groupBy("digest", "id").agg({"row": "min"}).withColumnRenamed("min(row)", "row")
+    kept = rows_of(D.decide(firsts.join(D.keys_of(make_docs(left)), ["digest", "id"], "left_semi"), index).where("kept"))
+    assert sorted(bytes(r["digest"]) for r in kept) == sorted(want)
+    # The same in one batch.
+    assert {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in rows_of(D.live(D.update(None, keys, deletes, rows=keys)))} == want
