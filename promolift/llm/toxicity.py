@@ -14,14 +14,15 @@ marks, or whose window has a word of reporting, count as quoted; the others as
 direct. The score is a logistic model over the exact and the misspelled hits, direct and
 quoted, how strong and how dense they are.
 
-The lexicon and the model are fitted on a bounded sample of the labelled rows
-(``MAX_TOXIC`` and ``MAX_CLEAN`` rows, the smallest hashes of their ids, so
+The lexicon's terms are counted over all labelled rows. The model is fitted
+on a bounded sample of them (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, the smallest hashes of their ids, so
 the choice does not depend on the input's order); the bounds are parameters.
 Both classes are counted over all labelled rows, and a sampled row weighs as
 many as it stands for, so that scores and the cut at 0.5 do not depend on
 which bounds the table's size reaches.
-What is broadcast is bounded by them: the sample's ids, the lexicon
-(``MAX_TERMS``) and the weights. Scoring is one narrow pass over whole texts.
+What is broadcast is bounded: the sample's ids, the labels (if counted under
+``BROADCAST_ROWS``, else they are joined by a shuffle), the lexicon (every term
+that qualifies, up to the ``MAX_TERMS`` surest) and the weights. Scoring is one narrow pass over whole texts.
 
 Defined results: a null or empty text has no hits and gets the model's base
 score; rows without a label, or with a null id, are never learned from; without any
@@ -41,7 +42,9 @@ from pyspark.sql import functions as F
 
 from promolift.llm.common import saved, text_of
 
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 6000, 12000, 1000
+MAX_TOXIC, MAX_CLEAN = 6000, 12000
+#: What a worker can hold: terms with their shortened forms (some 100 MB); labels to broadcast.
+MAX_TERMS, BROADCAST_ROWS = 50_000, 2_000_000
 #: A term must be in this many toxic rows, this surely over-represented, and mostly in toxic rows.
 MIN_ROWS, MIN_Z, MIN_LOG_ODDS = 6, 4.0, 2.0
 WINDOW = 8
@@ -252,8 +255,11 @@ def known_labels(labels: DataFrame, allowed, id_col: str = "doc_id") -> DataFram
 
 def labelled(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(toxic, text) of every allowed labelled document, one row an id: of rows that repeat one, the text that sorts first."""
+    known = known_labels(labels, allowed, id_col)
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     return docs.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("text")) \
-        .join(known_labels(labels, allowed, id_col), id_col).groupBy(id_col, "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+        .join(known, id_col).groupBy(id_col, "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
 
 def class_sizes(rows: DataFrame) -> dict[int, int]:
@@ -276,10 +282,9 @@ def sample(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id",
                  "toxic_sample")
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Terms of the sample that are surely over-represented in toxic rows -> log odds."""
+def learn_lexicon(rows: DataFrame, sizes: dict[int, int], max_terms: int = MAX_TERMS) -> dict[str, float]:
+    """Terms of the labelled rows (``sizes`` of each class) that are surely over-represented in toxic rows -> log odds."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
-    sizes = class_sizes(rows)
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
     if not n_bad:
         return {}
@@ -294,9 +299,11 @@ def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, floa
 
 def learn(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text",
           max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, wide: bool = False) -> tuple[dict[str, float], np.ndarray]:
-    """(lexicon, weights) from the bounded sample. ``wide`` as in ``score``."""
+    """(lexicon, weights): terms from all labelled rows, weights from the bounded sample. ``wide`` as in ``score``."""
     rows = sample(docs, labels, allowed, id_col, text_col, max_toxic, max_clean)
-    lexicon = learn_lexicon(rows)
+    known = labelled(docs, labels, allowed, id_col, text_col)
+    sizes = class_sizes(known)
+    lexicon = learn_lexicon(known, sizes)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(lexicon, wide)
@@ -308,8 +315,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", t
         weights[0] = -30.0
         return lexicon, weights
     y = got["toxic"].to_numpy(dtype=float)
-    sizes, drawn = class_sizes(labelled(docs, labels, allowed, id_col, text_col)), got["toxic"].value_counts()
-    stands_for = got["toxic"].map({c: sizes[c] / n for c, n in drawn.items()}).to_numpy(dtype=float)
+    stands_for = got["toxic"].map({c: sizes[c] / n for c, n in got["toxic"].value_counts().items()}).to_numpy(dtype=float)
     return lexicon, fit_weights(np.stack(got["x"].to_list()), y, stands_for=stands_for)
 
 

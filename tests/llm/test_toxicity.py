@@ -130,3 +130,12 @@ def test_misspelled_terms_are_hits(make_docs):
     model = (dict.fromkeys(terms, 3.0), np.zeros(len(T.FEATURES)))
     got = rows_of(T.score(make_docs([(1, " ".join(typos) + " idt scu")]), model, wide=True))[0]["spans"]
     assert [(h["term"], h["distance"]) for h in got] == [(t, 1) for t in typos.values()]
+
+
+def test_terms_are_counted_over_all_labelled_rows(spark, make_docs):
+    # A term in 25 of 60 toxic rows, of which 12 are sampled.
+    docs = make_docs([(i, f"w{i % 7} w{i % 11}" + " grimwort" * (i % 10 == 0 and i < 250)) for i in range(600)])
+    marks = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    lexicon, _ = T.learn(docs, marks, F.lit(True), max_toxic=12, max_clean=24)
+    assert set(lexicon) == {"grimwort"}
+    assert lexicon == T.learn(docs, marks, F.lit(True))[0]
