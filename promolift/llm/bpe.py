@@ -42,7 +42,7 @@ FIRST_WINDOW = 128
 GUARD = 32
 
 
-def _byte_signs() -> dict[str, int]:
+def byte_signs() -> dict[str, int]:
     """The byte that each sign of a byte-level vocabulary stands for: printable Latin-1 signs
     stand for themselves, the other bytes for the code points from 256 on, in order."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -55,7 +55,7 @@ class Codec(ByteEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        signs = _byte_signs()
+        signs = byte_signs()
         special = set(self.tokenizer.get_added_tokens_decoder())
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes: list[bytes] = [b""] * (max(vocab.values()) + 1)

@@ -18,6 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch: texts are long, so fewer than Spark's default of 10,000.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, so that rows of any size make batches of a bounded one.
+BATCH_BYTES = 16 << 20
 
 _ready: set[str] = set()
 
@@ -35,6 +37,9 @@ def ready(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) in ("67108864b", "-1"):  # Spark's defaults
+        spark.conf.set(size, str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[1]
     archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-code-")) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:

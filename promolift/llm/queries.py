@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolift.llm import bpe, exact_dedup, lang_mix, ngram_join, packing, quality, secrets, toxicity, url_filter, warc
+from promolift.llm import (
+    bpe,
+    exact_dedup,
+    hard_negatives,
+    lang_mix,
+    ngram_join,
+    packing,
+    quality,
+    secrets,
+    token_counts,
+    toxicity,
+    url_filter,
+    warc,
+    whitening,
+)
 from promolift.llm.common import table
 
 
@@ -81,6 +95,23 @@ def op10_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     return packing.pack_documents(table(spark, sf_dir, "documents"), path or bpe.tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened values of every embedding, from a covariance by polarisation (``whitening``)."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Tokens of every document, proven whole tokens counted directly (``token_counts``)."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path or bpe.tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding against all others (``hard_negatives``)."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_mixture": op2_language_mixture,
@@ -92,4 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op12_token_counts": op12_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
 }
