@@ -102,18 +102,66 @@ def article_text(c: str | Column) -> Column:
     return F.coalesce(strip(_col(c).cast("string")), F.lit(MISSING_ARTICLE))
 
 
-# Units of exact sums: money and quantities to a ten-thousandth, ratios to a billionth.
-MONEY_UNIT, RATIO_UNIT = 10_000, 1_000_000_000
+# Sums that do not depend on the order of rows. A value under 2^48 is cut into
+# four whole numbers of 24 bits (two above the point, two below), each summed as a
+# long: exact for 2^39 rows. ``rest`` holds what is left below 2^-48 of small
+# values, and whole values that cannot be cut: NaN, infinite, 2^48 and more. So no
+# addend is rounded, none overflows, and what floating point makes of such values stays.
+_LIMB = float(1 << 24)
+_CUTTABLE = float(1 << 48)
+SUM_PARTS = ("high", "low", "part", "fine", "rest")
 
 
-def exact_sum(c: str | Column, unit: int = MONEY_UNIT) -> Column:
-    """Sum in whole units, as a long: the same whatever the order of the rows."""
-    return F.sum(F.round(_col(c) * unit).cast("long")) / F.lit(float(unit))
+def _cut(c: Column) -> dict[str, Column]:
+    """The parts of a value, one for each of ``SUM_PARTS``; all but ``rest`` are NULL where it cannot be cut."""
+    value = c.cast("double")
+    x = F.when(F.abs(value) < _CUTTABLE, value)  # NaN is the greatest number: not under the bound
+    whole, high = x.cast("long"), (x / _LIMB).cast("long")
+    below = (x - whole) * _LIMB
+    fine = (below - below.cast("long")) * _LIMB
+    return {"high": high, "low": whole - high * (1 << 24), "part": below.cast("long"), "fine": fine.cast("long"),
+            "rest": F.coalesce((fine - fine.cast("long")) / _CUTTABLE, value)}
 
 
-def exact_avg(c: str | Column, unit: int = MONEY_UNIT) -> Column:
+def sum_parts(c: str | Column, name: str) -> list[Column]:
+    """Aggregates for the parts of a sum, as columns ``name__part``: they can be saved, and merged later."""
+    return [F.sum(v).alias(f"{name}__{k}") for k, v in _cut(_col(c)).items()]
+
+
+def _part_names(name: str) -> dict[str, str]:
+    return {k: f"{name}__{k}" for k in SUM_PARTS}
+
+
+def merged_parts(name: str, where: Column | None = None, to: str | None = None) -> list[Column]:
+    """Aggregates that merge the parts of sums (of the rows that meet ``where``), under the name ``to``."""
+    out = _part_names(to or name)
+    return [F.sum(F.col(p) if where is None else F.when(where, F.col(p))).alias(out[k]) for k, p in _part_names(name).items()]
+
+
+def _total(parts: dict[str, Column]) -> Column:
+    """The sum as a double: NULL without a value (``rest`` is NULL only then)."""
+    n = {k: F.coalesce(v, F.lit(0).cast("long")).cast("double") for k, v in parts.items() if k != "rest"}
+    return (n["high"] * _LIMB + n["low"]) + (n["part"] / _LIMB + (n["fine"] / _CUTTABLE + parts["rest"]))
+
+
+def merged_sum(name: str, where: Column | None = None) -> Column:
+    """Sum from the parts of sums, as an aggregate: the same as ``exact_sum`` over all rows."""
+    return _total({k: F.sum(F.col(p) if where is None else F.when(where, F.col(p))) for k, p in _part_names(name).items()})
+
+
+def sum_of(name: str) -> Column:
+    """Sum of one row's parts."""
+    return _total({k: F.col(p) for k, p in _part_names(name).items()})
+
+
+def exact_sum(c: str | Column) -> Column:
+    """Sum without rounding or overflow, the same whatever the order of the rows."""
+    return _total({k: F.sum(v) for k, v in _cut(_col(c)).items()})
+
+
+def exact_avg(c: str | Column) -> Column:
     """``exact_sum`` over the number of values; NULL without a value."""
-    return F.try_divide(exact_sum(c, unit), F.count(_col(c)))
+    return F.try_divide(exact_sum(c), F.count(_col(c)))
 
 
 def uplift(sales: Column, baseline: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promolift import schema as S
 from promolift.functions import clean as C
@@ -51,25 +52,23 @@ def article_rows(prepared: DataFrame, article: str) -> DataFrame:
 def article_kpis(prepared: DataFrame) -> DataFrame:
     """Per article with promo rows: promo days, records, sales, types; clean and non-promo days.
 
-    Day-level flags, sums and promo types first (one row per article-day),
-    then per article: one scan, no join.
+    One scan: rows are summed by article and day and by article and promo type (two grouping
+    sets of one hash aggregate, combined on the map side), then per article.
     """
     promo = S.is_promo()
-    days = (prepared.where(F.col(S.ARTICLE).isNotNull())
-            .groupBy(S.ARTICLE, S.SALES_DATE)
-            .agg(F.bool_or(promo).alias("p"), F.bool_or(~promo).alias("np"),
-                 F.count_if(promo).alias("pr"), C.exact_sum(F.when(promo, F.col(S.NET_SALES))).alias("ps"),
-                 F.collect_set(F.when(promo, F.col(S.BONUS_BUY))).alias("types")))
-    per_article = (days.groupBy(S.ARTICLE)
-                   .agg(F.count_if("p").cast("long").alias("promo_days"),
-                        F.sum("pr").cast("long").alias("promo_records"),
-                        F.coalesce(C.exact_sum("ps"), F.lit(0.0)).alias("promo_sales"),
-                        F.count_if(F.col("np") & ~F.col("p")).cast("long").alias("clean_days"),
-                        F.count_if("np").cast("long").alias("nonpromo_days"),
-                        # sets of a day's promo types: few different ones an article
-                        F.size(F.array_distinct(F.flatten(F.collect_set("types")))).cast("long").alias("promo_types"))
-                   .where(F.col("promo_records") > 0))
-    return per_article
+    known = prepared.where(F.col(S.ARTICLE).isNotNull())
+    cells = (known.groupingSets([[S.ARTICLE, S.SALES_DATE], [S.ARTICLE, S.BONUS_BUY]], S.ARTICLE, S.SALES_DATE, S.BONUS_BUY)
+             .agg((F.grouping(S.SALES_DATE) == 0).alias("day"), F.bool_or(promo).alias("p"), F.bool_or(~promo).alias("np"),
+                  F.count_if(promo).alias("pr"), *C.sum_parts(F.when(promo, F.col(S.NET_SALES)), "ps")))
+    day = F.col("day")
+    return (cells.groupBy(S.ARTICLE)
+            .agg(F.count_if(day & F.col("p")).cast("long").alias("promo_days"),
+                 F.sum(F.when(day, F.col("pr"))).cast("long").alias("promo_records"),
+                 F.coalesce(C.merged_sum("ps", day), F.lit(0.0)).alias("promo_sales"),
+                 F.count_if(day & F.col("np") & ~F.col("p")).cast("long").alias("clean_days"),
+                 F.count_if(day & F.col("np")).cast("long").alias("nonpromo_days"),
+                 F.count_if(~day & F.col("p") & F.col(S.BONUS_BUY).isNotNull()).cast("long").alias("promo_types"))
+            .where(F.col("promo_records") > 0))
 
 
 def article_promos(prepared: DataFrame) -> DataFrame:
@@ -102,13 +101,36 @@ def article_uplift(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS,
     return df.where(F.col("Baseline") >= min_baseline)
 
 
+def _leading(prepared: DataFrame):
+    """The leading number of the load order; None if it does not begin with a number."""
+    order = prepared.schema[S.ROW_ORDER].dataType
+    if isinstance(order, T.IntegralType):
+        return F.col(S.ROW_ORDER)
+    if isinstance(order, T.StructType) and isinstance(order.fields[0].dataType, T.IntegralType):
+        return F.col(S.ROW_ORDER)[order.fields[0].name]
+    return None
+
+
 def article_info(prepared: DataFrame) -> DataFrame:
-    """Per article: first Sub Category and PSA in load order, any forecast."""
+    """Per article: first Sub Category and PSA in load order, any forecast.
+
+    Found in stages, for a minimum over a struct or a text would sort all rows: the
+    least leading number of each article is a hash aggregate; only rows that have it (the lines of one
+    order) are left to be ranked by the whole load order.
+    """
+    from promolift.sources.store import saved_measured
     order = F.col(S.ROW_ORDER)
-    aggs = [F.min_by(S.SUBCAT, order).alias(S.SUBCAT), F.min_by(S.PSA, order).alias(S.PSA)]
-    if S.HAS_FORECAST in prepared.columns:
-        aggs.append(F.bool_or(S.HAS_FORECAST).alias(S.HAS_FORECAST))
-    return prepared.groupBy(S.ARTICLE).agg(*aggs)
+    has = [F.bool_or(S.HAS_FORECAST).alias(S.HAS_FORECAST)] if S.HAS_FORECAST in prepared.columns else []
+    lead = _leading(prepared)
+    if lead is None:
+        return prepared.groupBy(S.ARTICLE).agg(F.min_by(S.SUBCAT, order).alias(S.SUBCAT), F.min_by(S.PSA, order).alias(S.PSA), *has)
+    least, small = saved_measured(prepared.groupBy(S.ARTICLE).agg(F.min(lead).alias("_least"), *has), "article_first")
+    least = least.withColumnRenamed(S.ARTICLE, "_article")
+    rows = prepared.select(S.ARTICLE, S.SUBCAT, S.PSA, order, lead.alias("_lead"))
+    same = F.col(S.ARTICLE).eqNullSafe(F.col("_article")) & (F.col("_lead") == F.col("_least"))
+    firsts = rows.join(F.broadcast(least) if small else least, same)
+    rank = F.row_number().over(Window.partitionBy(S.ARTICLE).orderBy(S.ROW_ORDER))
+    return firsts.withColumn("_rank", rank).where(F.col("_rank") == 1).select(S.ARTICLE, S.SUBCAT, S.PSA, *([S.HAS_FORECAST] if has else []))
 
 
 def _reliable_by_article(prepared: DataFrame, min_days: int) -> DataFrame:
@@ -132,7 +154,7 @@ def promo_types_from(rel: DataFrame, *extra) -> DataFrame:
             C.exact_sum("Uplift").alias("Uplift")]
     if S.FORECAST_QTY in rel.columns:
         aggs += [F.max(S.FORECAST_QTY).alias("Total_Forecast"),
-                 C.exact_avg("Forecast_Accuracy", C.RATIO_UNIT).alias("Forecast_Accuracy")]
+                 C.exact_avg("Forecast_Accuracy").alias("Forecast_Accuracy")]
     df = rel.groupBy(S.ARTICLE, S.BONUS_BUY).agg(*aggs, *extra)
     return df.withColumn("Uplift_Pct", F.try_divide(F.col("Uplift"), F.col("Baseline"))) \
              .withColumn("Uplift_Numeric", F.col("Uplift_Pct") * 100) \
@@ -172,12 +194,12 @@ def effectiveness(prepared: DataFrame, min_days: int = S.ARTICLE_MIN_DAYS) -> Da
     rel = _reliable_by_article(prepared, min_days)
     rel = rel.withColumn("_regions", F.size(F.collect_set(S.REGION).over(Window.partitionBy(S.ARTICLE))))
     types = promo_types_from(rel, F.max("_regions").alias("_regions"))
-    aggs = [C.exact_avg("Uplift_Numeric", C.RATIO_UNIT).alias("avg_uplift_pct"),
+    aggs = [C.exact_avg("Uplift_Numeric").alias("avg_uplift_pct"),
             F.count(F.lit(1)).alias("num_types"),
             (F.avg((F.col("Uplift_Pct") > 0).cast("double")) * 100).alias("success_rate"),
-            C.exact_avg("Avg_PromoDays", C.RATIO_UNIT).alias("avg_duration")]
+            C.exact_avg("Avg_PromoDays").alias("avg_duration")]
     if "Forecast_Accuracy" in types.columns:
-        aggs.append((C.exact_avg("Forecast_Accuracy", C.RATIO_UNIT) * 100).alias("forecast_accuracy_pct"))
+        aggs.append((C.exact_avg("Forecast_Accuracy") * 100).alias("forecast_accuracy_pct"))
     aggs.append(F.max("_regions").cast("long").alias("reliable_regions"))
     return (types.groupBy(S.ARTICLE).agg(*aggs)
             .withColumn("verdict", L.effectiveness(F.col("avg_uplift_pct"))))

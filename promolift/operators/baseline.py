@@ -22,34 +22,39 @@ from promolift.functions import clean as C
 
 
 def article_days(sales: DataFrame) -> DataFrame:
-    """One row per (Article, Sales Date): promo flag, NON-PROMO rows and sales."""
+    """One row per (Article, Sales Date): promo flag, NON-PROMO rows and the parts of their sales (``clean.sum_parts``)."""
     promo = S.is_promo()
     return (sales.where(F.col(S.ARTICLE).isNotNull())
             .groupBy(S.ARTICLE, S.SALES_DATE)
             .agg(F.bool_or(promo).alias("has_promo"),
                  F.count_if(~promo).alias("nonpromo_rows"),
-                 C.exact_sum(F.when(~promo, F.col(S.NET_SALES))).alias("nonpromo_sales")))
+                 *C.sum_parts(F.when(~promo, F.col(S.NET_SALES)), "nonpromo_sales")))
 
 
-def baseline_stats(sales: DataFrame) -> DataFrame:
-    """Per promoted article: clean days and clean-day sales (no threshold)."""
+def stats_from_days(days: DataFrame) -> DataFrame:
+    """``baseline_stats`` from article-days."""
     clean = ~F.col("has_promo") & (F.col("nonpromo_rows") > 0)
-    return (article_days(sales)
-            .groupBy(S.ARTICLE)
+    return (days.groupBy(S.ARTICLE)
             .agg(F.bool_or("has_promo").alias("any_promo"),
                  F.count_if(clean).alias("Clean_Days"),
-                 C.exact_sum(F.when(clean, F.col("nonpromo_sales"))).alias("clean_sales"))
+                 C.merged_sum("nonpromo_sales", clean).alias("clean_sales"))
             .where(F.col("any_promo"))
             .drop("any_promo"))
 
 
+def baseline_stats(sales: DataFrame) -> DataFrame:
+    """Per promoted article: clean days and clean-day sales (no threshold)."""
+    return stats_from_days(article_days(sales))
+
+
+def baselines_from(stats: DataFrame, min_clean_days: int = S.MIN_CLEAN_DAYS) -> DataFrame:
+    return (stats.where(F.col("Clean_Days") >= min_clean_days)
+            .select(S.ARTICLE, (F.col("clean_sales") / F.col("Clean_Days")).alias("Daily_Avg"), F.col("Clean_Days")))
+
+
 def baselines(sales: DataFrame, min_clean_days: int = S.MIN_CLEAN_DAYS) -> DataFrame:
     """Article, Daily_Avg, Clean_Days for articles with enough clean days."""
-    return (baseline_stats(sales)
-            .where(F.col("Clean_Days") >= min_clean_days)
-            .select(S.ARTICLE,
-                    (F.col("clean_sales") / F.col("Clean_Days")).alias("Daily_Avg"),
-                    F.col("Clean_Days")))
+    return baselines_from(baseline_stats(sales), min_clean_days)
 
 
 def baseline_totals(sales: DataFrame, min_clean_days: int = S.MIN_CLEAN_DAYS) -> DataFrame:
@@ -64,30 +69,51 @@ def baseline_totals(sales: DataFrame, min_clean_days: int = S.MIN_CLEAN_DAYS) ->
                   valid.cast("long").alias("valid_articles"))
 
 
-def promo_dates(sales: DataFrame) -> DataFrame:
-    """Distinct (Article, Sales Date) pairs that have a promo row."""
-    return sales.where(S.is_promo()).select(S.ARTICLE, S.SALES_DATE).distinct()
+# Days of one bitmap: the bits of a long.
+DAYS = 64
+
+
+def _bitmap(date) -> tuple:
+    """Number of the bitmap that a date lies in, and its bit there."""
+    day = F.unix_date(date)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(day, F.lit(DAYS)).cast("int"))
+    return F.floor(day / DAYS).cast("int"), bit
+
+
+def promo_days(sales: DataFrame) -> DataFrame:
+    """Promo days of each article as bitmaps: (Article, ``span``, ``days``), one row for 64 days.
+
+    ``bit_or`` on longs is a hash aggregate with a map-side part; a row stands for up to 64 dates.
+    """
+    span, bit = _bitmap(F.col(S.SALES_DATE))
+    return (sales.where(S.is_promo() & F.col(S.ARTICLE).isNotNull() & F.col(S.SALES_DATE).isNotNull())
+            .groupBy(S.ARTICLE, span.alias("span")).agg(F.bit_or(bit).alias("days")))
 
 
 def clean_rows(sales: DataFrame) -> DataFrame:
     """NON-PROMO rows on dates without any promo row of the same article.
 
-    A left anti join on (Article, Sales Date); the pairs side is distinct
-    and small next to the rows, and AQE splits a skewed key on the row side.
+    The promo days' bitmaps are saved and measured. Small (``store.BROADCAST_BYTES``), they are sent to the
+    rows, of which none is shuffled; else both meet by (Article, span), and AQE splits a hot article's rows.
     """
+    from promolift.sources.store import saved_measured
+    found, small = saved_measured(promo_days(sales), "promo_days")
+    found = found.select(F.col(S.ARTICLE).alias("_article"), F.col("span").alias("_span"), F.col("days").alias("_days"))
+    span, bit = _bitmap(F.col(S.SALES_DATE))
     nonpromo = sales.where(~S.is_promo())
-    return nonpromo.join(promo_dates(sales), [S.ARTICLE, S.SALES_DATE], "left_anti")
+    same = (F.col(S.ARTICLE) == F.col("_article")) & (span == F.col("_span")) & (F.col("_days").bitwiseAND(bit) != 0)
+    return nonpromo.join(F.broadcast(found) if small else found, same, "left_anti")
 
 
 def region_days(sales: DataFrame) -> DataFrame:
-    """One row per (Article, Region, Sales Date): promo flag and NON-PROMO rows, sales, quantity."""
+    """One row per (Article, Region, Sales Date): promo flag, NON-PROMO rows and the parts of their sales and quantity."""
     promo = S.is_promo()
     return (sales.where(F.col(S.ARTICLE).isNotNull())
             .groupBy(S.ARTICLE, S.REGION, S.SALES_DATE)
             .agg(F.bool_or(promo).alias("has_promo"),
                  F.count_if(~promo).alias("nonpromo_rows"),
-                 C.exact_sum(F.when(~promo, F.col(S.NET_SALES))).alias("nonpromo_sales"),
-                 C.exact_sum(F.when(~promo, F.col(S.QUANTITY))).alias("nonpromo_qty")))
+                 *C.sum_parts(F.when(~promo, F.col(S.NET_SALES)), "nonpromo_sales"),
+                 *C.sum_parts(F.when(~promo, F.col(S.QUANTITY)), "nonpromo_qty")))
 
 
 def clean_region_days(sales: DataFrame) -> DataFrame:
@@ -107,9 +133,9 @@ def region_baselines(sales: DataFrame) -> DataFrame:
     return (clean_region_days(sales)
             .where(F.col(S.REGION).isNotNull())
             .groupBy(S.ARTICLE, S.REGION)
-            .agg(C.exact_sum("nonpromo_sales").alias("NonPromoSales"),
+            .agg(C.merged_sum("nonpromo_sales").alias("NonPromoSales"),
                  F.count(F.lit(1)).alias("NonPromoDays"),
-                 (C.exact_sum("nonpromo_qty") / F.sum("nonpromo_rows")).alias("AvgQuantity"))
+                 (C.merged_sum("nonpromo_qty") / F.sum("nonpromo_rows")).alias("AvgQuantity"))
             .withColumn("Daily_NonPromo_Avg", F.col("NonPromoSales") / F.col("NonPromoDays")))
 
 
@@ -117,7 +143,7 @@ def article_daily_avg(sales: DataFrame) -> DataFrame:
     """Per article with clean days: clean sales / max(clean days, 1)."""
     clean = ~F.col("has_promo") & (F.col("nonpromo_rows") > 0)
     return (article_days(sales).groupBy(S.ARTICLE)
-            .agg(C.exact_sum(F.when(clean, F.col("nonpromo_sales"))).alias("clean_sales"),
+            .agg(C.merged_sum("nonpromo_sales", clean).alias("clean_sales"),
                  F.count_if(clean).alias("clean_days"))
             .where(F.col("clean_days") > 0)
             .select(S.ARTICLE,

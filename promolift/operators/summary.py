@@ -7,7 +7,9 @@ per-partition top-k (TakeOrderedAndProject), never a full sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolift import schema as S
@@ -46,13 +48,13 @@ def bottom_promos(rollup: DataFrame, n: int = S.DEFAULT_TOP_N) -> DataFrame:
 
 def promo_kpis(rows: DataFrame) -> DataFrame:
     """Mean uplift %, total uplift in thousands, mean duration, mean forecast accuracy %, total sales."""
-    aggs = [(C.exact_avg("Uplift_Pct", C.RATIO_UNIT) * 100).alias("avg_uplift_pct"),
+    aggs = [(C.exact_avg("Uplift_Pct") * 100).alias("avg_uplift_pct"),
             ((C.exact_sum("PromoSales") - C.exact_sum("BaselineSales")) / 1000).alias("total_uplift_k"),
-            C.exact_avg("Duration", C.RATIO_UNIT).alias("avg_duration"),
+            C.exact_avg("Duration").alias("avg_duration"),
             C.exact_sum("PromoSales").alias("total_sales"),
             F.count(F.lit(1)).alias("promotions")]
     if "Forecast_Accuracy" in rows.columns:
-        aggs.append((C.exact_avg("Forecast_Accuracy", C.RATIO_UNIT) * 100).alias("forecast_accuracy_pct"))
+        aggs.append((C.exact_avg("Forecast_Accuracy") * 100).alias("forecast_accuracy_pct"))
     k = rows.agg(*aggs)
     texts = {"avg_uplift_display": L.pct_text(F.col("avg_uplift_pct"), scale=1.0),
              "total_uplift_display": L.thousands_text(F.col("total_uplift_k")),
@@ -79,11 +81,11 @@ def strategy(rollup: DataFrame) -> DataFrame:
     region = F.sum(S.REGION) if S.REGION in rollup.columns else F.lit(None).cast("long")
     df = (with_verdict(rollup).groupBy("Interpretation")
           .agg(F.count(S.BONUS_BUY).alias("Count"),
-               C.exact_avg("Uplift_Pct", C.RATIO_UNIT).alias("Avg_Uplift"),
+               C.exact_avg("Uplift_Pct").alias("Avg_Uplift"),
                C.exact_sum("PromoSales").alias("Total_Sales"),
                C.exact_sum("BaselineSales").alias("Total_Baseline"),
                region.alias("Total_Regions"),
-               C.exact_avg("Duration", C.RATIO_UNIT).alias("Avg_Duration")))
+               C.exact_avg("Duration").alias("Avg_Duration")))
     return (df.withColumn("Total_Uplift", F.col("Total_Sales") - F.col("Total_Baseline"))
             .withColumn("Action", L.action(F.col("Interpretation")))
             .orderBy(F.col("Count").desc(), F.col("Interpretation")))
@@ -96,6 +98,32 @@ def verdict_detail(rollup: DataFrame, verdict: str) -> DataFrame:
     return df.orderBy(*(_order_worst(df) if worst_first else _order_best(df)))
 
 
+def verdict_details(rollup: DataFrame) -> DataFrame:
+    """The drill-down of every verdict: its roll-up rows with their ``Rank`` in the order of ``verdict_detail``.
+
+    The rows are range-sorted and saved; a row's rank is its place in its partition plus the
+    rows of its verdict in the partitions before (a few counts). So a verdict that holds
+    most rows is never in one task.
+    """
+    from promolift.sources.store import work_dir, write_parquet
+    df = with_verdict(rollup)
+    loss = F.col("Interpretation") == F.lit(L.LOSS)
+    by = F.when(loss, F.col("Uplift_Pct")).otherwise(-F.col("Uplift_Pct"))
+    # Ties go up by Article and Bonus Buy, but down among losses.
+    names = [F.col(c) for c in (S.ARTICLE, S.BONUS_BUY)]
+    order = ["Interpretation", by.asc_nulls_last(), *[F.when(~loss, c).asc() for c in names], *[F.when(loss, c).desc() for c in names]]
+    spark = rollup.sparkSession
+    path = f"{work_dir(spark)}/verdict_details-{uuid.uuid4().hex}"
+    here = F.row_number().over(Window.partitionBy("_part", "Interpretation").orderBy(*order[1:]))
+    write_parquet(df.orderBy(*order).withColumn("_part", F.spark_partition_id()), path)
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy("Interpretation", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("Interpretation").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("Interpretation", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (rows.withColumn("_here", here).join(F.broadcast(offsets), ["Interpretation", "_part"])
+            .withColumn("Rank", F.col("_here") + F.col("_before")).select(*df.columns, "Rank"))
+
+
 def display_table(rollup: DataFrame, lowest_first: bool = False) -> DataFrame:
     """Renamed, formatted roll-up, ordered by the rounded uplift percent (highest first, or lowest)."""
     cols = [F.col(S.ARTICLE).alias("Article"),
@@ -140,9 +168,12 @@ FILTER_COLUMNS = [S.YEAR, S.MONTH, S.SUBCAT, S.PSA, S.REGION]
 
 
 def filter_options(prepared: DataFrame) -> DataFrame:
-    """Sorted distinct non-NULL values of the five filter columns, in one job (long form)."""
+    """Sorted distinct non-NULL values of the five filter columns, in one job (long form).
+
+    The different combinations come first (a hash aggregate); only they are turned into one row a value.
+    """
     present = [c for c in FILTER_COLUMNS if c in prepared.columns]
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in present)
-    long = prepared.selectExpr(f"stack({len(present)}, {pairs}) AS (filter, value)")
+    long = prepared.select(*present).distinct().selectExpr(f"stack({len(present)}, {pairs}) AS (filter, value)")
     return (long.where(F.col("value").isNotNull()).distinct()
             .orderBy("filter", F.length("value"), "value"))

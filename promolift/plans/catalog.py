@@ -1,7 +1,7 @@
 """Registered queries: one per operator, each ``(spark, sf_dir) -> DataFrame``.
 
 All of them read the given tables whole (through the adapters of
-``sources.fixtures``). Sums are exact (``functions.clean.exact_sum``), so the
+``sources.fixtures``). Sums round no addend (``functions.clean.exact_sum``), so the
 results do not depend on the order of rows and are returned as they are;
 the load order, a struct, is shown as its four columns.
 """
@@ -20,6 +20,7 @@ from promolift.operators import article as A
 from promolift.operators import baseline as B
 from promolift.operators import forecast as FC
 from promolift.operators import ingest as I
+from promolift.operators import partials as PT
 from promolift.operators import promo as P
 from promolift.operators import summary as SM
 from promolift.plans import report as R
@@ -33,7 +34,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 # Filter set used by the registered filter query: one year, every region.
 YEAR_FILTER = S.Filters(year=1996)
-DETAIL_VERDICT = L.LOSS
 ONE_ARTICLE = "Brand#1-1"
 
 
@@ -229,7 +229,8 @@ def q_strategy(spark, sf_dir):
 
 @register("verdict_detail")
 def q_verdict_detail(spark, sf_dir):
-    return SM.verdict_detail(_report(spark, sf_dir).rollup, DETAIL_VERDICT)
+    """Roll-up rows of every verdict with their place in its list."""
+    return SM.verdict_details(_report(spark, sf_dir).rollup)
 
 
 @register("display_table")
@@ -532,10 +533,15 @@ def q_date_quality(spark, sf_dir):
 
 @register("materialize")
 def q_materialize(spark, sf_dir):
-    prep = _prep(spark, sf_dir)
-    facts = P.analyze_promotions(prep, B.baselines(prep), apply_thresholds=False)
-    stored = ST.materialize_promotions(spark, facts, FX.data_key(spark, sf_dir) + "|All|All|All|All|All")
-    return ST.min_days_view(stored, S.DEFAULT_MIN_DAYS)
+    """Valid promotions from saved baselines and facts, made from the cells of one batch for each year of sales."""
+    prep, key = _prep(spark, sf_dir), FX.data_key(spark, sf_dir)
+    base = ST.table_path(spark, "cells", key)
+    with ST._LOCK:
+        for row in prep.select(S.YEAR).distinct().orderBy(S.YEAR).collect():  # the folders of the saved table
+            year = row[S.YEAR]
+            if not ST.path_exists(spark, f"{base}/batch={year}/_SUCCESS"):
+                PT.append_cells(prep.where(F.col(S.YEAR) == year), base, str(year))
+    return R.summary_report_from_cells(PT.read_cells(spark, base), S.Filters(), key).valid
 
 
 # ---------------------------------------------------------------- streaming ingest

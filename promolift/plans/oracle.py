@@ -3,8 +3,8 @@
 Written from the rules, not from the Spark code: clean days by NOT EXISTS,
 the first forecast by ``row_number()``, quantiles by ``quantile_cont``. The
 views ``region nation customer supplier part orders lineitem ...`` are the
-given Parquet tables. Sums of money, quantities and ratios are taken in whole
-units (``_exact``), as longs, so they do not depend on the order of rows.
+given Parquet tables. Sums of money, quantities and ratios round no addend
+and do not depend on the order of rows (``_plain``).
 """
 
 from __future__ import annotations
@@ -14,18 +14,18 @@ import re
 from promolift.plans import catalog
 
 
-def _exact(sql: str) -> str:
-    """Spell out ``sum`` and ``avg`` of measured columns as sums of whole units."""
-    money = "Net Sales|Sales Quantity|PromoSales|PromoQuantity|BaselineSales|Total_Sales|Baseline|Uplift|Forecast_Qty"
-    ratio = "Uplift_Pct|Forecast_Accuracy|Uplift_Numeric|Avg_PromoDays|Duration"
+def _plain(sql: str) -> str:
+    """Spell out ``sum`` and ``avg`` of measured columns: whole parts as integers plus the rest as decimals, no addend rounded."""
+    measured = ("Net Sales|Sales Quantity|PromoSales|PromoQuantity|BaselineSales|Total_Sales|Baseline|Uplift|Forecast_Qty"
+                "|Uplift_Pct|Forecast_Accuracy|Uplift_Numeric|Avg_PromoDays|Duration")
+
+    def total(x: str, rest: str = "") -> str:
+        return (f"(CAST(sum(CAST(trunc({x}) AS HUGEINT)){rest} AS DOUBLE)"
+                f" + CAST(sum(CAST({x} - trunc({x}) AS DECIMAL(38, 20))){rest} AS DOUBLE))")
+    column = rf'((?:[a-z]+\.)?"(?:{measured})")'
+    sql = re.sub(rf"\bavg\({column}\)", lambda m: f"({total(m[1])} / nullif(count({m[1]}), 0))", sql)
+    return re.sub(rf"\bsum\({column}\)( FILTER \([^)]*\))?", lambda m: total(m[1], m[2] or ""), sql)
 
-    def units(column: str, unit: int, rest: str = "") -> str:
-        return f"(CAST(sum(CAST(round({column} * {unit}) AS BIGINT)){rest} AS DOUBLE) / {unit})"
-    for names, unit in ((money, 10_000), (ratio, 1_000_000_000)):
-        column = rf'((?:t\.)?"(?:{names})")'
-        sql = re.sub(rf"\bavg\({column}\)", lambda m, u=unit: f"({units(m[1], u)} / nullif(count({m[1]}), 0))", sql)
-        sql = re.sub(rf"\bsum\({column}\)( FILTER \([^)]*\))?", lambda m, u=unit: units(m[1], u, m[2] or ""), sql)
-    return sql
 
 PROMO = "\"Promotion Status\" <> 'NON-PROMO'"
 
@@ -103,7 +103,7 @@ clean AS (
   WHERE p."Promotion Status" = 'NON-PROMO'
     AND NOT EXISTS (SELECT 1 FROM pdates d WHERE d."Article" = p."Article" AND d."Sales Date" = p."Sales Date")),
 stats AS (
-  SELECT a."Article", count(DISTINCT c."Sales Date") AS clean_days, CAST(sum(CAST(round(c."Net Sales" * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS clean_sales
+  SELECT a."Article", count(DISTINCT c."Sales Date") AS clean_days, sum(c."Net Sales") AS clean_sales
   FROM (SELECT DISTINCT "Article" FROM pdates) a LEFT JOIN clean c ON c."Article" = a."Article"
   GROUP BY a."Article"),
 bl AS (
@@ -252,14 +252,13 @@ BODIES["promo_split"] = f"""
 SELECT ({PROMO}) AS is_promo, count(*) AS records, sum("Net Sales") AS sales
 FROM prep GROUP BY 1"""
 
-BODIES["promo_data"] = """
-SELECT x."Sub Category", x."Promotion Status", x."Sales Quantity", x."Net Sales", x."Sales Date", x."Region", x."Bonus Buy",
-       x."Article"
-FROM prep x ANTI JOIN (VALUES ('NON-PROMO')) plain(s) ON x."Promotion Status" = plain.s"""
+_PROMO_VIEW = """SELECT "Article", "Bonus Buy", "Region", "Sales Date", "Net Sales", "Sales Quantity", "Promotion Status",
+       "Sub Category" FROM prep"""
+# Promo rows are what is left of all rows without the others.
+BODIES["promo_data"] = f"""{_PROMO_VIEW} EXCEPT ALL {_PROMO_VIEW} WHERE "Promotion Status" = 'NON-PROMO'"""
 
 BODIES["nonpromo_data"] = """
-SELECT x."Net Sales", x."Sales Date", x."Region", x."Article"
-FROM prep x SEMI JOIN (VALUES ('NON-PROMO')) plain(s) ON x."Promotion Status" = plain.s"""
+SELECT "Article", "Region", "Sales Date", "Net Sales" FROM prep WHERE "Promotion Status" = 'NON-PROMO'"""
 
 BODIES["filter_sales"] = f"""
 SELECT count(*) AS total_records,
@@ -360,8 +359,11 @@ FROM (SELECT *, {UPLIFT_VERDICT.format(u='"Uplift_Pct"')} AS "Interpretation" FR
 GROUP BY "Interpretation" ORDER BY "Count" DESC, "Interpretation" """
 
 BODIES["verdict_detail"] = f"""
-SELECT * FROM (SELECT *, {UPLIFT_VERDICT.format(u='"Uplift_Pct"')} AS "Interpretation" FROM ru) t
-WHERE "Interpretation" = 'Significant Loss'"""
+SELECT *, row_number() OVER (PARTITION BY "Interpretation" ORDER BY
+         CASE "Interpretation" WHEN 'Significant Loss' THEN -"Uplift_Pct" ELSE "Uplift_Pct" END DESC NULLS LAST,
+         CASE WHEN "Interpretation" <> 'Significant Loss' THEN "Article" END, CASE WHEN "Interpretation" <> 'Significant Loss' THEN "Bonus Buy" END,
+         "Article" DESC, "Bonus Buy" DESC) AS "Rank"
+FROM (SELECT *, {UPLIFT_VERDICT.format(u='"Uplift_Pct"')} AS "Interpretation" FROM ru) t"""
 
 BODIES["display_table"] = f"""
 SELECT "Article" AS "Article", "Bonus Buy" AS "Promotion", {money('"PromoSales"')} AS "Promo Sales",
@@ -443,11 +445,11 @@ SELECT "Article", n AS total_rows, days AS unique_days, n_promo AS promo_count,
 
 BODIES["valid_articles"] = f"""
 SELECT "Article", n AS total_rows FROM {_SIDES}
-WHERE least(n_promo, n - n_promo) >= 2
+WHERE n_promo >= 2 AND n - n_promo >= 2
 QUALIFY row_number() OVER (ORDER BY n DESC, "Article") <= 500"""
 
 BODIES["article_list"] = f"""
-SELECT "Article" FROM {_SIDES} WHERE least(n_promo, n - n_promo) >= 2"""
+SELECT "Article" FROM {_SIDES} WHERE n_promo >= 2 AND n - n_promo >= 2"""
 
 BODIES["article_rows"] = """SELECT * FROM prep WHERE "Article" = 'Brand#1-1'"""
 
@@ -586,7 +588,7 @@ BODIES["stream_ingest"] = "SELECT * FROM loaded"
 
 
 def sql(name: str) -> str:
-    return _exact(f"WITH {CTES}\n{BODIES[name]}")
+    return _plain(f"WITH {CTES}\n{BODIES[name]}")
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,9 @@ over a path that is being read: appends go to a new path.
 from __future__ import annotations
 
 import hashlib
+import re
 import threading
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -32,15 +34,21 @@ def files_version(spark: SparkSession, folder: str) -> str:
     """Digest of the names, sizes and modification times of the tables in a folder.
 
     A table that is one file counts by itself, one that is a folder by its
-    files, so changed input never finds tables saved from the old one.
+    files, so changed input never finds tables saved from the old one. The files are listed
+    level by level, one call each, whatever their number.
     """
+    jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    found, files = [], root.getFileSystem(conf).listFiles(root, True)
-    while files.hasNext():
-        f = files.next()
-        found.append(f"{f.getPath().toUri().getPath()}|{f.getLen()}|{f.getModificationTime()}")
-    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:12]
+    found, pattern = [], folder.rstrip("/")
+    while True:
+        pattern += "/*"
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        level = path.getFileSystem(conf).globStatus(path)
+        if not level:
+            break
+        level = jvm.org.apache.commons.lang3.ArrayUtils.toString(level)  # of all files in one call
+        found.append(re.sub(r"access_time=\d+", "", level))
+    return hashlib.sha1("\n".join(found).encode()).hexdigest()[:12]
 
 
 def table_path(spark: SparkSession, name: str, key: str) -> str:
@@ -102,6 +110,26 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).parquet(path)
 
 
+# A saved table up to this size, measured, may be broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def saved_measured(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """A table written to the work folder and read back, and whether it is measured to be small enough to broadcast.
+
+    Its size in memory is taken from its rows: texts by their bytes, eight bytes for any other value, a fixed share a row.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write_parquet(df, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema.fields
+             if f.dataType.typeName() == "string"]
+    row = F.lit(48 + 8 * len(df.columns)).cast("long")
+    size = table.agg(F.coalesce(F.sum(reduce(lambda a, b: a + b, texts, row)), F.lit(0)).alias("bytes")).first()["bytes"]
+    return table, size <= BROADCAST_BYTES
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV export with a header; quotes doubled as spreadsheet tools expect."""
     (df.write.mode(mode).option("header", True).option("escape", '"')
