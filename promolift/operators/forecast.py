@@ -4,17 +4,21 @@ Matching rule: a forecast belongs to an article when its Description contains
 the article text (case-sensitive); the first forecast in load order wins; only
 promo rows get it; daily forecast = quantity / duration days.
 
-Plans (all exact):
-
-* ``contains`` (default): an equi-join, no nested loop. Every description is
-  cut into its substrings of exactly the lengths that articles have (the
-  distinct article lengths: a few small integers), so "description contains
-  article" becomes "substring == article". Rows per description grow with
-  its length times the number of distinct article lengths, not with the
-  number of articles.
-* ``token``: whitespace tokens of the description equal to the article.
+Plans (all exact; descriptions that repeat are first made one row, with the
+first of their forecasts):
+
+* ``contains`` (default): articles of up to ``GRAM`` characters are looked up among the
+  pieces of that length of the descriptions, of which each is one row with its first
+  forecast before anything is joined. Longer articles are represented by
+  their rarest piece of ``GRAM`` characters (pieces are counted over all descriptions;
+  an article with a piece that is in none matches nothing): descriptions meet only
+  the articles whose rarest piece they hold, and ``contains`` decides.
+* ``token``: whitespace tokens of the description equal to the article, again one
+  row for each token before the join.
 * ``regex``: articles without a sign that means something in a pattern go the
-  ``contains`` way (the same result); the others are searched for in batches of patterns.
+  ``contains`` way (the same result). From every pattern the longest piece that
+  each of its matches must contain is taken; descriptions meet it as they meet an article, and the pattern
+  decides. Only patterns without such a piece are searched for in all descriptions, in batches.
 
 The per-article winner is ``min_by(..., row_order)``, a partial aggregate, so
 an article found in many descriptions is combined map-side.
@@ -22,8 +26,10 @@ an article found in many descriptions is combined map-side.
 
 from __future__ import annotations
 
-import re
 import uuid
+from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,9 +61,10 @@ HEADER_PATTERNS = [
 
 
 def normalise_header(name: str) -> str:
-    """Outer blanks and dots gone, then each double blank made one."""
-    without_dots = re.sub(r"\.", "", name.strip())
-    return re.sub(r" {2}", " ", without_dots)
+    """A header without outer blanks and without dots; of a run of blanks half are left (the odd one too)."""
+    inside = (c for c in name.strip() if c != ".")
+    runs = ((blank, list(run)) for blank, run in groupby(inside, key=" ".__eq__))
+    return "".join(" " * -(-len(run) // 2) if blank else "".join(run) for blank, run in runs)
 
 
 # What pattern search ignores in a header.
@@ -122,40 +129,96 @@ def clean_forecast(raw: DataFrame, mapping: dict[str, str] | None = None) -> Dat
 # ---------------------------------------------------------------- matching
 
 
-def _candidates(fc: DataFrame) -> DataFrame:
-    return fc.select(
+def _first(df: DataFrame, *keys: str) -> DataFrame:
+    """The first forecast in load order of each key.
+
+    The load order is unique per forecast, so three scalar aggregates pick the same
+    one, and keep fixed-width buffers (a hash aggregate with a map-side part).
+    """
+    return df.groupBy(*keys).agg(F.min_by("_qty", "_order").alias("_qty"), F.min_by("_daily", "_order").alias("_daily"),
+                                 F.min("_order").alias("_order"))
+
+
+def _descriptions(fc: DataFrame) -> DataFrame:
+    """Each different description with its first forecast."""
+    return _first(fc.select(
         F.col(S.DESCRIPTION).alias("_desc"),
         F.col(S.ROW_ORDER).alias("_order"),
         F.col(S.FORECAST_QTY).alias("_qty"),
         F.try_divide(F.col(S.FORECAST_QTY), F.col(S.DURATION_DAYS)).alias("_daily"),
-    ).where(F.col("_desc").isNotNull())
+    ).where(F.col("_desc").isNotNull()), "_desc")
 
 
-def _article_stats(articles: DataFrame) -> tuple[int, list[int], int]:
-    """Number of articles, their distinct text lengths and the bytes of the longest, in one small job.
+# Characters of the pieces by which long articles are found.
+GRAM = 4
 
-    The lengths are a handful of integers (bounded by the longest article);
-    count and bytes give a proven size bound for broadcasting the article side.
-    """
-    row = articles.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length(S.ARTICLE))).alias("lens"),
-                       F.max(F.octet_length(S.ARTICLE)).alias("bytes")).first()
-    return int(row.n), [int(x) for x in (row.lens or []) if x], int(row.bytes or 0)
+
+def _grams(text, size):
+    """The different pieces of ``size`` characters of a text; a shorter text is its own piece."""
+    last = F.greatest(F.length(text) - size + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(text, at, size)))
+
+
+def _with_grams(desc: DataFrame, sizes: list[int]) -> DataFrame:
+    """Descriptions once for each of their pieces of the given sizes (``_key``)."""
+    pieces = F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: _grams(F.col("_desc"), n)))
+    return desc.withColumn("_key", F.explode(F.array_distinct(pieces)))
+
+
+@dataclass(frozen=True)
+class _Texts:
+    """What one small job finds out about a table of texts to look for (``_text``)."""
+    n: int
+    lengths: list[int]
+    longest: int  # bytes
+
+    @property
+    def small(self) -> bool:
+        """Whether the texts, and one row for each of their pieces, are proven small enough to broadcast."""
+        return _bounded_bytes(self.n * max(1, self.longest), self.longest + 4 * GRAM) <= BROADCAST_MAX_BYTES
+
+    @staticmethod
+    def aggregates(text, name: str) -> list:
+        return [F.count(text).alias(f"{name}_n"), F.array_sort(F.collect_set(F.length(text))).alias(f"{name}_lengths"),
+                F.coalesce(F.max(F.octet_length(text)), F.lit(0)).alias(f"{name}_longest")]
+
+    @staticmethod
+    def of(row, name: str) -> _Texts:
+        return _Texts(int(row[f"{name}_n"]), list(row[f"{name}_lengths"]), int(row[f"{name}_longest"]))
 
 
 def _bounded_bytes(n: int, longest: int, extra: int = 0) -> int:
     return n * (longest + _ROW_OVERHEAD + extra)
 
 
-def _substrings(cand: DataFrame, lengths: list[int]) -> DataFrame:
-    """Every substring of ``_desc`` whose length is one of ``lengths``."""
-    lens = F.array(*[F.lit(n) for n in lengths])
-    desc = F.col("_desc")
-    pieces = F.flatten(F.transform(lens, lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(desc) - n + 1, F.lit(0))),
-        lambda pos: F.substring(desc, pos, n))))
-    # sequence(1, 0) yields [1, 0]; substring at 0 / 1 of a too-short text is
-    # shorter than n and so cannot equal an article of length n.
-    return cand.select(F.explode(F.array_distinct(pieces)).alias("_key"), "_order", "_qty", "_daily")
+def _seeds(desc: DataFrame, texts: DataFrame, known: _Texts) -> DataFrame:
+    """(_text, _key): each text with its rarest piece; texts with a piece that no description holds are left out."""
+    pieces = texts.select("_text", F.explode(_grams(F.col("_text"), F.least(F.length("_text"), F.lit(GRAM)))).alias("_key"))
+    sizes = sorted({min(n, GRAM) for n in known.lengths})
+    in_desc = _with_grams(desc.select("_desc"), sizes).select("_key")
+    if known.small:  # only pieces of a text are counted
+        in_desc = in_desc.join(F.broadcast(pieces.select("_key").distinct()), "_key", "left_semi")
+    counts = in_desc.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    found = pieces.join(counts, "_key", "left")
+    return (found.groupBy("_text")
+            .agg(F.min(F.struct("_n", "_key")).alias("_rarest"), F.count(F.lit(1)).alias("_all"), F.count("_n").alias("_held"))
+            .where(F.col("_held") == F.col("_all")).select("_text", F.col("_rarest._key").alias("_key")))
+
+
+def _containing(desc: DataFrame, texts: DataFrame, known: _Texts) -> DataFrame:
+    """Pairs of a text and a description that contains it."""
+    seeds = _seeds(desc, texts, known)
+    pieces = _with_grams(desc, sorted({min(n, GRAM) for n in known.lengths}))
+    # A large text side: keep the exploded descriptions out of any broadcast.
+    met = pieces.join(F.broadcast(seeds), "_key") if known.small else pieces.hint("merge").join(seeds, "_key")
+    return met.where(F.contains("_desc", "_text")).drop("_key")
+
+
+def _equal(keyed: DataFrame, texts: DataFrame, known: _Texts) -> DataFrame:
+    """Texts equal to a key of the descriptions; a key is one row, however many descriptions hold it."""
+    keys = _first(keyed, "_key")
+    texts = texts.withColumn("_key", F.col("_text"))
+    return keys.join(F.broadcast(texts), "_key") if known.small else keys.hint("merge").join(texts, "_key")
 
 
 def promo_articles(sales: DataFrame) -> DataFrame:
@@ -184,63 +247,97 @@ def forecast_match(articles: DataFrame, fc: DataFrame, mode: str = "contains") -
 # Characters that mean something in a pattern; an article without them matches literally.
 PATTERN_SIGNS = r"[\\.^$|?*+()\[\]{}]"
 
+# A pattern cut into escapes, classes, groups without groups in them, quantifiers and characters.
+_PATTERN_TOKEN = (r"\\[\s\S]|\[(?:\\.|\[[^\]]*\]|[^\]\\])*\]|\((?:\\.|[^()\\])*\)"
+                  r"|(?:[*+?]|\{\d+(?:,\d*)?\})[?+]?|[\s\S]")
+# What is not taken apart: escapes of more than one character, quoting, flags.
+_PATTERN_HARD = r"\\[^\W_dDwWsSbBhHvVRtnrfAzZG]|\(\?[a-zA-Z-]+[:)]"
+
+
+def required_piece(pattern):
+    """The longest piece that every match of a pattern must contain; NULL if none is found.
+
+    Runs of plain characters and escaped signs are taken. A character that may be left out
+    (``?``, ``*``, ``{0,``) ends the run before it; other quantifiers, classes, groups, anchors and
+    escapes end it after the last character. Patterns with alternatives outside groups, groups in
+    groups, flags or quoting give none.
+    """
+    tokens = F.regexp_extract_all(pattern, F.lit(_PATTERN_TOKEN), F.lit(0))
+    nothing = F.lit("")
+
+    def longer(a, b):
+        return F.when(F.length(b) > F.length(a), b).otherwise(a)
+
+    def step(state, token):
+        run, best = state["run"], state["best"]
+        escaped, plain = token.rlike(r"^\\[\W_]$"), ~token.rlike(PATTERN_SIGNS)
+        optional = token.rlike(r"^(?:[*?]|\{0)")
+        ended = F.when(optional, F.substring(run, F.lit(1), F.greatest(F.length(run) - 1, F.lit(0)))).otherwise(run)
+        return F.when(escaped | plain, F.struct(F.concat(run, F.substring(token, F.length(token), F.lit(1))).alias("run"), best.alias("best"))) \
+            .otherwise(F.struct(nothing.alias("run"), longer(best, ended).alias("best")))
+    found = F.aggregate(tokens, F.struct(nothing.alias("run"), nothing.alias("best")), step, lambda s: longer(s["best"], s["run"]))
+    hard = pattern.rlike(_PATTERN_HARD) | F.exists(tokens, lambda t: t.isin("(", ")", "[", "]", "{", "}", "|"))
+    return F.when(~hard & (F.length(found) > 0), found)
 
-def _pattern_pairs(cand: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pairs where the description matches the article as a regular expression.
 
-    The patterns are gathered into arrays of about ``PATTERN_BATCH`` articles
-    each, so a description is searched by one batch of patterns in one
-    row and only the hits become rows; descriptions and batches meet by an
+PATTERN_BATCH, PATTERN_SALTS = 256, 64
+
+
+def _searched(desc: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
+    """Pairs where the description matches the pattern (``_text``): the way for ``n`` patterns without a required piece.
+
+    The patterns are gathered into arrays of about ``PATTERN_BATCH``, so a description is searched by one
+    batch of patterns in one row and only the hits become rows; descriptions and batches meet by an
     equi-join on the batch number.
     """
-    n = max(1, -(-patterns.count() // PATTERN_BATCH))
-    numbered = patterns.select(S.ARTICLE, F.pmod(F.xxhash64(S.ARTICLE), F.lit(n)).alias("_batch"))
-    batches = numbered.groupBy("_batch").agg(F.collect_list(S.ARTICLE).alias("_patterns"))
+    batches = max(1, -(-n // PATTERN_BATCH))
+    numbered = patterns.select("_text", F.pmod(F.xxhash64("_text"), F.lit(batches)).alias("_batch"))
+    gathered = numbered.groupBy("_batch").agg(F.collect_list("_text").alias("_patterns"))
     # Salted on both sides: with few batches, descriptions still spread over many tasks.
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    spread = cand.withColumn("_salt", F.pmod(F.xxhash64("_desc", "_order"), F.lit(PATTERN_SALTS))) \
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))
+    spread = desc.withColumn("_salt", F.pmod(F.xxhash64("_desc", "_order"), F.lit(PATTERN_SALTS))) \
         .withColumn("_batch", F.explode(numbers))
-    salted = batches.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PATTERN_SALTS - 1).cast("long"))))
-    met = spread.join(salted, ["_batch", "_salt"])
+    salted = gathered.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PATTERN_SALTS - 1).cast("long"))))
     hits = F.filter("_patterns", lambda p: F.regexp(F.col("_desc"), p))
-    return met.select(F.explode(hits).alias(S.ARTICLE), "_order", "_qty", "_daily")
-
-
-PATTERN_BATCH, PATTERN_SALTS = 256, 64
+    return spread.join(salted, ["_batch", "_salt"]).select(F.explode(hits).alias("_text"), "_order", "_qty", "_daily")
 
 
 def _match(articles: DataFrame, fc: DataFrame, mode: str) -> tuple[DataFrame, bool]:
     """The match table, and whether it (one row per article) is proven small enough to broadcast."""
     if mode not in ("contains", "token", "regex"):
         raise ValueError(f"unknown match mode {mode!r}")
-    cand = _candidates(fc)
-    literal = articles.where(~F.col(S.ARTICLE).rlike(PATTERN_SIGNS)) if mode == "regex" else articles
-    n, lengths, size = _article_stats(literal)
-    small = _bounded_bytes(n, size) <= BROADCAST_MAX_BYTES
-    art = F.broadcast(literal) if small else literal
-
-    def equi(side: DataFrame) -> DataFrame:
-        # Large article side: keep the exploded side out of any broadcast.
-        side = side if small else side.hint("merge")
-        return side.join(art, side["_key"] == art[S.ARTICLE]).select(S.ARTICLE, "_order", "_qty", "_daily")
-
-    if mode == "token":
-        pairs = equi(cand.select(F.explode(F.array_distinct(F.split(F.col("_desc"), r"\s+"))).alias("_key"),
-                                 "_order", "_qty", "_daily"))
-    else:
-        # Without lengths there is no article: no substring, no pair.
-        pairs = equi(_substrings(cand, lengths or [1]))
-        if mode == "regex":
-            pairs = pairs.unionByName(_pattern_pairs(cand, articles.where(F.col(S.ARTICLE).rlike(PATTERN_SIGNS))))
-    # The load order is unique per forecast, so three scalar aggregates pick
-    # the same (first) forecast and keep fixed-width buffers (hash aggregate).
-    order = F.col("_order")
-    out = (pairs.groupBy(S.ARTICLE)
-           .agg(F.min_by("_qty", order).alias(S.FORECAST_QTY),
-                F.min_by("_daily", order).alias(S.FORECAST_DAILY),
-                F.min(order).alias("forecast_order")))
-    # Only literal articles are counted; patterns beside them lift the bound out of reach.
-    return out, mode != "regex" and _bounded_bytes(n, size, extra=64) <= BROADCAST_MAX_BYTES
+    desc = _descriptions(fc)
+    is_pattern = F.col("_text").rlike(PATTERN_SIGNS) if mode == "regex" else F.lit(False)
+    texts = articles.select(F.col(S.ARTICLE).alias("_text")).withColumn(
+        "_piece", F.when(is_pattern, required_piece(F.col("_text"))) if mode == "regex" else F.lit(None).cast("string"))
+    short = ~is_pattern & ((F.length("_text") <= GRAM) | F.lit(mode == "token"))
+    groups = {"equal": short, "long": ~is_pattern & ~short, "piece": F.col("_piece").isNotNull(),
+              "bare": is_pattern & F.col("_piece").isNull()}
+    looked_for = {k: F.when(c, F.col("_piece") if k == "piece" else F.col("_text")) for k, c in groups.items()}
+    row = texts.agg(*[a for k, c in looked_for.items() for a in _Texts.aggregates(c, k)],
+                    *_Texts.aggregates(F.col("_text"), "every")).first()  # counts and a few lengths, in one small job
+    known = {k: _Texts.of(row, k) for k in (*groups, "every")}
+    columns = ["_text", "_order", "_qty", "_daily"]
+    parts = []
+    if known["equal"].n:
+        words = F.split(F.col("_desc"), r"\s+")
+        keyed = desc.withColumn("_key", F.explode(F.array_distinct(words))) if mode == "token" \
+            else _with_grams(desc, known["equal"].lengths)
+        parts.append(_equal(keyed, texts.where(groups["equal"]).select("_text"), known["equal"]))
+    if known["long"].n:
+        parts.append(_containing(desc, texts.where(groups["long"]).select("_text"), known["long"]))
+    if known["piece"].n:
+        patterns = texts.where(groups["piece"]).select(F.col("_text").alias("_pattern"), F.col("_piece").alias("_text"))
+        pairs = _containing(desc, patterns.select("_text").distinct(), known["piece"])
+        met = pairs.join(F.broadcast(patterns) if known["every"].small else patterns, "_text")
+        parts.append(met.where(F.regexp("_desc", F.col("_pattern"))).withColumn("_text", F.col("_pattern")))
+    if known["bare"].n:
+        parts.append(_searched(desc, texts.where(groups["bare"]).select("_text"), known["bare"].n))
+    pairs = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]) if parts \
+        else desc.withColumn("_text", F.lit(None).cast("string")).where(F.lit(False)).select(*columns)
+    out = _first(pairs, "_text").select(F.col("_text").alias(S.ARTICLE), F.col("_qty").alias(S.FORECAST_QTY),
+                                        F.col("_daily").alias(S.FORECAST_DAILY), F.col("_order").alias("forecast_order"))
+    return out, _bounded_bytes(known["every"].n, known["every"].longest, extra=64) <= BROADCAST_MAX_BYTES
 
 
 def no_forecast(sales: DataFrame) -> DataFrame:
@@ -306,16 +403,19 @@ def load_forecasts(spark, paths, mapping: dict[str, str] | None = None):
     """
     from promolift.operators.ingest import dedup_rows
     from promolift.sources import csv as CSV
-    parts, rejected = [], []
-    for header, members in CSV.header_groups(spark, CSV.list_files(spark, paths)).items():
+    files = CSV.list_files(spark, paths)
+    if not files:
+        return None, spark.createDataFrame([], "file string, missing string")
+    headers = CSV.header_table(spark, files)
+    groups = CSV.header_groups(spark, files, headers)
+    missing = {}
+    for header in groups:
         norm = [normalise_header(h) for h in header]
         m = header_mapping(norm) if mapping is None else mapping
-        missing = [c for c in S.REQUIRED_FORECAST if c not in [m.get(h, h) for h in norm]]
-        if missing:
-            rejected += [(f, ", ".join(missing)) for f in members]
-            continue
-        parts.append(clean_forecast(CSV.with_load_order(CSV.scan_csv(spark, members)), mapping))
-    rej = spark.createDataFrame(rejected, "file string, missing string")
+        missing[header] = [c for c in S.REQUIRED_FORECAST if c not in [m.get(h, h) for h in norm]]
+    parts = [clean_forecast(CSV.with_load_order(CSV.scan_csv(spark, members)), mapping)
+             for header, members in groups.items() if not missing[header]]
+    rej = CSV.rejected_files(spark, headers, groups, missing)
     if not parts:
         return None, rej
     out = parts[0]

@@ -9,9 +9,10 @@ columns in another order, or with extra columns, lines up correctly.
 from __future__ import annotations
 
 import csv as _csv
-import io
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from urllib.parse import unquote
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -47,33 +48,55 @@ def list_files(spark: SparkSession, paths: list[str] | str, suffix: str = ".csv"
     return sorted(out)
 
 
-def header_groups(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by header (as split, untrimmed), found by one distributed job.
+# Files whose first lines are asked for at once.
+HEADER_READERS = 16
 
-    Tasks read the first block of each file and give its first line; what
-    reaches the driver is one row per distinct header with its file names.
+
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, through the file system that Spark reads it by: one buffer is read, however large the file."""
+    jvm, p, fs = _jvm_fs(spark, path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        return reader.readLine()
+    finally:
+        reader.close()
+
+
+def header_table(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, columns as split, untrimmed) of every file with a line, saved.
+
+    Like the listing of the files this is metadata, read by the driver, several files at a time: a
+    buffer a file. A scan would read the whole input, for it has no limit that holds for each file.
     """
+    from promolift.session import work_dir
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        lines = list(pool.map(lambda f: _first_line(spark, f), files))
+    found = [(f, next(_csv.reader([line.lstrip("\ufeff")]), [])) for f, line in zip(files, lines, strict=True) if line is not None]
+    path = f"{work_dir(spark)}/headers-{uuid.uuid4().hex}"
+    spark.createDataFrame(found, "file string, columns array<string>").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def header_groups(spark: SparkSession, files: list[str], headers: DataFrame | None = None) -> dict[tuple[str, ...], list[str]]:
+    """Files by header (as split, untrimmed): one row per distinct header with its file names reaches the driver."""
     if not files:
         return {}
-    lines = spark.read.text(files).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
-        F.monotonically_increasing_id().alias("at"))
-    first = lines.where(F.col("block") == 0).groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
-    names = {_plain(f): f for f in files}
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in found:
-        header = tuple(next(_csv.reader(io.StringIO(row["header"].lstrip("\ufeff"))), []))
-        groups.setdefault(header, []).extend(names.pop(_plain(unquote(f))) for f in row["files"])
-    if names:  # files without a line
-        groups.setdefault((), []).extend(names.values())
+    headers = header_table(spark, files) if headers is None else headers
+    found = headers.groupBy("columns").agg(F.collect_list("file").alias("files")).collect()
+    groups = {tuple(row["columns"]): list(row["files"]) for row in found}
+    if bare := set(files).difference(*groups.values()):  # files without a line
+        groups.setdefault((), []).extend(bare)
     return {h: sorted(m) for h, m in sorted(groups.items())}
 
 
-def _plain(path: str) -> str:
-    """A path with one slash after the scheme, however it was spelled."""
-    scheme, colon, rest = path.partition(":")
-    return f"{scheme}{colon}/{rest.lstrip('/')}" if colon else path
+def rejected_files(spark: SparkSession, headers: DataFrame, groups: dict[tuple[str, ...], list[str]],
+                   missing: dict[tuple[str, ...], list[str]]) -> DataFrame:
+    """(file, missing) of the files whose header misses required columns: the saved headers joined with the few different ones."""
+    bad = [(list(h), ", ".join(m)) for h, m in missing.items() if m]
+    rows = headers.join(F.broadcast(spark.createDataFrame(bad, "columns array<string>, missing string")), "columns").select("file", "missing")
+    if missing.get(()):  # empty files have no row there
+        rows = rows.unionByName(spark.createDataFrame([(f, ", ".join(missing[()])) for f in groups[()]], "file string, missing string"))
+    return rows.distinct()
 
 
 def scan_csv(spark: SparkSession, paths: list[str] | str, na_tokens: list[str] | None = None,
@@ -126,26 +149,21 @@ def load_many(spark: SparkSession, paths: list[str] | str, required: list[str] |
     ``unionByName(allowMissingColumns=True)`` across groups.
     """
     req = S.REQUIRED_SALES if required is None else required
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for header, members in header_groups(spark, list_files(spark, paths)).items():
-        groups.setdefault(tuple(h.strip() for h in header), []).extend(members)
-    parts: list[DataFrame] = []
-    rejected: list[tuple[str, str]] = []
-    accepted: list[str] = []
+    files = list_files(spark, paths)
+    if not files:
+        return Loaded(_no_rows(spark, req), spark.createDataFrame([], "file string, missing string"), [])
+    headers = header_table(spark, files)
+    groups = header_groups(spark, files, headers)
+    missing = {h: [c for c in req if c not in {x.strip() for x in h}] for h in groups}
+    by_names: dict[tuple[str, ...], list[str]] = {}
     for header, members in groups.items():
-        missing = [c for c in req if c not in header]
-        if missing:
-            rejected += [(m, ", ".join(missing)) for m in members]
-            continue
-        accepted += members
-        parts.append(with_lineage(scan_csv(spark, members, na_tokens)))
-    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("missing", T.StringType())])
-    rej = spark.createDataFrame(rejected, schema)
-    if not parts:
-        empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in req]
-                                                       + [T.StructField(S.SOURCE_FILE, T.StringType())]))
-        return Loaded(empty, rej, accepted)
-    data = parts[0]
-    for p in parts[1:]:
-        data = data.unionByName(p, allowMissingColumns=True)
-    return Loaded(data, rej, accepted)
+        if not missing[header]:
+            by_names.setdefault(tuple(h.strip() for h in header), []).extend(members)
+    accepted = [m for members in by_names.values() for m in members]
+    parts = [with_lineage(scan_csv(spark, members, na_tokens)) for members in by_names.values()]
+    data = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else _no_rows(spark, req)
+    return Loaded(data, rejected_files(spark, headers, groups, missing), accepted)
+
+
+def _no_rows(spark: SparkSession, columns: list[str]) -> DataFrame:
+    return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*columns, S.SOURCE_FILE]]))

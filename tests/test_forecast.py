@@ -111,3 +111,60 @@ def test_regex_patterns_and_literals(spark, monkeypatch):
     got = {r.Article: r.Forecast_Qty for r in FC.forecast_match(articles, fc, "regex").collect()}
     assert got == {"12": 2.0, "1[23]x": 1.0, "^z": 2.0, "a.c": 1.0, "q$": 3.0}
     assert FC.forecast_match(articles.limit(0), fc, "regex").count() == 0
+
+
+def test_normalised_headers():
+    cases = {" Item Desc. ": "Item Desc", "a  b": "a b", "a   b": "a  b", "a    b": "a  b", "Qty .": "Qty ", "..x..": "x", "": "", "a.b c": "ab c",
+             "a . b": "a b", "TTL  Fcst   Qty": "TTL Fcst  Qty"}
+    assert {h: FC.normalise_header(h) for h in cases} == cases
+
+
+def test_required_pieces(spark):
+    cases = {"1[23]x": "1", "abc.*de": "abc", "a?bcd": "bcd", "xy{0,2}zzz": "zzz", "xy{2}z": "xy", "a\\.b": "a.b", "a\\db": "a", "(ab|c)def": "def", "(abc)": None,
+             "ab|cd": None, "(?i)abc": None, "\\Qab\\E": None, "\\x41bc": None, "^abc$": "abc", "Brand#1-[7]( |$)": "Brand#1-", "a+bb+": "bb", "ab*?cde": "cde",
+             "((ab)c)de": None, "[]a]bc": None, "[^a]bc": "bc", "a(?:x|y)bcd": "bcd", ".*": None, "a\\+b?": "a+", "ab[c": None, "a||b": None}
+    df = spark.createDataFrame([(p,) for p in cases], "p string").select("p", FC.required_piece(F.col("p")).alias("piece"))
+    assert {r.p: r.piece for r in df.collect()} == cases
+
+
+def test_modes_equal_brute_force(spark, monkeypatch):
+    """Random articles, patterns and descriptions, repeated and hot, against plain Python."""
+    import random
+    import re
+    rng = random.Random(5)
+    for bound in (FC.BROADCAST_MAX_BYTES, 0):
+        monkeypatch.setattr(FC, "BROADCAST_MAX_BYTES", bound)
+        words = ["Item", "ab", "abc", "x1", "Brand#1-1", "Brand#1-12", "Brand", "q", "long article name", ""]
+        desc = [" ".join(["Item", *rng.choices(words, k=rng.randrange(0, 4))]) for _ in range(120)] + ["", "q", "abab", "Brand#1-123"]
+        literal = ["Item", "q", "ab", "aba", "Brand#1-1", "Brand#1-12", "Brand#1-123", "long article name", "no such article", "Item Item", "nog", "zz"]
+        patterns = ["Brand#1-[12]+", "^q$", "a.c", "(ab|x1) Item", "b{2}", "(?i)ITEM x", "ab|zz", "[xq]1?$", "Item \\S+$", "no.such"]
+        fc = _fc(spark, [(d, float(i)) for i, d in enumerate(desc)])
+
+        def first(test):
+            return next((float(i) for i, d in enumerate(desc) if test(d)), None)
+        for mode, texts, test in (("contains", literal, lambda a, d: a in d), ("token", literal, lambda a, d: a in re.split(r"\s+", d)),
+                                  ("regex", literal + patterns, lambda a, d: re.search(a, d) is not None)):
+            got = {r.Article: r.Forecast_Qty for r in FC.forecast_match(spark.createDataFrame([(a,) for a in texts], "Article string"), fc, mode).collect()}
+            assert got == {a: q for a in texts if (q := first(lambda d, a=a: test(a, d))) is not None}, (mode, bound)
+
+
+def test_a_piece_in_every_description_is_one_row_before_the_join(spark):
+    fc = _fc(spark, [(f"Item {i % 50} q", float(i)) for i in range(2000)])
+    desc = FC._descriptions(fc)
+    assert desc.count() == 50  # repeated descriptions are one
+    keys = FC._first(FC._with_grams(desc, [1, 4]), "_key")
+    hot = keys.where("_key IN ('Item', 'q')").collect()
+    assert sorted((r._key, r._order) for r in hot) == [("Item", 0), ("q", 0)]
+    plan = FC.forecast_match(spark.createDataFrame([("Item",), ("q",)], "Article string"), fc)._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("BroadcastHashJoin"):]
+    assert join.index("HashAggregate") < join.index("Generate")  # the join's input is aggregated after it is cut up
+    assert "SortAggregate" not in plan
+
+
+def test_patterns_with_a_piece_are_not_tried_on_every_description(spark):
+    fc = _fc(spark, [("abc 13x", 1.0), ("z 12", 2.0)])
+    def plan(patterns):
+        articles = spark.createDataFrame([(p,) for p in patterns], "Article string")
+        return FC.forecast_match(articles, fc, "regex")._jdf.queryExecution().analyzed().toString()
+    assert "_batch" not in plan(["1[23]x", "z.1", "12"])
+    assert "_batch" in plan(["1[23]x", ".*"])

@@ -114,3 +114,46 @@ def test_missing_article_stays(spark):
     from promolift.functions import clean as C
     got = spark.createDataFrame([(" 12 ",), (None,)], "a string").select(C.article_text("a").alias("a")).collect()
     assert [r.a for r in got] == ["12", "nan"]
+
+
+def test_headers_cost_one_buffer_a_file(spark, tmpdir_path):
+    """A large file of many splits is read up to the first line."""
+    folder = os.path.join(tmpdir_path, "large")
+    line = "1," + "x" * 200 + "\n"
+    _write(folder, "large.csv", "a,b\n" + line * 200_000)  # 40 MB
+    _write(folder, "small.csv", "a,b\n1,2\n")
+    size = os.path.getsize(os.path.join(folder, "large.csv"))
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics()
+
+    def read():
+        return int(files.get("file").getLong("bytesRead"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        before = read()
+        table = CSV.header_table(spark, CSV.list_files(spark, folder))
+        assert read() - before < 1 << 20 < size
+        assert sorted(tuple(r.columns) for r in table.collect()) == [("a", "b"), ("a", "b")]
+        assert table.inputFiles()  # the headers are a saved table, from which rejected files are read
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rejected_files_come_from_the_saved_headers(spark, tmpdir_path):
+    folder = os.path.join(tmpdir_path, "some")
+    _write(folder, "ok.csv", "a , b\n1,2\n")
+    _write(folder, "bad.csv", "a\n1\n")
+    _write(folder, "empty.csv", "")
+    loaded = CSV.load_many(spark, folder, required=["a", "b"])
+    assert sorted((r.file.rsplit("/", 1)[-1], r.missing) for r in loaded.rejected.collect()) == [("bad.csv", "b"), ("empty.csv", "a, b")]
+    assert "FileScan" in loaded.rejected._jdf.queryExecution().executedPlan().toString() and loaded.data.count() == 1
+    assert CSV.load_many(spark, os.path.join(tmpdir_path, "none"), required=["a"]).data.count() == 0
+
+
+def test_headers_of_odd_file_names(spark, tmpdir_path):
+    folder = os.path.join(tmpdir_path, "odd")
+    names = ["a,b.csv", "{x}.csv", "[1]*.csv", "q?.csv", "back\\slash.csv", "ümlaut 1.csv"]
+    for n, name in enumerate(names):
+        _write(folder, name, f"c{n},d\n1,2\n")
+    files = [f"file:{folder}/{name}" for name in names if name != "back\\slash.csv"]
+    got = {r.file.rsplit("/", 1)[-1]: list(r.columns) for r in CSV.header_table(spark, files).collect()}
+    assert got == {name: [f"c{n}", "d"] for n, name in enumerate(names) if name != "back\\slash.csv"}
