@@ -70,6 +70,14 @@ def region_scope(sales: DataFrame, region: str = S.ALL) -> DataFrame:
 # ---------------------------------------------------------------- summary
 
 
+def forecast_maxima(columns: list[str]) -> list:
+    """Aggregates of the forecast columns, where there are any."""
+    if S.HAS_FORECAST not in columns:
+        return []
+    return [F.bool_or(S.HAS_FORECAST).alias(S.HAS_FORECAST), F.max(S.FORECAST_QTY).alias(S.FORECAST_QTY),
+            F.max(S.FORECAST_DAILY).alias(S.FORECAST_DAILY)]
+
+
 def promo_summary(sales: DataFrame, region: str = S.ALL) -> DataFrame:
     """Promotion facts by Article, Bonus Buy, Region (+ Sub Category, PSA).
 
@@ -80,10 +88,7 @@ def promo_summary(sales: DataFrame, region: str = S.ALL) -> DataFrame:
     aggs = [C.exact_sum(S.NET_SALES).alias("PromoSales"),
             C.exact_sum(S.QUANTITY).alias("PromoQuantity"),
             F.countDistinct(S.SALES_DATE).alias("PromoDays")]
-    if S.HAS_FORECAST in sales.columns:
-        aggs += [F.bool_or(S.HAS_FORECAST).alias(S.HAS_FORECAST),
-                 F.max(S.FORECAST_QTY).alias(S.FORECAST_QTY),
-                 F.max(S.FORECAST_DAILY).alias(S.FORECAST_DAILY)]
+    aggs += forecast_maxima(sales.columns)
     return region_scope(sales, region).dropna(subset=keys).groupBy(*keys).agg(*aggs)
 
 
@@ -107,8 +112,14 @@ def analyze_promotions(sales: DataFrame, baselines: DataFrame, min_days: int = S
     With ``apply_thresholds=False`` the facts come back unfiltered and
     unlabelled, for materialising once and thresholding late.
     """
-    summary = promo_summary(sales, region)
-    keys = S.promo_keys(sales.columns)
+    facts = with_baselines(promo_summary(sales, region), baselines, baseline_by)
+    if not apply_thresholds:
+        return facts
+    return label_promotions(valid_filter(facts, min_days, min_baseline), S.promo_keys(sales.columns), S.FORECAST_QTY in facts.columns)
+
+
+def with_baselines(summary: DataFrame, baselines: DataFrame, baseline_by: str = "article") -> DataFrame:
+    """Promotion facts: the summary with baseline sales, uplift and forecast accuracy, no threshold applied."""
     if baseline_by == "region":
         df = summary.join(baselines.select(S.ARTICLE, S.REGION, "Daily_Avg"), [S.ARTICLE, S.REGION], "inner")
     elif baseline_by == "article":
@@ -117,14 +128,11 @@ def analyze_promotions(sales: DataFrame, baselines: DataFrame, min_days: int = S
         raise ValueError(f"baseline_by must be 'article' or 'region', not {baseline_by!r}")
     df = df.withColumn("BaselineSales", F.col("Daily_Avg") * F.col("PromoDays"))
     df = df.withColumn("Uplift_Pct", C.uplift(F.col("PromoSales"), F.col("BaselineSales")))
-    has_fc = S.FORECAST_QTY in df.columns
-    if has_fc:
+    if S.FORECAST_QTY in df.columns:
         acc = C.forecast_accuracy(F.col("PromoQuantity"), F.col(S.FORECAST_QTY))
         df = df.withColumn("Forecast_Accuracy", acc) \
                .withColumn("Forecast_Interpretation", L.forecast_verdict(F.col("Forecast_Accuracy")))
-    if not apply_thresholds:
-        return df
-    return label_promotions(valid_filter(df, min_days, min_baseline), keys, has_fc)
+    return df
 
 
 def valid_filter(df: DataFrame, min_days: int, min_baseline: float = S.MIN_BASELINE_SALES) -> DataFrame:

@@ -69,6 +69,23 @@ def summary_report_reusing_facts(prepared: DataFrame, filters: S.Filters, key: s
     return SummaryReport(filtered, base, valid, P.promo_rollup(valid, include_region_count=True))
 
 
+def summary_report_from_cells(found: DataFrame, filters: S.Filters, key: str) -> SummaryReport:
+    """As ``summary_report``, from saved cells (``operators.partials``) in place of sales rows.
+
+    Baselines and un-thresholded facts are saved once per filter set without ``min_days`` and state of
+    the cells (``key``): another ``min_days`` is a filter on them, an appended batch costs its own rows and the cells.
+    """
+    from promolift.operators import partials as PT
+    from promolift.sources import store as ST
+    spark, saved_key = found.sparkSession, f"{key}|{filters.baseline_key()}"
+    filtered = P.filter_sales(found, filters)
+    base = ST.materialized(spark, "cell_baselines", saved_key, lambda: B.baselines_from(B.stats_from_days(PT.article_days(filtered))),
+                           writer=lambda df, path: df.write.mode("overwrite").parquet(path))
+    stored = ST.materialize_promotions(spark, P.with_baselines(PT.promo_summary(filtered, filters.region), base), f"cells|{saved_key}")
+    valid = ST.min_days_view(stored, filters.min_days)
+    return SummaryReport(filtered, base, valid, P.promo_rollup(valid, include_region_count=True))
+
+
 @dataclass
 class ArticleReport:
     kpis: DataFrame

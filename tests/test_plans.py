@@ -47,3 +47,18 @@ def test_prepare_reads_the_line_items_once(spark):
 def test_article_lookup_is_pushed_down(spark):
     plan = _plan(catalog.run("article_rows", spark, SMALL))
     assert "EqualTo(Article,Brand#1-1)" in plan.replace("`", "")
+
+
+def test_article_info_sorts_no_rows(spark):
+    assert "SortAggregate" not in _plan(catalog.run("article_info", spark, SMALL))
+
+
+def test_clean_rows_are_not_shuffled(spark):
+    """The promo days are small here: their bitmaps are broadcast, the rows stay where they are."""
+    plan = _plan(catalog.run("clean_days", spark, SMALL))
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_filter_choices_come_from_distinct_combinations(spark):
+    plan = _plan(catalog.run("filter_options", spark, SMALL))
+    assert plan.index("Generate") < plan.rindex("HashAggregate")  # the tree is written top down

@@ -90,3 +90,15 @@ def test_types_equal_the_oracle(spark):
         got = {f.name: types.get(f.dataType.simpleString()) for f in catalog.run(name, spark, SMALL).schema.fields}
         want = {c: t for c, t, *_ in con.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
         assert got == want, name
+
+
+def test_verdict_ranks_follow_the_lists(spark):
+    """Ranks over many partitions, ties and hot verdicts: the same as sorting each verdict by itself."""
+    rows = [(f"A{i % 5}", f"B{i}", [0.5, 0.4, -0.5, -0.5, 0.0, None][i % 6] if i % 6 != 2 else -0.3 - (i % 4) / 10) for i in range(300)]
+    rollup = spark.createDataFrame(rows, "`Article` string, `Bonus Buy` string, Uplift_Pct double").repartition(7)
+    from promolift.operators import summary as SM
+    got = SM.verdict_details(rollup).collect()
+    assert len(got) == 300
+    for verdict in {r.Interpretation for r in got}:
+        want = [(r["Article"], r["Bonus Buy"]) for r in SM.verdict_detail(rollup, verdict).collect()]
+        assert [(r["Article"], r["Bonus Buy"]) for r in sorted((r for r in got if r.Interpretation == verdict), key=lambda r: r.Rank)] == want
