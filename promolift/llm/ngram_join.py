@@ -60,17 +60,16 @@ _ROLL = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles; word hashes are remembered up to a bound."""
 
-    def __init__(self, keep: int = 100_000):
-        self.known = Remembered(keep)
+    def __init__(self, keep: int = 24 << 20):
+        self.known = Remembered(keep)  # bytes
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "replace").split()  # ASCII white space
         if not words:
             return np.empty(0, dtype=np.uint64)
-        for w in self.known.missing(set(words)):
-            self.known.young[w] = xxhash.xxh64_intdigest(w)
-        known = self.known.young
-        codes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        self.known.learn((w, xxhash.xxh64_intdigest(w)) for w in self.known.missing(set(words)))
+        codes = np.fromiter(map(self.known.young.__getitem__, words), dtype=np.uint64, count=len(words))
+        self.known.forget()
         n = min(WORDS, len(words))
         out = np.zeros(len(words) - n + 1, dtype=np.uint64)
         for i in range(n):

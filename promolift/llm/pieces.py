@@ -5,14 +5,15 @@ digits, ASCII signs and ASCII white space, on which it is a plain regular
 expression. Equal words have equal ids, so the ids of a word are remembered,
 and new words are encoded many at a time. Any other text is cut at places that
 no word reaches over; a plain piece of it is treated alike, the others go to the
-library as they are. Memory is bounded: there are two generations of
-remembered words, and the older one goes when the younger is full; long texts
-are taken slice by slice.
+library as they are. Memory is bounded in bytes: there are two generations of
+remembered words, and the older one goes when the younger is full; long words
+are not remembered, and long texts are taken slice by slice.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -25,27 +26,48 @@ CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
 class Remembered:
-    """A bounded map with two generations; what is used stays."""
+    """A map bounded in bytes, with two generations; what is used stays.
+
+    Keys over ``LONGEST`` characters are kept only until ``forget`` is called.
+    """
+
+    LONGEST = 64
+    #: Bytes of an entry besides its characters: two objects and their place in the map.
+    ENTRY = 200
 
     def __init__(self, keep: int):
-        self.keep, self.young, self.old = keep, {}, {}
+        self.keep, self.size, self.young, self.old, self.passing = keep, 0, {}, {}, []
 
     def missing(self, keys: set) -> list:
         """The keys that are not known; the known ones are in ``young`` afterwards."""
-        if len(self.young) > self.keep:
-            self.young, self.old = {}, self.young
+        if self.size > self.keep:
+            self.size, self.young, self.old = 0, {}, self.young
         left = keys.difference(self.young)
         old = self.old
         if not old:
             return list(left)
-        self.young.update((k, old[k]) for k in left if k in old)
+        self.learn((k, old[k]) for k in left if k in old)
         return [k for k in left if k not in old]
 
+    def learn(self, pairs: Iterable[tuple]) -> None:
+        for key, value in pairs:
+            self.young[key] = value
+            if len(key) > self.LONGEST:
+                self.passing.append(key)
+            else:
+                self.size += self.ENTRY + 4 * len(key)
+
+    def forget(self) -> None:
+        for key in self.passing:
+            self.young.pop(key, None)
+        self.passing.clear()
+
 
 class WordwiseEncoder:
     """Ids of texts as little-endian 32-bit numbers. Subclasses give the word pattern and the cuts."""
 
-    KEEP = 300_000
+    #: Bytes of remembered words, each of two generations.
+    KEEP = 32 << 20
     #: Characters taken at a time; a longer text is cut into slices of about this size.
     BATCH = 1 << 20
 
@@ -118,17 +140,19 @@ class WordwiseEncoder:
         if new := self.known.missing(set().union(*texts)):
             self._learn(new)
         get = self.known.young.__getitem__
-        return [b"".join(map(get, words)) for words in texts]
+        found = [b"".join(map(get, words)) for words in texts]
+        self.known.forget()
+        return found
 
     def _learn(self, new: list[str]) -> None:
         joint, alone = [], []
         for w in new:
             (joint if w not in self.odd and self.can_join(w) else alone).append(w)
         self.odd.clear()
-        self.known.young.update(zip(joint, self._together(joint), strict=True))
+        self.known.learn(zip(joint, self._together(joint), strict=True))
         if alone:
             found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
-            self.known.young.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(alone, found, strict=True))
+            self.known.learn((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(alone, found, strict=True))
 
     JOINT = ""
 

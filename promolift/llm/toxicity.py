@@ -14,7 +14,7 @@ marks, or whose window has a word of reporting, count as quoted; the others as
 direct. The score is a logistic model over the exact and the misspelled hits, direct and
 quoted, how strong and how dense they are.
 
-The lexicon's terms are counted over all labelled rows. The model is fitted
+The lexicon's terms are counted over all different labelled texts (copies count once, and shared passages too). The model is fitted
 on a bounded sample of them (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, the smallest hashes of their ids, so
 the choice does not depend on the input's order); the bounds are parameters.
 Both classes are counted over all labelled rows, and a sampled row weighs as
@@ -22,7 +22,7 @@ many as it stands for, so that scores and the cut at 0.5 do not depend on
 which bounds the table's size reaches.
 What is broadcast is bounded: the sample's ids, the labels (if counted under
 ``BROADCAST_ROWS``, else they are joined by a shuffle), the lexicon (every term
-that qualifies, up to the ``MAX_TERMS`` surest) and the weights. Scoring is one narrow pass over whole texts.
+that qualifies; its size is counted first, and one beyond ``MAX_LEXICON`` is an error) and the weights. Scoring is one narrow pass over whole texts.
 
 Defined results: a null or empty text has no hits and gets the model's base
 score; rows without a label, or with a null id, are never learned from; without any
@@ -32,21 +32,23 @@ the labelled ones (0 if there is none). Equal texts get equal scores.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolift.llm.common import saved, text_of
+from promolift.llm.pieces import Remembered
 
 MAX_TOXIC, MAX_CLEAN = 6000, 12000
-#: What a worker can hold: terms with their shortened forms (some 100 MB); labels to broadcast.
-MAX_TERMS, BROADCAST_ROWS = 50_000, 2_000_000
-#: A term must be in this many toxic rows, this surely over-represented, and mostly in toxic rows.
-MIN_ROWS, MIN_Z, MIN_LOG_ODDS = 6, 4.0, 2.0
+#: What a worker can hold: bytes of the terms with their shortened forms (more is refused, never cut); labels to broadcast.
+MAX_LEXICON, BROADCAST_ROWS = 256 << 20, 2_000_000
+#: A term must be in this many toxic texts, mostly in toxic ones, and the expected number of terms that are so by luck this small.
+MIN_ROWS, MIN_LOG_ODDS, MAX_LUCK = 6, 2.0, 0.01
 WINDOW = 8
 #: Words that report speech; a hit near one is likelier quoted than meant.
 REPORTING = frozenset((
@@ -117,11 +119,6 @@ def allowed_edits(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 12 else 2
 
 
-def reach(token: str) -> int:
-    """The most edits that any term may have to be met in this token: it can be as many letters shorter than the term."""
-    return 0 if len(token) < 4 else 1 if len(token) < 10 else 2
-
-
 def matches(trie: Trie, word: str, edits: int, swaps: bool = False) -> list[tuple[int, str]]:
     """(distance, term) of every term within ``edits`` of the word: automaton and trie walked together."""
     machine = Automaton(word, edits, swaps)
@@ -145,46 +142,73 @@ def shortened(word: str, edits: int) -> set[str]:
     return out
 
 
+class Pieces:
+    """What a token must have to be within one or two edits of some term: a piece of it, whole.
+
+    One edit (a swap too) leaves the first or the last of two pieces whole that have a letter between
+    them; two edits leave one of three. The middle one of three may have moved by one letter.
+    """
+
+    def __init__(self, terms: list[str], edits: int):
+        self.first: dict[int, set[str]] = {}
+        self.middle: dict[int, set[str]] = {}
+        self.last: dict[int, set[str]] = {}
+        for t in terms:
+            size = (len(t) - edits) // (edits + 1)
+            end = size if edits == 2 else len(t) - 1 - size
+            self.first.setdefault(size, set()).add(t[:size])
+            self.last.setdefault(end, set()).add(t[len(t) - end:])
+            if edits == 2:
+                self.middle.setdefault(size, set()).add(t[size + 1:2 * size + 1])
+
+    def has(self, token: str) -> bool:
+        return any(token[:n] in some for n, some in self.first.items()) \
+            or any(token[len(token) - n:] in some for n, some in self.last.items() if n <= len(token)) \
+            or any(token[n + 1 + by:2 * n + 1 + by] in some for n, some in self.middle.items() for by in (-1, 0, 1))
+
+
 class Matcher:
     """Best lexicon term of a token, remembered for the tokens seen before (up to a bound).
 
-    The automaton is only built for tokens that can match: those that share a
-    shortened form with a term, which is necessary for any match.
+    The automaton is only built for tokens that can match: those with a whole piece of a term, that
+    share a shortened form with one of about their length; both are necessary for any match. Terms are
+    indexed by the edits they allow, so only tokens near a term of two edits are shortened by two letters.
     """
 
-    KEEP = 300_000
+    KEEP = 16 << 20  # bytes, each of two generations
 
     def __init__(self, lexicon: dict[str, float], wide: bool = False):
         self.lexicon, self.wide = lexicon, wide
         self.trie = Trie(sorted(lexicon))
-        self.hits: dict[str, tuple[str, int]] = {}
-        self.misses: set[str] = set()
-        self.forms = set().union(*(shortened(t, allowed_edits(t)) for t in lexicon)) if lexicon else set()
-        self.longest = max(map(len, lexicon), default=0)
+        self.known = Remembered(self.KEEP)
+        #: For each number of edits: the terms' pieces and forms, and the lengths of tokens they can be met in.
+        self.index: dict[int, tuple[Pieces, set[str], set[int]]] = {}
+        for edits in (1, 2):
+            terms = [t for t in lexicon if allowed_edits(t) == edits]
+            if terms:
+                lengths = {len(t) + d for t in terms for d in range(-edits, edits + 1)}
+                self.index[edits] = Pieces(terms, edits), set().union(*(shortened(t, edits) for t in terms)), lengths
 
     def find(self, token: str) -> tuple[str, int] | None:
         """(term, distance) of the nearest term, the first of the nearest in order."""
         if token in self.lexicon:
             return token, 0
-        edits = reach(token) if self.wide else allowed_edits(token)
-        if not edits or len(token) > self.longest + edits or self.forms.isdisjoint(shortened(token, edits)):
+        most = 2 if self.wide else allowed_edits(token)
+        edits = 0
+        for allowed, (pieces, forms, lengths) in self.index.items():
+            reach = min(allowed, most)  # the term must allow the edits, and unless ``wide`` the token too
+            if reach and len(token) in lengths and pieces.has(token) and not forms.isdisjoint(shortened(token, reach)):
+                edits = reach
+        if not edits:
             return None
-        # The term must allow the edits, and unless ``wide`` the token too.
         fit = [(d, t) for d, t in matches(self.trie, token, edits, self.wide) if d <= allowed_edits(t)]
         return (fit[0][1], fit[0][0]) if fit else None
 
     def find_all(self, tokens: set[str]) -> dict[str, tuple[str, int]]:
-        if len(self.hits) + len(self.misses) > self.KEEP:
-            self.hits.clear()
-            self.misses.clear()
-        left = tokens - self.misses
-        out = {}
-        for token in left:
-            best = self.hits.get(token) or self.find(token)
-            if best:
-                self.hits[token] = out[token] = best
-            else:
-                self.misses.add(token)
+        self.known.learn((t, self.find(t)) for t in self.known.missing(tokens))
+        young = self.known.young
+        out = {t: best for t in tokens if (best := young[t])}
+        self.known.forget()
         return out
 
 
@@ -254,16 +278,16 @@ def known_labels(labels: DataFrame, allowed, id_col: str = "doc_id") -> DataFram
 
 
 def labelled(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(toxic, text) of every allowed labelled document, one row an id: of rows that repeat one, the text that sorts first."""
+    """(text, toxic, n_toxic, n_clean) of every different labelled text: copies are one text, with as many rows as they are.
+
+    A text with both labels is toxic if it is so as often as not.
+    """
     known = known_labels(labels, allowed, id_col)
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    return docs.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("text")) \
-        .join(known, id_col).groupBy(id_col, "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
-
-
-def class_sizes(rows: DataFrame) -> dict[int, int]:
-    return {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("text")).join(known, id_col)
+    return rows.groupBy("text").agg(F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(F.col("toxic") == 0).alias("n_clean")) \
+        .withColumn("toxic", F.col("n_toxic") >= F.col("n_clean"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text",
@@ -282,28 +306,89 @@ def sample(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id",
                  "toxic_sample")
 
 
-def learn_lexicon(rows: DataFrame, sizes: dict[int, int], max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Terms of the labelled rows (``sizes`` of each class) that are surely over-represented in toxic rows -> log odds."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
-    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_bad:
+def _words(text: Column, least: int) -> Column:
+    """Words of at least so many letters and digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{{least},}}"), F.lit(0))
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(term, bad, good, n_toxic, n_clean): different texts of each class that hold the term, saved.
+
+    The empty term counts all texts, and the labelled rows they stand for.
+    """
+    words = F.array_union(_words(F.col("text"), 3), F.array(F.lit("")))
+    each = texts.select("toxic", F.explode(words).alias("term"), "n_toxic", "n_clean")
+    return saved(each.groupBy("term").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"),
+                                          F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")), "toxic_terms")
+
+
+def context_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, bad, good): different pairs of neighbours that a term has in texts of each class.
+
+    A passage that many texts share gives its words one context, however many texts hold it.
+    """
+    words = F.concat(F.array(F.lit("")), _words(F.col("text"), 1), F.array(F.lit("")))
+    at = F.sequence(F.lit(1), F.size("w") - 2)
+    triples = F.transform(at, lambda i: F.struct(F.get("w", i).alias("term"), F.get("w", i - 1).alias("left"), F.get("w", i + 1).alias("right")))
+    each = texts.select("toxic", words.alias("w")).where(F.size("w") > 2).select("toxic", F.explode(triples).alias("t")).select("toxic", "t.*")
+    met = each.join(F.broadcast(terms), "term").groupBy("term", "left", "right") \
+        .agg(F.bool_or("toxic").alias("t"), F.bool_or(~F.col("toxic")).alias("c"))
+    return met.groupBy("term").agg(F.count_if("t").alias("bad"), F.count_if("c").alias("good"))
+
+
+def _over(counts: DataFrame, share: float, tests: int) -> DataFrame:
+    """Terms of ``counts`` that are over-represented beyond luck, with their log odds."""
+    n = F.col("bad") + F.col("good")
+    luck = F.col("bad") * F.log(F.col("bad") / n / share) + F.when(
+        F.col("good") > 0, F.col("good") * F.log(F.col("good") / n / max(1 - share, 1e-9))).otherwise(0.0)
+    odds = F.log((F.col("bad") + 0.5) / share) - F.log((F.col("good") + 0.5) / max(1 - share, 1e-9))
+    return counts.where(F.col("bad") >= MIN_ROWS).withColumn("odds", odds) \
+        .where((luck > math.log(max(1, tests) / MAX_LUCK)) & (F.col("odds") > MIN_LOG_ODDS)).select("term", "odds")
+
+
+def learn_lexicon(texts: DataFrame, counts: DataFrame, max_bytes: int = MAX_LEXICON) -> dict[str, float]:
+    """Terms that are surely over-represented in toxic texts -> log odds; all that qualify.
+
+    A term in ``bad`` toxic texts of ``n`` has a chance of at most exp(-n D) to be so by luck, D being the
+    divergence of its share of toxic texts from that of all texts (Chernoff's bound). That must be under
+    ``MAX_LUCK`` divided by the number of terms looked at, or a larger corpus, with more terms, would let
+    more of them in by luck. Terms that pass are counted again by their different contexts, and must
+    pass again: the words of a passage that toxic texts share are not terms of abuse.
+    """
+    whole = counts.where(F.col("term") == "").first()
+    if whole is None or not whole["bad"]:
         return {}
-    each = rows.select("toxic", F.explode(words).alias("term")).groupBy("term").agg(
-        F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    top = each.where(F.col("bad") >= MIN_ROWS).withColumn("odds", odds).withColumn("z", z) \
-        .where((F.col("z") > MIN_Z) & (F.col("odds") > MIN_LOG_ODDS)).orderBy(F.desc("z"), "term").limit(max_terms)
-    return {r["term"]: float(r["odds"]) for r in top.collect()}
+    share = whole["bad"] / (whole["bad"] + whole["good"])
+    seen = counts.where((F.col("term") != "") & (F.col("bad") >= MIN_ROWS))
+    tests = seen.count()
+    first = saved(_over(seen, share, tests).select("term"), "toxic_candidates")
+    _within(first, max_bytes)
+    top = saved(_over(context_counts(texts, first), share, tests), "toxic_lexicon")
+    return {r["term"]: float(r["odds"]) for r in top.orderBy("term").collect()}
+
+
+def _within(terms: DataFrame, max_bytes: int) -> None:
+    """Terms go to every worker: their size is counted first."""
+    size = terms.agg(F.coalesce(F.sum(form_bytes(F.length("term"))), F.lit(0))).first()[0]
+    if size > max_bytes:
+        raise ValueError(f"the lexicon would take {size} bytes in each worker; the bound is {max_bytes}")
+
+
+def form_bytes(n: Column) -> Column:
+    """Bytes that a term of ``n`` characters takes in a worker with its shortened forms, generously."""
+    forms = F.when(n < 5, 1).when(n < 12, n + 1).otherwise(n * n / 2 + n + 1)
+    return (forms * (120 + n)).cast("long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text",
           max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, wide: bool = False) -> tuple[dict[str, float], np.ndarray]:
     """(lexicon, weights): terms from all labelled rows, weights from the bounded sample. ``wide`` as in ``score``."""
     rows = sample(docs, labels, allowed, id_col, text_col, max_toxic, max_clean)
-    known = labelled(docs, labels, allowed, id_col, text_col)
-    sizes = class_sizes(known)
-    lexicon = learn_lexicon(known, sizes)
+    texts = labelled(docs, labels, allowed, id_col, text_col)
+    counts = term_counts(texts)
+    whole = counts.where(F.col("term") == "").first()
+    sizes = {1: whole["n_toxic"], 0: whole["n_clean"]} if whole else {}
+    lexicon = learn_lexicon(texts, counts)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(lexicon, wide)

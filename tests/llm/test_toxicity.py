@@ -139,3 +139,79 @@ def test_terms_are_counted_over_all_labelled_rows(spark, make_docs):
     lexicon, _ = T.learn(docs, marks, F.lit(True), max_toxic=12, max_clean=24)
     assert set(lexicon) == {"grimwort"}
     assert lexicon == T.learn(docs, marks, F.lit(True))[0]
+
+
+def brute(text, lexicon, weights):
+    """Spans and score of a text, every token against every term, all features by plain loops."""
+    low = text.lower()
+    tokens, word = [], ""
+    for i, c in enumerate(low + " "):
+        if c.isalnum():
+            word += c
+        elif word:
+            tokens.append((i - len(word), i, word))
+            word = ""
+    spans = []
+    for k, (start, end, token) in enumerate(tokens):
+        fit = sorted((d, t) for t in lexicon if (d := distance_with_swaps(token, t)) <= T.allowed_edits(t))
+        if token in lexicon:
+            fit = [(0, token)]
+        if fit:
+            near = [w for _, _, w in tokens[max(0, k - 8):k + 9]]
+            before = text[max(0, start - 120):start].split("\n")[-1]
+            after = text[end:end + 120].split("\n")[0]
+            in_marks = any(c in T.MARKS for c in after) and sum(c in T.MARKS for c in before) % 2 == 1
+            spans.append((start, end, fit[0][1], fit[0][0], in_marks or any(w in T.REPORTING for w in near)))
+    x = [1.0] + [0.0] * 8
+    if spans:
+        direct = [s for s in spans if s[3] == 0 and not s[4]]
+        starts = [s[0] for s in spans]
+        x = [1.0, min(1, len(direct)), np.log1p(sum(lexicon[t] for t in {s[2] for s in direct})),
+             np.log1p(sum(1 for s in spans if s[3] and not s[4])), np.log1p(sum(1 for s in spans if not s[3] and s[4])),
+             np.log1p(sum(1 for s in spans if s[3] and s[4])),
+             np.log1p(max(sum(1 for b in starts if a <= b < a + 200) - 1 for a in starts)),
+             np.log1p(len({s[2] for s in spans if not s[4]})), np.log1p(100 * sum(1 for s in spans if not s[3]) / (1 + len(text) / 6))]
+    return spans, 1 / (1 + np.exp(-np.dot(x, weights)))
+
+
+def test_spans_features_and_scores_equal_brute_force(make_docs):
+    rng = np.random.default_rng(12)
+    lexicon = {"idiot": 3.0, "moron": 2.5, "scum": 2.0, "worthless": 3.5, "disgusting": 1.5, "incomprehensible": 2.2, "trash": 1.0}
+    weights = rng.normal(size=len(T.FEATURES))
+    words = ["plain", "word", "said", "term", '"', "“", "”", "\n", "x9", "Straße", "ride", "rash", "crash", "scrum"]
+
+    def typo(t):
+        i = int(rng.integers(0, len(t) - 1))
+        return [t, t[:i] + t[i + 1:], t[:i] + "q" + t[i:], t[:i] + t[i + 1] + t[i] + t[i + 2:], t[:i] + "z" + t[i + 1:], t.upper()][int(rng.integers(0, 6))]
+    texts = []
+    for n in range(150):
+        some = [typo(typo(str(rng.choice(list(lexicon))))) if rng.random() < 0.15 else str(rng.choice(words)) for _ in range(int(rng.integers(0, 60)))]
+        texts.append(" ".join(some))
+    got = {r["doc_id"]: r for r in rows_of(T.score(make_docs(list(enumerate(texts))), (lexicon, weights), wide=True))}
+    for i, text in enumerate(texts):
+        spans, score = brute(text, lexicon, weights)
+        assert [tuple(s.values()) for s in got[i]["spans"]] == spans
+        assert got[i]["score"] == pytest.approx(score, rel=1e-9)
+
+
+def test_words_of_a_shared_passage_are_no_terms(spark, make_docs):
+    """Copies and near copies of a toxic text, however many, teach none of its plain words."""
+    rng = np.random.default_rng(3)
+    clean = [f"word{i}" for i in range(200)]
+    passage = " ".join(f"passage{i}" for i in range(40))
+    rows, labels = [], []
+    for i in range(900):
+        words = list(rng.choice(clean, 30))
+        toxic = i < 300
+        if toxic and i < 200:
+            words = words[:int(rng.integers(1, 9))] + [passage if i < 150 else passage.replace(f"passage{i % 40} ", "")] + words[20:]
+        if toxic:
+            words.insert(int(rng.integers(0, len(words))), "scum")
+            rows.append((i, " ".join(words)))
+        else:
+            rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lexicon, _ = T.learn(make_docs(rows), marks, F.lit(True))
+    # The passage's own border words have many contexts; its inner words have few.
+    assert "scum" in lexicon and len([t for t in lexicon if t.startswith("passage")]) <= 2
