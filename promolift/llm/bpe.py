@@ -5,16 +5,16 @@ without regard to words. The leaves are encoded in parallel by different
 tasks, then neighbours are joined bottom-up: a window around the join is
 encoded anew, and grows until it agrees with both sides.
 
-Why the result is exact. In BPE a sequence of tokens is *the* encoding of
-its text if every adjacent pair is the encoding of the pair's own text. Pairs
-left of the window's first agreed token come from the left side, those after
-its last agreed token from the right side, all others from the window: each
-is valid. Words (the pre-tokenizer's pieces) end where the kind of character
-changes, which both sides of an agreed token see alike; where they do not
-(a contraction cut by the border) the tokens differ there and the window
-grows. Agreement within ``GUARD`` bytes of the join does not count, so that a
-special token across the join lies in the window. A window that reaches both
-ends is the whole text.
+Why the result is exact. Within a word (a piece of the pre-tokenizer) tokens are *the* encoding of
+their text if every adjacent pair is the encoding of the pair's own text. At each side of the join a token is
+looked for that window and side have alike, at the same place, with ``GUARD`` bytes of the window
+between it and both the join and the window's end. There the sides are spliced: pairs up to
+the left token come from the left side, from there to the right token from the window, then from the right side, so
+each pair is valid. Words are alike too: where a word ends depends on the kinds of the characters around
+(one after white space included, of which the pre-tokenizer looks at the next character), and on the run that
+a character stands in. Within ``GUARD`` bytes either the kind changes, which both see alike, or
+both are within one run, whose end both see. A special token across the join lies in the window.
+Where a window reaches an end of the text, nothing needs to agree there.
 
 Within a leaf, equal words are encoded once by a worker (``pieces``), by the
 library itself.
@@ -91,41 +91,43 @@ def leaves(text: str, size: int = LEAF) -> list[str]:
     return leaves(text[:half], size) + leaves(text[half:], size)
 
 
-def _starts_char(data: bytes, at: int) -> bool:
-    return at >= len(data) or data[at] & 0xC0 != 0x80
-
-
 def join(codec: Codec, left: tuple[bytes, np.ndarray], right: tuple[bytes, np.ndarray]) -> tuple[bytes, np.ndarray]:
     """Ids of the concatenation from the ids of both sides (text bytes, ids)."""
     (lb, li), (rb, ri) = left, right
     if not lb or not rb:
         return lb + rb, li if not rb else ri
+    middle = len(lb)
     left_at = np.concatenate([[0], np.cumsum(codec.n_bytes[li])])    # where tokens begin, and the end
-    right_at = np.concatenate([[0], np.cumsum(codec.n_bytes[ri])])
+    right_at = middle + np.concatenate([[0], np.cumsum(codec.n_bytes[ri])])
     width = FIRST_WINDOW
     while True:
-        i = max(0, int(np.searchsorted(left_at, len(lb) - width, "right")) - 1) if width < len(lb) else 0
-        while i > 0 and not _starts_char(lb, int(left_at[i])):
-            i -= 1
-        j = int(np.searchsorted(right_at, width, "left")) if width < len(rb) else len(ri)
-        while j < len(ri) and not _starts_char(rb, int(right_at[j])):
-            j += 1
-        a, b = int(left_at[i]), int(right_at[j])
+        a = _char_start(lb, max(0, middle - width), -1)
+        b = _char_start(rb, min(len(rb), width), 1)
         ids = codec.encode((lb[a:] + rb[:b]).decode("utf-8", "replace"))
-        if _agrees(codec, ids, li[i:], len(lb) - a, i == 0) and \
-                _agrees(codec, ids[::-1], ri[:j][::-1], b, j == len(ri)):
-            return lb + rb, np.concatenate([li[:i], ids, ri[j:]])
+        at = a + np.concatenate([[0], np.cumsum(codec.n_bytes[ids])])
+        first = _alike(at, ids, left_at, li, a + GUARD, middle - GUARD)
+        last = _alike(at, ids, right_at, ri, middle + GUARD, middle + b - GUARD)
+        if (a == 0 or len(first[0])) and (b == len(rb) or len(last[0])):
+            head, i = (0, 0) if a == 0 else (first[1][0], first[0][0])
+            j, tail = (len(ids), len(ri)) if b == len(rb) else (last[0][-1] + 1, last[1][-1] + 1)
+            return lb + rb, np.concatenate([li[:head], ids[i:j], ri[tail:]])
         width *= 2
 
 
-def _agrees(codec: Codec, ids: np.ndarray, side: np.ndarray, room: int, at_end: bool) -> bool:
-    """True if the window's outermost token is the side's, and lies clear of the join.
+def _char_start(data: bytes, at: int, step: int) -> int:
+    """The nearest border of characters from ``at``, going by ``step``."""
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at += step
+    return at
 
-    Nothing needs to agree where the window reaches the end of the text.
-    """
-    if at_end:
-        return True
-    return bool(len(ids) and len(side) and ids[0] == side[0] and codec.n_bytes[ids[0]] <= room - GUARD)
+
+def _alike(at: np.ndarray, ids: np.ndarray, side_at: np.ndarray, side: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (window, side) of equal tokens at the same place, whole within [low, high]."""
+    begin, end = np.searchsorted(side_at[:-1], [low, high])
+    _, i, j = np.intersect1d(at[:-1], side_at[begin:end], assume_unique=True, return_indices=True)
+    j += begin
+    ok = (ids[i] == side[j]) & (at[i + 1] <= high)
+    return i[ok], j[ok]
 
 
 def concatenate(codec: Codec, parts: list[tuple[bytes, np.ndarray]]) -> np.ndarray:

@@ -49,6 +49,43 @@ def test_long_unsplit_texts(text):
         assert by_tree(text, size) == library(text)
 
 
+SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace()] + ["\u200b", "\ufeff"]
+
+
+@pytest.mark.parametrize("space", SPACES)
+def test_white_space_near_a_window_end(space):
+    """A window that ends after white space sees one run where the whole text has two pieces."""
+    filler = "The cat sat. " * 60
+    for k in range(0, 24):
+        for run in (space, " " + space, space * 2, space + " "):
+            right = ("the cat " * 40)[:124 - k] + "." + run + "|" + "x y " * 10 + filler
+            left = filler[:500]
+            joined = B.concatenate(CODEC, [(p.encode(), CODEC.encode(p)) for p in (left, right)])
+            assert joined.tolist() == library(left + right)
+
+
+@pytest.mark.parametrize("space", ["\x85", "\u2003", "\u2009", "\u2028", " "])
+def test_white_space_at_the_real_leaf(space):
+    filler = "The cat sat. " * 4000
+    for k in range(12):
+        text = (filler[:20000] + ("the cat " * 40)[:124 - k] + "." + " " + space + "|" + "x y " * 10 + filler)[:40_000]
+        assert by_tree(text, B.LEAF) == library(text)
+
+
+def test_random_joins():
+    """Random texts of kinds that change often, cut anywhere: joins equal the library."""
+    rng = random.Random(77)
+    bits = [*SPACES, " ", " ", "'", "'s", "'ll", "a", "bc", "Word", "12", "!", "?'", "''", "é", "한", "𝒳", "<|endoftext|>", "<|endo", "\n\n", "   "]
+    for n in range(400):
+        some = rng.sample(bits, rng.randrange(2, 9)) if n % 2 else bits
+        text = "".join(rng.choice(some) * rng.choice((1, 1, 1, 2, 40)) for _ in range(rng.randrange(100, 400)))
+        want = library(text)
+        for _ in range(5):
+            at = rng.randrange(len(text))
+            parts = [(p.encode(), CODEC.encode(p)) for p in (text[:at], text[at:])]
+            assert B.concatenate(CODEC, parts).tolist() == want
+
+
 def test_random_unsplit_letters():
     rng = random.Random(8)
     for _ in range(20):

@@ -16,13 +16,13 @@ def test_registry():
     import __spark_entry__ as entry
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names and set(oracle.ORACLE) <= set(entry.oracle_sql()) <= names
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     want = con.sql(oracle.ORACLE[name])
     got = queries.QUERIES[name](spark, SMALL)
