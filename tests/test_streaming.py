@@ -47,3 +47,33 @@ def test_stream_maps_columns_by_header(spark, tmpdir_path):
     assert rows["12"][S.REGION] == "R1" and rows["12"]["Note"] is None and len(rows) == 2
     rejected = STREAM.read_rejected(spark, table).collect()
     assert [r.file.endswith("bad.csv") for r in rejected] == [True] and S.PSA in rejected[0].missing
+
+
+def test_a_batch_opens_only_batches_with_its_files(spark, tmpdir_path, monkeypatch):
+    """Batches of new files read nothing of the table; a file that comes again reads the batches that hold it."""
+    table, opened = os.path.join(tmpdir_path, "table"), []
+    read = STREAM.read_batches
+    monkeypatch.setattr(STREAM, "read_batches", lambda spark, t, batches: opened.append(batches) or read(spark, t, batches))
+    header = "Region,PSA,Sub Category,Bonus Buy,Sales Date,Promotion Status,Article,Net Sales,Sales Quantity\n"
+    run = STREAM.append_batch(table)
+
+    def deliver(batch_id, folder, files):
+        paths = []
+        for name, lines in files.items():
+            os.makedirs(os.path.join(tmpdir_path, folder), exist_ok=True)
+            path = os.path.join(tmpdir_path, folder, name)
+            with open(path, "w") as fh:
+                fh.write(header + "".join(f"R,P,S,BB,2025-01-0{n},PROMO,A{n},1,1\n" for n in lines))
+            paths.append((f"file:{path}",))
+        run(spark.createDataFrame(paths, "path string"), batch_id)
+    for n in range(4):
+        deliver(n, "in", {f"f{n}.csv": [1, 2]})
+    assert opened == []
+    deliver(4, "again", {"f1.csv": [1, 2, 3], "f9.csv": [1]})
+    assert opened == [[1]]
+    deliver(4, "again", {"f1.csv": [1, 2, 3], "f9.csv": [1]})  # replayed
+    assert opened == [[1], [1]]
+    deliver(5, "third", {"f1.csv": [2, 3, 4]})
+    assert opened[-1] == [1, 4]
+    rows = sorted((r[S.SOURCE_FILE], r[S.ARTICLE]) for r in STREAM.read_ingested(spark, table).collect())
+    assert rows == sorted([(f"f{n}.csv", a) for n in range(4) for a in ("A1", "A2")] + [("f1.csv", "A3"), ("f9.csv", "A1"), ("f1.csv", "A4")])
