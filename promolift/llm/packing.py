@@ -25,11 +25,11 @@ packed each; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,46 +169,69 @@ class Packer:
 
 
 PACKED = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+#: Pieces are handed on when they hold so many bytes of ids, or are so many.
+FLUSH_BYTES, FLUSH_ROWS = 2 << 20, 5000
+#: Characters of the texts that are encoded at a time (a longer text comes alone).
+ENCODE_CHARS = 1 << 18
+
+
+def some_at_a_time(ids: Iterable, texts: Iterable[str], most: int = ENCODE_CHARS) -> Iterator[tuple[list, list[str]]]:
+    """Rows in lists of at most ``most`` characters in all; a longer text is a list of its own."""
+    some, size = ([], []), 0
+    for i, text in zip(ids, texts, strict=True):
+        if some[0] and size + len(text) > most:
+            yield some
+            some, size = ([], []), 0
+        some[0].append(i)
+        some[1].append(text)
+        size += len(text)
+    if some[0]:
+        yield some
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
                    window: int = WINDOW, max_open: int = MAX_OPEN, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its ids).
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its ids, as
+    little-endian unsigned 32-bit numbers in a binary column).
 
     ``path`` is a tokenizer file that the executors can read.
     """
     ready(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
+    names = [c.split()[0] for c in PACKED.split(", ")]
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = shared(WordEncoder, path), Packer(window, max_open)
         number = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
+        held = 0
 
-        def emit(done: list[Window]) -> None:
-            nonlocal number
+        def emit(done: list[Window]) -> bool:
+            """Take finished windows; whether enough is held to hand on."""
+            nonlocal number, held
             for w in done:
                 offset = 0
                 for p in w.pieces:
-                    row = (p.doc, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, number, offset)
-                    out.append((*row, np.frombuffer(p.ids, dtype="<i4")) if with_ids else row)
+                    out.append((p.doc, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, number, offset, p.ids if with_ids else None))
                     offset += len(p)
+                held += 4 * offset * with_ids
                 number += 1
+            return held >= FLUSH_BYTES or len(out) >= FLUSH_ROWS
 
-        def frame() -> pd.DataFrame:
-            rows = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
-                                              *(["ids"] if with_ids else [])])
+        def batch_of() -> pa.RecordBatch:
+            nonlocal held
+            columns = list(zip(*out, strict=True)) if out else [()] * (len(names) + 1)
+            arrays = [pa.array(c, pa.int64()) for c in columns[:-1]] + ([pa.array(columns[-1], pa.binary())] if with_ids else [])
             out.clear()
-            return rows.astype({"doc_id": "Int64"})
+            held = 0
+            return pa.RecordBatch.from_arrays(arrays, [*names, *(["ids"] if with_ids else [])])
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.iloc[at:at + 256]
-                for doc, ids in zip(some["id"], encoder.encode_many(some["text"].to_list()), strict=True):
+            for docs_, texts in some_at_a_time(batch.column("id").to_pylist(), map(str, batch.column("text"))):
+                for doc, ids in zip(docs_, encoder.encode_many(texts), strict=True):
                     ids += end
-                    emit(packer.add(Piece(None if pd.isna(doc) else int(doc), 0, ids, len(ids) // 4)))
-                if len(out) > 5000:
-                    yield frame()
+                    if emit(packer.add(Piece(doc, 0, ids, len(ids) // 4))):
+                        yield batch_of()
         emit(packer.close())
-        yield frame()
+        yield batch_of()
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(pack, PACKED + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(pack, PACKED + (", ids binary" if with_ids else ""))
