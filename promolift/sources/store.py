@@ -182,6 +182,65 @@ def append_dedup(existing: DataFrame, new: DataFrame, existing_is_distinct: bool
     return existing.unionByName(new_rows_only(new, existing), allowMissingColumns=True)
 
 
+# ---------------------------------------------------------------- appends with an index of digests
+
+
+_DIGEST, _MONTH, _BATCH = "_digest", "_month", "_batch"
+
+
+def row_digest(columns: list[str]):
+    """Digest of a row: the same whatever the order of the columns, and with further columns that are NULL."""
+    each = [F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.lit(c), F.col(f"`{c}`").cast("string"))).otherwise(F.lit(0).cast("long"))
+            for c in columns]
+    return reduce(lambda a, b: a.bitwiseXOR(b), each)
+
+
+def read_indexed(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of an indexed table."""
+    return spark.read.option("mergeSchema", True).parquet(base).drop(_DIGEST, _MONTH, _BATCH)
+
+
+def _months(spark: SparkSession, base: str, months: list[int]) -> list[str]:
+    return [p for m in months if path_exists(spark, p := f"{base}/{_MONTH}={m}")]
+
+
+def append_indexed(new: DataFrame, base: str, batch: str, date_col: str = S.SALES_DATE) -> None:
+    """Append the rows of ``new`` that the indexed table ``base`` does not hold, duplicates removed.
+
+    The table lies in one folder a month of ``date_col`` (equal rows have equal dates), each row with the digest of all
+    its columns. Of the months that the new rows touch, and no others, the digests alone are read, and meet the
+    new ones in a join on one long; only for digests that are there already are whole rows compared, null-safe on
+    every column. So a batch costs its own rows and the digests of its months, however large the table is. The
+    same batch again replaces itself.
+    """
+    from pyspark.errors import AnalysisException
+    spark = new.sparkSession
+    names = new.columns
+    month = F.coalesce(F.year(date_col) * 100 + F.month(date_col), F.lit(0)).cast("int")
+    fresh = new.dropDuplicates().withColumns({_DIGEST: row_digest(names), _MONTH: month})
+    path = f"{work_dir(spark)}/append-{uuid.uuid4().hex}"
+    fresh.write.partitionBy(_MONTH).parquet(path)
+    try:
+        fresh = spark.read.parquet(path)
+    except AnalysisException:  # no row, no file
+        return
+    touched = _months(spark, base, [r[_MONTH] for r in fresh.select(_MONTH).distinct().collect()])  # as many as months
+    if touched:
+        stored = spark.read.option("mergeSchema", True).option("basePath", base).parquet(*touched).where(F.col(_BATCH) != batch)
+        same, small = saved_measured(stored.select(_DIGEST).join(fresh.select(_DIGEST).distinct(), _DIGEST, "left_semi").distinct(), "append_same")
+        if not same.isEmpty():
+            same = F.broadcast(same) if small else same
+            alike = stored.join(same, _DIGEST, "left_semi").drop(_DIGEST, _MONTH, _BATCH)
+            kept = new_rows_only(fresh.join(same, _DIGEST, "left_semi").select(*[F.col(f"`{c}`") for c in names]), alike)
+            kept = kept.withColumns({_DIGEST: row_digest(names), _MONTH: month})
+            fresh = fresh.join(same, _DIGEST, "left_anti").unionByName(kept, allowMissingColumns=True)
+    (fresh.withColumn(_BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(_MONTH, _BATCH).parquet(base))
+
+
+# ---------------------------------------------------------------- saved promotions
+
+
 def materialize_promotions(spark: SparkSession, facts: DataFrame, key: str) -> DataFrame:
     """Un-thresholded promotion facts, written once per filter set without ``min_days``.
 

@@ -157,3 +157,37 @@ def test_headers_of_odd_file_names(spark, tmpdir_path):
     files = [f"file:{folder}/{name}" for name in names if name != "back\\slash.csv"]
     got = {r.file.rsplit("/", 1)[-1]: list(r.columns) for r in CSV.header_table(spark, files).collect()}
     assert got == {name: [f"c{n}", "d"] for n, name in enumerate(names) if name != "back\\slash.csv"}
+
+
+def test_indexed_appends(spark, tmpdir_path):
+    """Appends equal appends by comparing everything, with new columns, NULLs, replays and months of their own."""
+    import datetime as dt
+    base = os.path.join(tmpdir_path, "table")
+    d = [dt.date(2025, m, 1) for m in range(1, 5)]
+    schema = "`Sales Date` date, v string, x double"
+    one = spark.createDataFrame([(d[0], "A", 1.0), (d[0], "A", 1.0), (d[1], None, 2.0), (None, "N", None)], schema)
+    two = spark.createDataFrame([(d[0], "A", 1.0, None), (d[0], "A", 1.0, "x"), (d[1], None, 2.0, None), (d[2], "C", 3.0, None), (None, "N", None, None)],
+                                schema + ", Note string")
+    want = ST.append_dedup(one.dropDuplicates(), two)
+    ST.append_indexed(one, base, "one")
+    ST.append_indexed(two, base, "two")
+    ST.append_indexed(two, base, "two")
+    ST.append_indexed(one.limit(0), base, "none")
+    got = ST.read_indexed(spark, base)
+    assert sorted(got.columns) == sorted(want.columns)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got.select(*want.columns).collect())) == sorted(map(key, want.collect()))
+
+
+def test_an_append_opens_only_the_months_it_touches(spark, tmpdir_path, monkeypatch):
+    import datetime as dt
+    base, asked = os.path.join(tmpdir_path, "table"), []
+    months = ST._months
+    monkeypatch.setattr(ST, "_months", lambda *args: asked.append(months(*args)) or asked[-1])
+    for m in range(1, 10):
+        rows = spark.createDataFrame([(dt.date(2025, m, 1 + i), str(i)) for i in range(5)], "`Sales Date` date, v string")
+        ST.append_indexed(rows, base, f"b{m}")
+    assert asked == [[]] * 9  # a month that is new: nothing of the table is read
+    ST.append_indexed(spark.createDataFrame([(dt.date(2025, 3, 1), "0"), (dt.date(2025, 3, 9), "new")], "`Sales Date` date, v string"), base, "late")
+    assert [[p.rsplit("=", 1)[-1] for p in a] for a in asked[9:]] == [["202503"]]
+    assert ST.read_indexed(spark, base).count() == 46
