@@ -61,3 +61,74 @@ def test_nothing_learned_and_empty(make_docs):
     none = L.train(make_docs([(1, None)]))
     assert [r["lang_pred"] for r in rows_of(L.predict(make_docs([(1, "words")]), none))] == ["und"]
     assert L.predict(make_docs([]), none).count() == 0
+
+
+def plain_cells(text):
+    """Trigram counts by cell, byte by byte."""
+    data = text.lower().encode()
+    data += b" " * (3 - len(data))
+    out = {}
+    for i in range(len(data) - 2):
+        code = (data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435769 % (1 << 32) >> 16
+        out[code] = out.get(code, 0) + 1
+    return out
+
+
+def plain_mixture(n, columns):
+    """Expectation-maximisation over (cell -> count) with plain loops; columns: cell -> P."""
+    share = [1 / len(columns)] * len(columns)
+    total = sum(n.values())
+    for _ in range(L.ROUNDS):
+        new = [0.0] * len(columns)
+        for cell, count in n.items():
+            weight = [s * p[cell] for s, p in zip(share, columns, strict=True)]
+            for i, w in enumerate(weight):
+                new[i] += count * w / sum(weight) / total
+        moved = max(abs(a - b) for a, b in zip(new, share, strict=True))
+        share = new
+        if moved < 1e-4:
+            break
+    return share, sum(count * np.log(sum(s * p[cell] for s, p in zip(share, columns, strict=True))) for cell, count in n.items())
+
+
+def plain_predict(text, langs, tables):
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, []
+    n = plain_cells(text)
+    total = {x: sum(tables[x].values()) for x in langs}
+    p = {x: {c: (tables[x].get(c, 0) + 0.5) / (total[x] + 0.5 * 65536) for c in n} for x in langs}
+    alone = {x: sum(k * np.log(p[x][c]) for c, k in n.items()) for x in langs}
+    chosen = [max(langs, key=lambda x: alone[x])]
+    best, shares = alone[chosen[0]], [1.0]
+    full = dict(zip(langs, plain_mixture(n, [p[x] for x in langs])[0], strict=True))
+    for x in sorted((x for x in langs if x != chosen[0]), key=lambda x: -full[x]):
+        if full[x] * sum(n.values()) < 2:
+            break
+        trial, likelihood = plain_mixture(n, [p[y] for y in [*chosen, x]])
+        if 2 * (likelihood - best) <= 2.0 * np.log(max(2, sum(n.values()))):
+            break
+        chosen, best, shares = [*chosen, x], likelihood, trial
+    order = sorted(range(len(chosen)), key=lambda i: (-shares[i], chosen[i]))
+    return chosen[order[0]], min(1.0, shares[order[0]]), [chosen[i] for i in order]
+
+
+def test_equals_brute_force(make_docs):
+    """Counts, likelihoods, mixtures and the chosen languages, against plain Python over the same rows."""
+    rows = [(i, shuffled(x, i, 30), "s", x) for i in range(12) for x in SAMPLES] + [(500, None, "s", "en"), (501, "lost", "s", None)]
+    tables = {x: {} for x in SAMPLES}
+    for _, text, _, lang in rows:
+        if text is not None and lang is not None:
+            for c, k in plain_cells(text).items():
+                tables[lang][c] = tables[lang].get(c, 0) + k
+    model = L.train(make_docs(rows))
+    assert model[0] == sorted(SAMPLES)
+    rng = np.random.default_rng(6)
+    texts = [None, "", "123", "é", "ab"]
+    for n in range(40):
+        some = rng.choice(sorted(SAMPLES), int(rng.integers(1, 4)), replace=False)
+        texts.append(" ".join(shuffled(str(x), 50 + n, int(rng.integers(2, 80))) for x in some))
+    got = {r["doc_id"]: r for r in rows_of(L.predict(make_docs(list(enumerate(texts))), model))}
+    for i, text in enumerate(texts):
+        lang, score, languages = plain_predict(text, sorted(SAMPLES), tables)
+        assert (got[i]["lang_pred"], got[i]["languages"]) == (lang, languages)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6)
