@@ -1,10 +1,13 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from promolift.llm import oracle, queries
+from promolift.llm import oracle, queries, secrets
+from promolift.llm.bpe import tokenizer_path
 from promolift.llm.common import table
 from tests.conftest import SMALL
 from tests.llm.conftest import rows_of
@@ -75,3 +78,83 @@ def test_run_and_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
+
+
+def plain_redacted(rows):
+    """Texts with the secrets of fewer than three owners cut out: spans, owners and cutting in plain Python."""
+    patterns = [(re.compile(p, re.ASCII), group, least) for p, group, least in secrets.KINDS.values()]
+    found, owners = {}, {}
+    for i, text, source in rows:
+        for rank, (pattern, group, least) in enumerate(patterns):
+            for m in pattern.finditer(text or ""):
+                if len(m.group(group)) >= least:
+                    found.setdefault(i, []).append((m.start(), rank, m.end(), m.group(group)))
+                    owners.setdefault(m.group(group), set()).add(source)
+    out = {}
+    for i, text, _ in rows:
+        cut, at = "", 0
+        for start, _, end, value in sorted(found.get(i, [])):
+            if len(owners[value]) < 3:
+                cut += (text[at:start] + "[SECRET]") if start >= at else ""
+                at = max(at, end)
+        out[i] = None if text is None else cut + text[at:]
+    return out
+
+
+def test_secret_stage_equals_brute_force(spark):
+    docs = table(spark, SMALL.replace("0.001", "0.01"), "documents")  # large enough to hold live secrets
+    want = plain_redacted([(r["doc_id"], r["text"], r["source"]) for r in rows_of(docs)])
+    got = {r["doc_id"]: r["text"] for r in rows_of(corpus_pipeline.secret_scan(spark, docs, SMALL))}
+    assert got == want and sum("[SECRET]" in (t or "") for t in got.values()) > 0
+
+
+def test_sequences_hold_the_librarys_ids(spark):
+    """Pieces put together by document are the library's ids with the end token; by sequence they have no gap."""
+    docs = table(spark, SMALL, "documents")
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    pieces, sequences = {}, {}
+    for r in rows_of(corpus_pipeline.sequences(spark, docs, SMALL)):
+        ids = np.frombuffer(r["ids"], dtype="<u4").tolist()
+        assert len(ids) == r["length"]
+        pieces.setdefault(r["doc_id"], []).append((r["start"], ids))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], len(ids)))
+    for r in rows_of(docs):
+        want = library.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        assert sum((ids for _, ids in sorted(pieces[r["doc_id"]])), []) == want
+    for parts in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(parts)]).tolist()
+        assert [at for at, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
+def test_quality_stage_equals_brute_force(spark):
+    """Every rule of the policy, not the base rules alone."""
+    docs = table(spark, SMALL, "documents")
+    stay = []
+    for r in rows_of(docs):
+        text = r["text"] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, chars = len(words), sum(map(len, words))
+        repeated, seen = set(), {}
+        for k in range(n - 2):
+            seen.setdefault(tuple(words[k:k + 3]), []).append(k)
+        for places in seen.values():
+            if len(places) > 1:
+                repeated.update(j for k in places for j in (k, k + 1, k + 2))
+        failed = [n < 50, 100 * len(repeated) > 50 * n, 10 * len(re.findall(r"[#*$%&|<>]", text)) > n,
+                  100 * (len(lines) - len(set(lines))) > 60 * len(lines), chars < 2 * n, chars > 20 * n,
+                  2 * sum(any(c.isalpha() for c in w) for w in words) < n]
+        if not any(failed):
+            stay.append(r["doc_id"])
+    assert sorted(r["doc_id"] for r in rows_of(corpus_pipeline.quality_rules(spark, docs, SMALL))) == sorted(stay)
+
+
+def test_clashing_columns_travel_through(spark):
+    """Columns with the names that stages use inside stay as they are."""
+    names = ["_hash", "_live", "key", "grp", "digest", "row", "rule_bits", "spans", "_doc", "_name"]
+    docs = table(spark, SMALL, "documents").selectExpr("*", *[f"concat('c', doc_id) AS `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns[-len(names):] == names, name
+    rows = rows_of(docs)
+    assert rows and all(r[n] == f"c{r['doc_id']}" for r in rows for n in names)
