@@ -26,7 +26,6 @@ an article found in many descriptions is combined map-side.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 from itertools import groupby
@@ -37,7 +36,6 @@ from pyspark.sql import types as T
 
 from promolift import schema as S
 from promolift.functions import clean as C
-from promolift.session import work_dir
 
 # Broadcast the article side (or the per-article match table) only under this
 # many bytes, computed from a counted bound, never from a planner estimate
@@ -228,11 +226,8 @@ def promo_articles(sales: DataFrame) -> DataFrame:
 
 def saved_articles(sales: DataFrame) -> DataFrame:
     """``promo_articles`` written to the work folder: the sales are read once for it, whatever follows."""
-    from promolift.sources.store import write_parquet
-    spark = sales.sparkSession
-    path = f"{work_dir(spark)}/promo_articles-{uuid.uuid4().hex}"
-    write_parquet(promo_articles(sales), path)
-    return spark.read.parquet(path)
+    from promolift.sources.store import saved_rows
+    return saved_rows(promo_articles(sales), "promo_articles")
 
 
 def forecast_match(articles: DataFrame, fc: DataFrame, mode: str = "contains") -> DataFrame:

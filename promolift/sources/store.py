@@ -110,6 +110,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).parquet(path)
 
 
+def saved_rows(df: DataFrame, name: str) -> DataFrame:
+    """A table written to a path of its own in the work folder and read back."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write_parquet(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # A saved table up to this size, measured, may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -119,10 +127,7 @@ def saved_measured(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
 
     Its size in memory is taken from its rows: texts by their bytes, eight bytes for any other value, a fixed share a row.
     """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    write_parquet(df, path)
-    table = spark.read.schema(df.schema).parquet(path)
+    table = saved_rows(df, name)
     texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema.fields
              if f.dataType.typeName() == "string"]
     row = F.lit(48 + 8 * len(df.columns)).cast("long")

@@ -14,14 +14,18 @@ from promolift.session import build_session  # noqa: E402
 KEYS = {
     "baselines": "two partial aggregations, no join",
     "analyze_promotions": "promo summary (distinct days, forecast maxima in one aggregation) joined to baselines",
-    "forecast_match": "substring equi-join, first forecast by min_by; no nested loop",
+    "forecast_match": "articles found by their rarest piece; repeated descriptions and short keys reduced first; no nested loop",
+    "forecast_match_regex": "patterns found by their required piece; no pass of all descriptions over all patterns",
+    "clean_days": "promo days as bitmaps, broadcast when measured small; no sales row is shuffled",
+    "article_info": "least leading number by hash aggregation, then only rows that have it; no sort of all rows",
+    "filter_options": "distinct combinations first",
     "prepare": "sales adapter, forecast match, left join on Article",
     "region_baselines": "region-day aggregate, article-day window, no raw-row join",
     "quadrants": "one Article partitioning, medians as a window",
     "top_promos": "per-partition top-k",
     "filter_sales": "year filter prunes partition folders",
     "article_rows": "article equality pushed to the Parquet scan",
-    "article_kpis": "one scan, article-day rows, no join",
+    "article_kpis": "one scan, two grouping sets of one hash aggregation, no join",
     "profile": "one row per article and region first, distinct counts on those",
     "promo_regions": "one scan, one aggregation",
 }
