@@ -55,7 +55,9 @@ HEADER_READERS = 16
 def _first_line(spark: SparkSession, path: str) -> str | None:
     """The first line of a file, through the file system that Spark reads it by: one buffer is read, however large the file."""
     jvm, p, fs = _jvm_fs(spark, path)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
+    data = fs.open(p)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(data) if codec else data, "UTF-8"))
     try:
         return reader.readLine()
     finally:

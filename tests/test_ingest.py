@@ -191,3 +191,12 @@ def test_an_append_opens_only_the_months_it_touches(spark, tmpdir_path, monkeypa
     ST.append_indexed(spark.createDataFrame([(dt.date(2025, 3, 1), "0"), (dt.date(2025, 3, 9), "new")], "`Sales Date` date, v string"), base, "late")
     assert [[p.rsplit("=", 1)[-1] for p in a] for a in asked[9:]] == [["202503"]]
     assert ST.read_indexed(spark, base).count() == 46
+
+
+def test_headers_of_compressed_files(spark, tmpdir_path):
+    import gzip
+    path = os.path.join(tmpdir_path, "x.csv.gz")
+    with gzip.open(path, "wt") as fh:
+        fh.write("a,b\n1,2\n")
+    assert [list(r.columns) for r in CSV.header_table(spark, [path]).collect()] == [["a", "b"]]
+    assert CSV.load_many(spark, path, required=["a"]).data.count() == 1
