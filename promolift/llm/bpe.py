@@ -21,7 +21,8 @@ library itself.
 
 Defined results: null is the empty text, which has no tokens; equal texts get
 equal results; an empty table gives an empty result. A long text's leaves
-meet again in one task, which holds that text and its ids.
+meet again in one task, which holds that text and its ids. Only the id and the text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ whole texts; memory is one Arrow batch.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so
 is every text when no language could be learned. Equal texts get equal
-results. An empty table gives an empty result.
+results; of languages equally likely the first in order is taken. Long texts are counted piece
+by piece. Only the text (and the label, in training) and the kept columns are read, so others
+may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

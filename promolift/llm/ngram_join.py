@@ -29,7 +29,10 @@ groupings are combined before the shuffle. Nothing but counts reaches the driver
 Defined results: a text of one to four words is one shingle; texts without a
 word (null and empty ones) have no shingle, no links, and are each their own
 class. The class id is the smallest doc_id of the class (null only if all are
-null); repeated rows are copies. An empty table gives an empty result.
+null); repeated rows are copies. A text of any length is one row of one task. Small groups compare
+all their pairs, large ones those that share a band, as candidates do (a pair at the threshold shares
+none with odds of 5 in 10^8). Only the id and the text are read (``keep_one`` carries rows as one struct), so
+other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ runs again gives the same sequences; sequence ids hold the partition number
 and a counter.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
-packed each; an empty table gives an empty result.
+packed each; a text of any length is encoded slice by slice and cut into windows; of fill levels
+equally good the fullest is taken. Only the id and the text are read, so other columns may have any name.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ compared, not hashes).
 Defined results: a null or empty text (or one of white space only) has no
 words, all measurements 0, and fails the word-count rule. Rows are
 independent, so ties and repeated rows give equal results; an empty table
-gives an empty ledger. Extra columns stay out of the ledger but for the id.
+gives an empty ledger. A long text costs arrays of its words and windows in its row. Extra columns stay out of the ledger but for the id.
 """
 
 from __future__ import annotations

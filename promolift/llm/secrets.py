@@ -21,8 +21,10 @@ rows alone, a join that Spark may split where one hash is hot.
 
 Defined results: null or empty text has no spans, an empty list's digest is that of
 the empty string; a null owner or repository counts as one unknown owner;
-repeated rows give equal results. Without candidates, or without rows, the
-results have the same columns.
+repeated rows give equal results. Spans that begin alike come by kind as listed. A long text is
+scanned whole in its row; ``redact`` looks back over a text's spans for each span, so its work
+grows with the square of the spans of one text. Columns travel as one struct, so their names cannot
+clash. Without candidates, or without rows, the results have the same columns.
 """
 
 from __future__ import annotations

@@ -27,7 +27,9 @@ that qualifies; its size is counted first, and one beyond ``MAX_LEXICON`` is an
 Defined results: a null or empty text has no hits and gets the model's base
 score; rows without a label, or with a null id, are never learned from; without any
 toxic label the lexicon is empty and every score is the share of toxic rows among
-the labelled ones (0 if there is none). Equal texts get equal scores.
+the labelled ones (0 if there is none). Equal texts get equal scores. Of terms equally near
+a token the first in order is its match. Texts of any length are scored whole, in one task. Only the
+id, the text and the kept columns are read, so others may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations

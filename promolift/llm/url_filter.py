@@ -20,7 +20,7 @@ pages are probed shard by shard, each pass with one bounded broadcast.
 Defined results: a null URL or one without ``://`` has an empty host and path and no
 candidates, so it is allowed; equal URLs get equal verdicts; an empty table or
 an empty list gives an empty or an all-allow result. Of rules that fit, the
-longest wins (a tie goes to the longer host).
+longest wins (a tie goes to the longer host). A long URL is one row like any other.
 """
 
 from __future__ import annotations

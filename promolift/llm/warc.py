@@ -15,7 +15,8 @@ repeated task left behind is never seen.
 
 Defined results: a null html is an empty payload; a null url is a record without
 target; payloads under ``LEAST_SHARED`` bytes are always responses; rows that
-repeat id and payload of a group's response are responses too; an empty
+repeat id and payload of a group's response are responses too; a payload or url of any length is one
+record. Only the id, url and html are read, so other columns may have any name. An empty
 table gives no files and an empty result.
 """
 
