@@ -102,30 +102,33 @@ def article_text(c: str | Column) -> Column:
     return F.coalesce(strip(_col(c).cast("string")), F.lit(MISSING_ARTICLE))
 
 
-# Sums that do not depend on the order of rows. A value under 2^48 is cut into
-# four whole numbers of 24 bits (two above the point, two below), each summed as a
-# long: exact for 2^39 rows. ``rest`` holds what is left below 2^-48 of small
-# values, and whole values that cannot be cut: NaN, infinite, 2^48 and more. So no
-# addend is rounded, none overflows, and what floating point makes of such values stays.
-_LIMB = float(1 << 24)
-_CUTTABLE = float(1 << 48)
-SUM_PARTS = ("high", "low", "part", "fine", "rest")
+# Sums that do not depend on the order of rows: the whole numbers of the values, and 2^30ths of
+# their fractions, are summed as longs; what is left below 2^-30 (``rest``, in 2^30ths) as doubles,
+# exactly for values of 1 and more. A sum with a value that can't be cut so (NaN, infinite, 2^52 and
+# more), or beyond 2^60, is the plain sum of doubles. So no addend is rounded, nothing overflows.
+_FRACTIONS = float(1 << 30)
+_CUTTABLE, _LARGE = float(1 << 52), float(1 << 60)
+SUM_PARTS = ("whole", "part", "rest", "plain", "most")
 
 
 def _cut(c: Column) -> dict[str, Column]:
-    """The parts of a value, one for each of ``SUM_PARTS``; all but ``rest`` are NULL where it cannot be cut."""
-    value = c.cast("double")
-    x = F.when(F.abs(value) < _CUTTABLE, value)  # NaN is the greatest number: not under the bound
-    whole, high = x.cast("long"), (x / _LIMB).cast("long")
-    below = (x - whole) * _LIMB
-    fine = (below - below.cast("long")) * _LIMB
-    return {"high": high, "low": whole - high * (1 << 24), "part": below.cast("long"), "fine": fine.cast("long"),
-            "rest": F.coalesce((fine - fine.cast("long")) / _CUTTABLE, value)}
+    """Aggregates of the parts of a sum. The value stands once in each, so plans stay small."""
+    x = c.cast("double")
+    return {"whole": F.try_sum(x.try_cast("long")), "part": F.sum(((x % 1.0) * _FRACTIONS).try_cast("long")),
+            "rest": F.sum((x * _FRACTIONS) % 1.0), "plain": F.sum(x), "most": F.max(F.abs(x))}
+
+
+def _merge(parts: dict[str, Column]) -> dict[str, Column]:
+    return {k: F.max(v) if k == "most" else F.try_sum(v) if k == "whole" else F.sum(v) for k, v in parts.items()}
 
 
 def sum_parts(c: str | Column, name: str) -> list[Column]:
     """Aggregates for the parts of a sum, as columns ``name__part``: they can be saved, and merged later."""
-    return [F.sum(v).alias(f"{name}__{k}") for k, v in _cut(_col(c)).items()]
+    return [v.alias(f"{name}__{k}") for k, v in _cut(_col(c)).items()]
+
+
+def _parts_of(name: str, where: Column | None = None) -> dict[str, Column]:
+    return {k: F.col(p) if where is None else F.when(where, F.col(p)) for k, p in _part_names(name).items()}
 
 
 def _part_names(name: str) -> dict[str, str]:
@@ -135,28 +138,28 @@ def _part_names(name: str) -> dict[str, str]:
 def merged_parts(name: str, where: Column | None = None, to: str | None = None) -> list[Column]:
     """Aggregates that merge the parts of sums (of the rows that meet ``where``), under the name ``to``."""
     out = _part_names(to or name)
-    return [F.sum(F.col(p) if where is None else F.when(where, F.col(p))).alias(out[k]) for k, p in _part_names(name).items()]
+    return [v.alias(out[k]) for k, v in _merge(_parts_of(name, where)).items()]
 
 
 def _total(parts: dict[str, Column]) -> Column:
-    """The sum as a double: NULL without a value (``rest`` is NULL only then)."""
-    n = {k: F.coalesce(v, F.lit(0).cast("long")).cast("double") for k, v in parts.items() if k != "rest"}
-    return (n["high"] * _LIMB + n["low"]) + (n["part"] / _LIMB + (n["fine"] / _CUTTABLE + parts["rest"]))
+    """The sum as a double; NULL without a value."""
+    exact = parts["whole"].cast("double") + (parts["part"].cast("double") + parts["rest"]) / _FRACTIONS
+    return F.when((parts["most"] < _CUTTABLE) & (F.abs(parts["plain"]) < _LARGE), exact).otherwise(parts["plain"])
 
 
 def merged_sum(name: str, where: Column | None = None) -> Column:
     """Sum from the parts of sums, as an aggregate: the same as ``exact_sum`` over all rows."""
-    return _total({k: F.sum(F.col(p) if where is None else F.when(where, F.col(p))) for k, p in _part_names(name).items()})
+    return _total(_merge(_parts_of(name, where)))
 
 
 def sum_of(name: str) -> Column:
     """Sum of one row's parts."""
-    return _total({k: F.col(p) for k, p in _part_names(name).items()})
+    return _total(_parts_of(name))
 
 
 def exact_sum(c: str | Column) -> Column:
     """Sum without rounding or overflow, the same whatever the order of the rows."""
-    return _total({k: F.sum(v) for k, v in _cut(_col(c)).items()})
+    return _total(_cut(_col(c)))
 
 
 def exact_avg(c: str | Column) -> Column:
