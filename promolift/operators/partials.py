@@ -58,4 +58,4 @@ def promo_summary(found: DataFrame, region: str = S.ALL) -> DataFrame:
     aggs = [C.merged_sum(SALES).alias("PromoSales"), C.merged_sum(QTY).alias("PromoQuantity"),
             F.countDistinct(S.SALES_DATE).alias("PromoDays"), *P.forecast_maxima(found.columns)]
     rows = found.where(PROMO) if region == S.ALL else found.where(F.col(PROMO) & (F.col(S.REGION) == F.lit(region)))
-    return rows.dropna(subset=keys).groupBy(*keys).agg(*aggs)
+    return P.summed_years(rows, S.promo_keys(found.columns), C.merged_parts(SALES), C.merged_parts(QTY))
