@@ -28,7 +28,11 @@ def cells(prepared: DataFrame) -> DataFrame:
     keys = [c for c in (S.ARTICLE, S.BONUS_BUY, S.REGION, S.SUBCAT, S.PSA, S.SALES_DATE) if c in prepared.columns]
     forecast = [F.bool_or(S.HAS_FORECAST).alias(S.HAS_FORECAST), F.max(S.FORECAST_QTY).alias(S.FORECAST_QTY),
                 F.max(S.FORECAST_DAILY).alias(S.FORECAST_DAILY)] if S.HAS_FORECAST in prepared.columns else []
-    return (prepared.groupBy(*keys, S.is_promo().alias(PROMO))
+    # Ranges of the keys: rows travel as they are, not as the many parts of sums of cells that hold one row or two, and
+    # the cells of an article end up together. Equal keys alone can't be cut, and those make one cell.
+    needed = [c for c in (S.STATUS, S.NET_SALES, S.QUANTITY, S.HAS_FORECAST, S.FORECAST_QTY, S.FORECAST_DAILY) if c in prepared.columns]
+    order = [c for c in (S.ARTICLE, S.SALES_DATE, S.BONUS_BUY, S.REGION, S.SUBCAT, S.PSA) if c in keys]
+    return (prepared.select(*keys, *needed).repartitionByRange(*order).groupBy(*keys, S.is_promo().alias(PROMO))
             .agg(F.count(F.lit(1)).alias(ROWS), *C.sum_parts(S.NET_SALES, SALES), *C.sum_parts(S.QUANTITY, QTY), *forecast))
 
 
@@ -54,8 +58,5 @@ def article_days(found: DataFrame) -> DataFrame:
 
 def promo_summary(found: DataFrame, region: str = S.ALL) -> DataFrame:
     """``promo.promo_summary`` from cells."""
-    keys = S.promo_keys(found.columns)
-    aggs = [C.merged_sum(SALES).alias("PromoSales"), C.merged_sum(QTY).alias("PromoQuantity"),
-            F.countDistinct(S.SALES_DATE).alias("PromoDays"), *P.forecast_maxima(found.columns)]
     rows = found.where(PROMO) if region == S.ALL else found.where(F.col(PROMO) & (F.col(S.REGION) == F.lit(region)))
     return P.summed_years(rows, S.promo_keys(found.columns), C.merged_parts(SALES), C.merged_parts(QTY))
