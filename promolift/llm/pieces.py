@@ -181,6 +181,9 @@ class WordwiseEncoder:
 class WordEncoder(WordwiseEncoder):
     """For tokenizers that drop white space, ignore case and mark the token that ends a word."""
 
+    # Texts of four languages have some hundred thousand words; what is forgotten is encoded again.
+    KEEP = 64 << 20
+
     _WORD = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[{SIGNS}]+")
     JOINT = " "
 

@@ -86,3 +86,18 @@ def test_runs_alike_and_empty(make_docs):
     one, two = (sorted(map(str, K.pack_documents(docs, PATH).collect())) for _ in range(2))
     assert one == two
     assert K.pack_documents(make_docs([]), PATH).count() == 0
+
+
+def test_words_stay_known():
+    """A quarter of a million words are encoded once, however often they come."""
+    from promolift.llm.pieces import WordEncoder
+    encoder = WordEncoder(PATH)
+    pairs = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    words = [f"{a}{b}{c}" for a in "abcdefghijklmnopqrstuvwxy" for b in pairs for c in pairs]
+    texts = [" ".join(words[at:at + 5000]) for at in range(0, len(words), 5000)]
+    first = [ids for text in texts for ids in encoder.encode_many([text])]
+    learned = []
+    learn = encoder._learn
+    encoder._learn = lambda new: (learned.extend(new), learn(new))
+    assert [ids for text in texts for ids in encoder.encode_many([text])] == first
+    assert not learned
